@@ -32,7 +32,7 @@ class Rule:
 
 #: Base kinds first, in the order that their spans are listed, then what this method adds.
 RULES = (
-    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2, r"""(?i:passw|secret|token|key)["']?\x20*[:=]"""),
+    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""),
     Rule("access", r"AKIA[A-Z0-9]+", 18),
     Rule("hex", r"[0-9a-f]+", 16, 0, r"[0-9a-f]{16}"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1),
