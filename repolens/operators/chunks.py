@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -41,73 +40,70 @@ def split_ranges(lengths: list[int], config: Chunking) -> list[tuple[int, int]]:
     return out
 
 
-def _text(lines: Column) -> Column:
-    return F.array_join(lines, "\n")
+def _region(start: Column, end: Column, symbol: Column, name: Column) -> Column:
+    return F.struct(start.alias("start_line"), end.alias("end_line"), symbol.alias("symbol_id"), name.alias("symbol_name"))
 
 
-def _cut(lines: Column, first: Column, start: Column, end: Column) -> Column:
-    """Lines start..end (numbers in the file) out of lines that begin with number `first`."""
-    return F.slice(lines, F.greatest(start - first + 1, F.lit(1)), F.greatest(end - start + 1, F.lit(0)))
+def _parts(children: Column, first: Column, last: Column, gap_id: Column, gap_name: Column) -> Column:
+    """Regions between two lines: the children in order, a gap before each that begins after the end of
+    the child before it (not of the furthest one), and the tail after the last."""
 
+    def part(c: Column, i: Column) -> Column:
+        before = F.get(children, i - 1)["end_line"] + 1
+        cursor = F.when(i == 0, first).otherwise(before)
+        gap = F.when(c["start_line"] > cursor, _region(cursor, c["start_line"] - 1, gap_id, gap_name))
+        return F.filter(F.array(gap, _region(c["start_line"], c["end_line"], c["symbol_id"], c["name"])), lambda r: r.isNotNull())
 
-def regions(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Top-level regions of files with content: symbols without a parent in start order, the gaps before
-    them (judged by the end of the symbol before, not by the furthest end), and the tail."""
+    cursor = F.when(F.size(children) == 0, first).otherwise(F.get(children, F.size(children) - 1)["end_line"] + 1)
+    tail = F.filter(F.array(F.when(cursor <= last, _region(cursor, last, gap_id, gap_name))), lambda r: r.isNotNull())
+    return F.concat(F.flatten(F.transform(children, part)), tail)
+
+
+def _text(lines: Column, r: Column) -> Column:
+    """The lines of a region, as far as the file has them."""
+    start = F.greatest(r["start_line"], F.lit(1))
+    return F.array_join(F.slice(lines, start, F.greatest(r["end_line"] - start + 1, F.lit(0))), "\n")
+
+
+def _placed(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Files with content and a language, with their lines, their symbols in start order and the
+    top-level regions. One join by file; all that follows is within a row."""
     named = files.where(F.col("language").isNotNull() & (trim_all(F.coalesce("content", F.lit(""))) != ""))
     whole = named.select(*KEY, "path", "language", newline_parts(F.col("content")).alias("lines"))
-    any_symbol = symbols.groupBy(*KEY).agg(F.lit(True).alias("has_symbols"))
-    top = symbols.where("parent_id is null")
-    order = Window.partitionBy(*KEY).orderBy("start_line", "ordinal")
-    placed = top.select(*KEY, "symbol_id", "name", "start_line", "end_line", F.coalesce(F.lag("end_line").over(order) + 1, F.lit(1)).alias("cursor"), F.row_number().over(order).alias("n"), F.lead("symbol_id").over(order).isNull().alias("is_last"))
-    joined = whole.join(placed, KEY, "left").join(any_symbol, KEY, "left").withColumn("total", F.size("lines"))
+    item = F.struct("start_line", "ordinal", "symbol_id", "name", "end_line", "parent_id")
+    of_files = symbols.groupBy(*KEY).agg(F.array_sort(F.collect_list(item)).alias("symbols"))
+    joined = whole.join(of_files, KEY, "left")
+    joined = joined.withColumn("symbols", F.coalesce("symbols", F.array().cast(of_files.schema["symbols"].dataType)))
     none = F.lit(None).cast("string")
-    region = lambda at, start, end, symbol, name: F.struct(at.alias("at"), start.alias("start_line"), end.alias("end_line"), symbol.alias("symbol_id"), name.alias("symbol_name"))
-    at = F.coalesce(F.col("n"), F.lit(0)) * 3
-    own = F.array(
-        F.when(F.col("n").isNotNull() & (F.col("start_line") > F.col("cursor")), region(at, F.col("cursor"), F.col("start_line") - 1, none, none)),
-        F.when(F.col("n").isNotNull(), region(at + 1, F.col("start_line"), F.col("end_line"), F.col("symbol_id"), F.col("name"))),
-        F.when(F.col("n").isNull(), region(at, F.lit(1), F.col("total"), none, none)),
-        F.when(F.col("is_last") & (F.col("end_line") + 1 <= F.col("total")), region(at + 2, F.col("end_line") + 1, F.col("total"), none, none)),
-    )
-    found = joined.select(*KEY, "path", "language", "lines", F.coalesce("has_symbols", F.lit(False)).alias("has_symbols"), F.explode(F.filter(own, lambda r: r.isNotNull())).alias("r"))
-    sliced = F.slice("lines", F.greatest(F.col("r.start_line"), F.lit(1)), F.greatest(F.col("r.end_line") - F.col("r.start_line") + 1, F.lit(0)))
-    return found.select(*KEY, "path", "language", "has_symbols", F.array("r.at").alias("at"), "r.start_line", "r.end_line", "r.symbol_id", "r.symbol_name", sliced.alias("lines"))
-
-
-def _expanded(rows: DataFrame, symbols: DataFrame, config: Chunking) -> tuple[DataFrame, DataFrame]:
-    """(regions that stay, sub-regions): an oversized region of a symbol with children is cut at these;
-    the gaps keep its symbol. An oversized gap so meets the children of its symbol again a level down."""
-    children = symbols.where("parent_id is not null").select(*KEY, F.col("parent_id").alias("symbol_id"), F.col("symbol_id").alias("child_id"), F.col("name").alias("child_name"), F.col("start_line").alias("child_start"), F.col("end_line").alias("child_end"), F.col("ordinal").alias("child_ordinal"))
-    parents = children.select(*KEY, "symbol_id").distinct().withColumn("__parent", F.lit(True))
-    marked = rows.join(parents, [*KEY, "symbol_id"], "left").withColumn("__cut", (F.length(_text(F.col("lines"))) > config.max_chars) & F.coalesce("__parent", F.lit(False))).drop("__parent")
-    stay = marked.where(~F.col("__cut")).drop("__cut")
-    cut = marked.where("__cut").drop("__cut").join(children, [*KEY, "symbol_id"])
-    order = Window.partitionBy(*KEY, "at").orderBy("child_start", "child_ordinal")
-    placed = cut.withColumns({"cursor": F.coalesce(F.lag("child_end").over(order) + 1, F.col("start_line")), "n": F.row_number().over(order), "count": F.count("*").over(Window.partitionBy(*KEY, "at"))})
-    part = lambda at, start, end, symbol, name: F.struct(at.alias("at"), start.alias("start_line"), end.alias("end_line"), symbol.alias("symbol_id"), name.alias("symbol_name"))
-    at, me, my_name = F.col("n") * 3, F.col("symbol_id"), F.col("symbol_name")
-    parts = F.array(
-        F.when(F.col("child_start") > F.col("cursor"), part(at, F.col("cursor"), F.col("child_start") - 1, me, my_name)),
-        part(at + 1, F.col("child_start"), F.col("child_end"), F.col("child_id"), F.col("child_name")),
-        F.when((F.col("n") == F.col("count")) & (F.col("child_end") + 1 <= F.col("end_line")), part(at + 2, F.col("child_end") + 1, F.col("end_line"), me, my_name)),
-    )
-    subs = placed.select(*KEY, "path", "language", "has_symbols", "at", F.col("start_line").alias("first"), "lines", F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("p"))
-    subs = subs.select(*KEY, "path", "language", "has_symbols", F.concat("at", F.array("p.at")).alias("at"), "p.start_line", "p.end_line", "p.symbol_id", "p.symbol_name", _cut(F.col("lines"), F.col("first"), F.col("p.start_line"), F.col("p.end_line")).alias("lines"))
-    return stay, subs
-
-
-def _ranges(rows: DataFrame, config: Chunking) -> DataFrame:
-    """Oversized regions as line ranges; an Arrow helper finds them from the line lengths."""
+    top = F.filter("symbols", lambda x: x["parent_id"].isNull())
+    return joined.withColumn("top", top).withColumn("regions", _parts(F.col("top"), F.lit(1), F.size("lines"), none, none)).drop("top")
+
+
+def regions(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(run_id, file_id, place, start_line, end_line, symbol_id, symbol_name): the top-level regions."""
+    found = _placed(files, symbols).select(*KEY, F.posexplode("regions").alias("place", "r"))
+    return found.select(*KEY, "place", "r.*")
+
+
+def _deeper(lines: Column, symbols: Column, r: Column, config: Chunking) -> Column:
+    """A region, or if it is oversized and its symbol has children, these and the gaps between. A gap
+    keeps the symbol: an oversized gap so meets the children of its symbol again a level down."""
+    children = F.filter(symbols, lambda x: x["parent_id"] == r["symbol_id"])
+    cut = (F.length(_text(lines, r)) > config.max_chars) & F.exists(symbols, lambda x: x["parent_id"] == r["symbol_id"])
+    return F.when(F.coalesce(cut, F.lit(False)), _parts(children, r["start_line"], r["end_line"], r["symbol_id"], r["symbol_name"])).otherwise(F.array(r))
+
+
+def _ranges(text: Column, config: Chunking) -> Column:
+    """Line ranges of an oversized region, from the lengths of its lines; one range for any other."""
 
     @F.pandas_udf("array<struct<a:int,b:int>>")
     def ranges(lengths: pd.Series) -> pd.Series:
         return lengths.map(lambda own: [{"a": a, "b": b} for a, b in split_ranges(list(own), config)])
 
-    fits = F.length(_text(F.col("lines"))) <= config.max_chars
-    whole = F.array(F.struct(F.lit(0).alias("a"), F.size("lines").alias("b")))
-    small = rows.where(fits).withColumn("fits", F.lit(True)).withColumn("ranges", whole)
-    large = rows.where(~fits).withColumn("fits", F.lit(False)).withColumn("ranges", ranges(F.transform("lines", F.length)))
-    return small.unionByName(large)
+    fits = F.length(text) <= config.max_chars
+    lines = newline_parts(text)
+    asked = F.when(fits, F.array().cast("array<int>")).otherwise(F.transform(lines, F.length))
+    return F.when(fits, F.array(F.struct(F.lit(0).alias("a"), F.size(lines).alias("b")))).otherwise(ranges(asked))
 
 
 def chunk_files(files: DataFrame, symbols: DataFrame, config: Chunking = Chunking()) -> DataFrame:
@@ -118,15 +114,16 @@ def chunk_files(files: DataFrame, symbols: DataFrame, config: Chunking = Chunkin
     Files without a language or with blank content give none. Gaps of files that have symbols are
     dropped if they are shorter than `min_chars` after trimming.
     """
-    level, done = regions(files, symbols), None
+    placed = _placed(files, symbols)
     for _ in range(DEPTH):
-        stay, level = _expanded(level, symbols, config)
-        done = stay if done is None else done.unionByName(stay)
-    pieces = _ranges(done.unionByName(level), config)
-    pieces = pieces.select(*KEY, "path", "language", "has_symbols", "at", "symbol_id", "symbol_name", "start_line", "end_line", "lines", "fits", F.posexplode("ranges").alias("part", "range"))
-    content = _text(F.slice("lines", F.col("range.a") + 1, F.col("range.b") - F.col("range.a")))
+        placed = placed.withColumn("regions", F.flatten(F.transform("regions", lambda r: _deeper(F.col("lines"), F.col("symbols"), r, config))))
+    with_text = F.transform("regions", lambda r: F.struct(r.alias("r"), _text(F.col("lines"), r).alias("text")))
+    rows = placed.select(*KEY, "path", "language", (F.size("symbols") > 0).alias("has_symbols"), F.posexplode(with_text).alias("at", "x"))
+    pieces = rows.select(*KEY, "path", "language", "has_symbols", "at", "x.r.*", "x.text").withColumn("ranges", _ranges(F.col("text"), config))
+    pieces = pieces.withColumn("parts", newline_parts(F.col("text"))).select("*", F.posexplode("ranges").alias("part", "range"))
+    content = F.array_join(F.slice("parts", F.col("range.a") + 1, F.col("range.b") - F.col("range.a")), "\n")
     # a region that fits keeps its own end, which may lie beyond the file
-    end = F.when(F.col("fits"), F.col("end_line")).otherwise(F.col("start_line") + F.col("range.b") - 1)
+    end = F.when(F.length("text") <= config.max_chars, F.col("end_line")).otherwise(F.col("start_line") + F.col("range.b") - 1)
     cut = pieces.select(*KEY, F.col("path").alias("file_path"), "language", "has_symbols", "at", "part", "symbol_id", "symbol_name", (F.col("start_line") + F.col("range.a")).alias("start_line"), end.alias("end_line"), content.alias("content"))
     kept = cut.where(~(F.col("symbol_id").isNull() & F.col("has_symbols") & (F.length(trim_all(F.col("content"))) < config.min_chars)))
     index = F.row_number().over(Window.partitionBy(*KEY).orderBy("at", "part")) - 1

@@ -576,10 +576,10 @@ g AS (SELECT t.run_id, t.file_id, n * 3 AS place, cursor AS a, start_line - 1 AS
 """
 
 
-@query(_REGIONS + "SELECT run_id, file_id, place::INT AS place, a::INT AS start_line, b::INT AS end_line, symbol_id FROM g", "files", "symbols")
+@query(_REGIONS + "SELECT run_id, file_id, (row_number() OVER (PARTITION BY run_id, file_id ORDER BY place) - 1)::INT AS place, a::INT AS start_line, b::INT AS end_line, symbol_id FROM g", "files", "symbols")
 def e1_regions(spark, d):
     found = chunks.regions(view(spark, d, "files"), view(spark, d, "symbols"))
-    return found.select("run_id", "file_id", F.get("at", F.lit(0)).alias("place"), "start_line", "end_line", "symbol_id")
+    return found.select("run_id", "file_id", "place", "start_line", "end_line", "symbol_id")
 
 
 @query()
