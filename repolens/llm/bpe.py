@@ -384,9 +384,8 @@ def encoded(memo: Memo, batches: Iterator[pa.RecordBatch], text: str, most: int
             yield run, ids, ids_at[text_at]
 
 
-@functools.lru_cache(2)
 def memo(path: str, pattern: str) -> Memo:
-    return Memo(Encoder(path, pattern))
+    return K.held(("bpe", path, pattern), lambda: Memo(Encoder(path, pattern)))
 
 
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -6,6 +6,9 @@ batch at once, so that no step runs per row.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -226,3 +229,24 @@ class Seen:
             _, one = np.unique(slot, return_index=True)
             self.hash[slot[one]], self.number[slot[one]] = h[left[one]], first + left[one]
             left = np.delete(left, one)
+
+
+_HELD: dict = {}
+
+
+def held(name: tuple, make):
+    """What this Python worker keeps from task to task under a name: one thing at a time, so that the
+    caches of one operator do not stay while another runs in the same worker."""
+    if name not in _HELD:
+        _HELD.clear()
+        trim()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -191,7 +191,7 @@ class Met:
         self.clear()
 
     def clear(self) -> None:
-        self.seen, self.rows = K.Seen(), K.Growing(np.float64, len(self.network.labels) if self.network else 1)
+        self.seen, self.rows = K.Seen(), K.Growing(np.float32, len(self.network.labels) if self.network else 1)
 
     def sums(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         if len(self.seen) > self.most:
@@ -207,29 +207,24 @@ class Met:
         return self.rows.now[number]
 
 
-#: What this worker has met with the network of the current query.
-_MET: dict[str, Met] = {}
+def sample(docs: DataFrame, key: str, text: str, label: str, rows: int, seed: int) -> DataFrame:
+    """Up to `rows` labelled rows of each label, by a hash of key and text.
 
-
-def met_by(network: Network | None, name: str) -> Met:
-    if name not in _MET:
-        _MET.clear()
-        _MET[name] = Met(network)
-    return _MET[name]
-
-
-def sample(docs: DataFrame, text: str, label: str, rows: int, seed: int) -> DataFrame:
-    """Up to `rows` labelled rows of each label, by a hash of the text."""
-    known = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
+    The rows of each label are counted first, and only a share of them that should hold four times
+    `rows` goes on: what reaches the ranking does not grow with the table.
+    """
+    known = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"), F.xxhash64(F.col(key), F.col(text), F.lit(seed)).alias("h"))
+    counts = docs.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("label")).agg(F.count("*").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(4.0 * rows) / F.col("n"))
+    some = known.join(counts, "label").where((F.col("h").cast("double") / 2.0**64 + 0.5) <= share)
     best = Window.partitionBy("label").orderBy("h", "text")
-    narrow = known.withColumn("h", F.xxhash64("text", F.lit(seed)))
-    return narrow.withColumn("n", F.row_number().over(best)).where(F.col("n") <= rows).select("text", "label")
+    return some.withColumn("n", F.row_number().over(best)).where(F.col("n") <= rows).select("text", "label")
 
 
-def fit(docs: DataFrame, text: str = "text", label: str = "lang", config: Config = Config()) -> Network | None:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", config: Config = Config()) -> Network | None:
     """A network trained on `config.rows` rows of each label at most; None if no row has a label and
     a word. One label gives a network that always predicts it."""
-    rows = sample(docs, text, label, config.rows, config.seed).toArrow()
+    rows = sample(docs, key, text, label, config.rows, config.seed).toArrow()
     labels = sorted(set(rows["label"].to_pylist()))
     data, offsets = K.texts(rows["text"])
     starts, lengths, at = pieces(data, offsets)
@@ -263,8 +258,8 @@ def predict(docs: DataFrame, network: Network | None, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = shared.value
-        met = met_by(network, name)
-        for batch in K.portions(batches, text):
+        met = K.held(("met", name), lambda: Met(network))
+        for batch in K.portions(batches, text, 4 << 20):
             values = K.column(batch, text)
             data, offsets = K.texts(values)
             mean = np.zeros((len(batch), len(network.labels) if network else 1))
@@ -273,7 +268,7 @@ def predict(docs: DataFrame, network: Network | None, key: str = "doc_id", text:
                 sums = met.sums(data, starts, lengths)
                 full = np.flatnonzero(np.diff(at))
                 if len(full):
-                    total = np.add.reduceat(sums, at[:-1][full], axis=0)
+                    total = np.add.reduceat(sums, at[:-1][full], axis=0, dtype=np.float64)
                     mean[full] = total / np.add.reduceat(lengths + 2, at[:-1][full])[:, None]
             plain = np.diff(K.bounds(_LETTER[data].astype(np.int64))[offsets]) > 0
             lettered = np.array([bool(p) or (values[i].is_valid and has_letter(values[i].as_py())) for i, p in enumerate(plain)], bool) & bool(network)
@@ -292,5 +287,5 @@ def held_out(key: str) -> Column:
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", config: Config = Config()) -> DataFrame:
     """(key, held_out, lang_pred, score), learned from the rows of `docs` that are not held out."""
-    network = fit(docs.where(~held_out(key)), text, label, config)
+    network = fit(docs.where(~held_out(key)), key, text, label, config)
     return predict(docs, network, key, text).select(key, held_out(key).alias("held_out"), "lang_pred", "score")

@@ -142,9 +142,8 @@ class Library:
         return np.fromiter((i for ids in found for i in ids), np.int32, int(made.sum())), made
 
 
-@functools.lru_cache(2)
 def library(path: str) -> Memo:
-    return Memo(Library(path))
+    return K.held(("library", path), lambda: Memo(Library(path)))
 
 
 def _kind(path: str) -> str:
