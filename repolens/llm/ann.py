@@ -137,7 +137,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id"
     shards = max(1, -(-count // shard))
     dealt = classes.repartition(shards, F.xxhash64("v"))
     asked = rows.where(F.col("id") % every == 0)
-    blocks = max(1, -(-count // (every * BLOCK)))  # about BLOCK queries each, however ids are spread
+    blocks = max(1, -(-asked.count() // BLOCK))
     out = None
     for b in range(blocks):
         block = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).orderBy("id").toArrow()

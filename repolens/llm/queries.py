@@ -80,6 +80,25 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_simhash, op2_licences, op3_substring_dedup, op4_decontamination, op5_url_rules, op6_nearest, op7_language_id, op8_bpe, op9_token_files, op10_secrets)}
 
 
+def _op2() -> str:
+    """Sentences to identifiers, then the rules from the longest on: a match is replaced by a mark."""
+    names = " || ".join(f"CASE WHEN regexp_full_match(t, '{pattern}') THEN '<{name}>' ELSE '' END" for name, pattern in licenses.SENTENCES.items())
+    rules = sorted(licenses.RULES, key=lambda r: -len(r.sentences))
+    steps = "d AS (SELECT doc_id, string_agg(ids, '' ORDER BY i) AS s0 FROM k GROUP BY doc_id)"
+    for i, rule in enumerate(rules):
+        whole = "".join(f"<{x}>" for x in rule.sentences)
+        steps += f",\nr{i} AS (SELECT *, (length(s{i}) - length(replace(s{i}, '{whole}', ''))) // {len(whole)} AS n{i}, replace(s{i}, '{whole}', '#') AS s{i + 1} FROM {f'r{i - 1}' if i else 'd'})"
+    found = ", ".join(f"CASE WHEN n{i} > 0 THEN '{r.licence}' END" for i, r in enumerate(rules))
+    return rf"""
+WITH l AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)) AS l FROM documents),
+n AS (SELECT doc_id, i, array_to_string(regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}]+'), ' ') AS t FROM (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM l)),
+k AS (SELECT doc_id, i, {names} AS ids FROM n),
+{steps}
+SELECT doc_id, (length(s0) - length(replace(s0, '<', '')))::BIGINT AS n_sentences, ({" + ".join(f"n{i}" for i in range(len(rules)))})::BIGINT AS n_matches,
+       array_to_string(list_sort(list_distinct(list_filter([{found}], lambda v: v IS NOT NULL))), ',') AS licences FROM r{len(rules) - 1}
+"""
+
+
 _OP3 = r"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i+12], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
@@ -140,4 +159,4 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": _OP3, "op4_decontamination": _OP4, "op5_url_rules": _OP5, "op10_secrets": _op10()}
+    return {"op2_licences": _op2(), "op3_substring_dedup": _OP3, "op4_decontamination": _OP4, "op5_url_rules": _OP5, "op10_secrets": _op10()}
