@@ -120,7 +120,8 @@ def chunk_files(files: DataFrame, symbols: DataFrame, config: Chunking = Chunkin
     with_text = F.transform("regions", lambda r: F.struct(r.alias("r"), _text(F.col("lines"), r).alias("text")))
     rows = placed.select(*KEY, "path", "language", (F.size("symbols") > 0).alias("has_symbols"), F.posexplode(with_text).alias("at", "x"))
     pieces = rows.select(*KEY, "path", "language", "has_symbols", "at", "x.r.*", "x.text").withColumn("ranges", _ranges(F.col("text"), config))
-    pieces = pieces.withColumn("parts", newline_parts(F.col("text"))).select("*", F.posexplode("ranges").alias("part", "range"))
+    # there is always a range; without `outer` the filter for it would run the helper a second time
+    pieces = pieces.withColumn("parts", newline_parts(F.col("text"))).select("*", F.posexplode_outer("ranges").alias("part", "range"))
     content = F.array_join(F.slice("parts", F.col("range.a") + 1, F.col("range.b") - F.col("range.a")), "\n")
     # a region that fits keeps its own end, which may lie beyond the file
     end = F.when(F.length("text") <= config.max_chars, F.col("end_line")).otherwise(F.col("start_line") + F.col("range.b") - 1)

@@ -12,7 +12,7 @@ from ..functions import vectors as V
 from ..operators import archive, chunks, classify, evidence, graph, index, lines, reports, rules, runs, search, symbols
 from ..schemas import AI_SEVERITIES, SEVERITIES
 from ..sources import tables, tree
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, stored
 from ..streaming import jobs
 from .views import view, with_views
 
@@ -300,7 +300,7 @@ def _parsed(spark, d):
 
 @query()
 def c6_analyze_files(spark, d):
-    f, s = view(spark, d, "files"), _parsed(spark, d)
+    f, s = view(spark, d, "files"), stored(_parsed(spark, d), "symbols")
     found = symbols.extract_imports(f)
     metrics = lines.file_metrics(f, s, found)
     return rules.run_rules(rules.Context(f, s, metrics)).select("run_id", "file_id", "rule_id", "severity", "message", "line")

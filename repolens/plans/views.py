@@ -97,7 +97,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN e.vec_id % 4 = 0 THEN 'the' WHEN e.vec_id % 4 = 1 THEN concat('sym_', e.vec_id) END AS symbol_name,
                cast(CASE WHEN e.vec_id % 3 <> 0 THEN e.vec_id % 50 + 1 END AS int) AS start_line, cast(CASE WHEN e.vec_id % 3 <> 0 THEN e.vec_id % 50 + 1 + e.vec_id % 2 * 9 END AS int) AS end_line,
                d.text AS content, CASE WHEN e.vec_id % 29 <> 7 THEN e.embedding END AS embedding
-        FROM embeddings AS e, (SELECT doc_id, text, (SELECT count(*) FROM documents) AS n FROM documents) AS d WHERE d.doc_id = e.vec_id % d.n""",
+        FROM (SELECT vec_id, embedding, label, vec_id % (SELECT count(*) FROM documents) AS place FROM embeddings) AS e JOIN documents AS d ON d.doc_id = e.place""",
     "queries": """
         SELECT cast(vec_id AS varchar(20)) AS query_id, cast(label AS varchar(20)) AS repository_id, CASE WHEN vec_id % 2 = 0 THEN 'the of_module request' ELSE '?? !' END AS query, embedding AS vector
         FROM embeddings WHERE vec_id % 20 = 3""",

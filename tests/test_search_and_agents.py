@@ -24,6 +24,18 @@ def test_search_stays_in_its_repository(spark):
     assert abs(got[0]["final_score"] - (0.75 * got[0]["semantic_score"] + 0.25)) < 1e-9
 
 
+def test_both_ways_of_scoring_agree(spark):
+    import random
+
+    rng = random.Random(2)
+    vector = lambda n=4: [rng.choice([0.0, 1.0, -1.0, 0.5]) for _ in range(n)]
+    rows = [(f"c{i:03}", f"r{i % 3}", "p", None, 1, 1, "x", vector(3 if i % 17 == 0 else 4) if i % 13 else None) for i in range(200)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, repository_id string, file_path string, symbol_name string, start_line int, end_line int, content string, embedding array<double>").repartition(5)
+    asked = spark.createDataFrame([(f"q{i}", f"r{i % 4}", "x", vector() if i else None) for i in range(8)], "query_id string, repository_id string, query string, vector array<double>")
+    pools = [{(r["query_id"], r["chunk_id"], round(r["semantic_score"], 9)) for r in search.candidates(asked, chunks, 5, most).collect()} for most in (100, 1)]
+    assert pools[0] == pools[1] and len(pools[0]) > 60
+
+
 def results(spark, sizes):
     rows = [("q", i + 1, f"c{i}", "p.ts", None, 90 if i == 0 else 42, 121 if i == 0 else 42, "x" * n, 1.0) for i, n in enumerate(sizes)]
     return spark.createDataFrame(rows, "query_id string, rank int, chunk_id string, file_path string, symbol_name string, start_line int, end_line int, content string, final_score double")
