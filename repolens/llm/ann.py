@@ -11,7 +11,6 @@ Equal vectors are searched once: a class of them keeps its k + 1 smallest ids.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -43,73 +42,58 @@ def chi_square_point(dims: int, sure: float) -> float:
 
 
 class Tree:
-    """A kd-tree over projected points: the leaves are runs of `order`."""
+    """A kd-tree over projected points. `order` holds the points leaf by leaf; leaf i has those from
+    at[i] to at[i + 1] and the box low[i] .. high[i]."""
 
     def __init__(self, points: np.ndarray) -> None:
-        self.order = np.arange(len(points))
-        self.nodes: list[tuple] = []
-        self._build(points, 0, len(points))
-
-    def _build(self, points: np.ndarray, a: int, b: int) -> int:
-        own = points[self.order[a:b]]
-        low, high = own.min(axis=0), own.max(axis=0)
-        number = len(self.nodes)
-        self.nodes.append((low, high, a, b, -1, -1))
-        if b - a > LEAF:
-            axis = int(np.argmax(high - low))
-            middle = (b - a) // 2
-            self.order[a:b] = self.order[a:b][np.argpartition(own[:, axis], middle)]
-            left = self._build(points, a, a + middle)
-            right = self._build(points, a + middle, b)
-            self.nodes[number] = (low, high, a, b, left, right)
-        return number
-
-    def nearest(self, query: np.ndarray, points: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
-        """Points in growing projected distance: those of a leaf together, with the squared distance
-        below which every point has been given."""
-        def gap(node: tuple) -> float:
-            away = np.maximum(np.maximum(node[0] - query, query - node[1]), 0)
-            return float(away @ away)
-
-        heap = [(gap(self.nodes[0]), 0)]
-        wait: list[tuple[np.ndarray, np.ndarray]] = []
-        while heap:
-            near, number = heapq.heappop(heap)
-            _, _, a, b, left, right = self.nodes[number]
-            if left >= 0:
-                for child in (left, right):
-                    heapq.heappush(heap, (gap(self.nodes[child]), child))
+        self.order, leaves = np.arange(len(points)), []
+        parts = [(0, len(points))]
+        while parts:
+            a, b = parts.pop()
+            own = points[self.order[a:b]]
+            low, high = own.min(axis=0), own.max(axis=0)
+            if b - a <= LEAF:
+                leaves.append((a, low, high))
                 continue
-            own = self.order[a:b]
-            away = points[own] - query
-            wait.append((own, np.einsum("ij,ij->i", away, away)))
-            reach = heap[0][0] if heap else math.inf
-            ids, far = (np.concatenate(x) for x in zip(*wait, strict=True))
-            ready = far <= reach
-            if ready.any():
-                rank = np.argsort(far[ready], kind="stable")
-                yield ids[ready][rank], reach
-            wait = [(ids[~ready], far[~ready])] if not ready.all() else []
+            middle = (b - a) // 2
+            self.order[a:b] = self.order[a:b][np.argpartition(own[:, int(np.argmax(high - low))], middle)]
+            parts += [(a + middle, b), (a, a + middle)]
+        self.at = np.array([a for a, _, _ in leaves] + [len(points)])
+        self.low, self.high = (np.array([x[i] for x in leaves]) for i in (1, 2))
+
+    def nearest(self, query: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
+        """Places in `order`, nearest leaves first in growing runs, with the squared distance below
+        which every point has been given."""
+        away = np.maximum(np.maximum(self.low - query, query - self.high), 0)
+        gaps = np.einsum("ij,ij->i", away, away)
+        rank = np.argsort(gaps, kind="stable")
+        done, size = 0, 4
+        while done < len(rank):
+            own = rank[done : done + size]
+            done, size = done + len(own), 2 * size
+            yield K.ragged(self.at[own], self.at[own + 1] - self.at[own]), float(gaps[rank[done]]) if done < len(rank) else math.inf
 
 
 def search(vectors: np.ndarray, ids: list, queries: np.ndarray, own: np.ndarray, k: int, dims: int, sure: float, seed: int) -> list[tuple[int, int, float]]:
     """(query row, id, cosine) of each query's k best in this shard; ids[i] are the ids of vector i,
     own the id of each query."""
-    lengths = np.sqrt((vectors * vectors).sum(axis=1))
-    unit = vectors / lengths[:, None]
+    unit = vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
     q_unit = queries / np.sqrt((queries * queries).sum(axis=1))[:, None]
     axes = np.random.default_rng(seed).standard_normal((vectors.shape[1], dims))
-    points, q_points = unit @ axes, q_unit @ axes
-    tree, limit = Tree(points), chi_square_point(dims, sure)
+    tree, q_points, limit = Tree(unit @ axes), q_unit @ axes, chi_square_point(dims, sure)
+    unit = unit[tree.order]
+    ids = [ids[i] for i in tree.order.tolist()]
     out = []
     for i, (q, p) in enumerate(zip(q_unit, q_points, strict=True)):
         best: list[tuple[float, int]] = []
-        for found, reach in tree.nearest(p, points):
-            cos = (unit[found] * q).sum(axis=1)
+        for found, reach in tree.nearest(p):
+            near = unit[found] @ q
             worst = best[-1][0] if len(best) == k else -2.0
-            some = cos >= worst
-            for c, v in zip(cos[some].tolist(), found[some].tolist(), strict=True):
-                best += [(c, x) for x in ids[v] if x != own[i]]
+            if len(near) > k + 1:  # a class of copies counts as one, and one may be the query itself
+                worst = max(worst, float(np.partition(near, len(near) - k - 1)[len(near) - k - 1]))
+            some = found[near >= worst - 1e-9]
+            exact = (unit[some] * q).sum(axis=1)  # equal vectors and pairs get equal sums, whatever the run
+            best += [(c, x) for c, v in zip(exact.tolist(), some.tolist(), strict=True) for x in ids[v] if x != own[i]]
             best = sorted(best, key=lambda b: (-b[0], b[1]))[:k]
             if len(best) == k and reach >= limit * max(0.0, 2 - 2 * best[-1][0]):
                 break
@@ -146,6 +130,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id"
         sent = spark.sparkContext.broadcast((block["id"].to_numpy(), np.array(block["v"].to_pylist(), np.float64)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            K.alone("ann")
             own = list(batches)
             if not sum(map(len, own)):
                 return
