@@ -156,8 +156,9 @@ def _judged(source: DataFrame, shared, names: list[str], text: str, schema: T.St
     result = T.StructType([*[source.schema[c] for c in own], *T.StructType.fromDDL(f"n_leaked long, items array<long>, {spans}").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.alone("decontam")
         tests = shared.value
-        for batch in K.portions(batches, text):
+        for batch in K.portions(batches, text, 4 << 20):
             h, at = tokens(K.column(batch, text))
             doc, found, where, size = tests.hits(h, at)
             if again:  # overlaps with earlier blocks' words count once

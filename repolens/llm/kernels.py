@@ -6,7 +6,6 @@ batch at once, so that no step runs per row.
 
 from __future__ import annotations
 
-import contextlib
 import ctypes
 import gc
 from collections.abc import Iterator
@@ -56,6 +55,8 @@ def portions(batches: Iterator[pa.RecordBatch], name: str, most: int = 8 << 20)
             upto = max(upto, at + 1)
             yield batch.slice(at, upto - at)
             at = upto
+        del batch, values
+        give_back()
 
 
 def table(*chars: bytes) -> np.ndarray:
@@ -232,6 +233,11 @@ class Seen:
 
 
 _HELD: dict = {}
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018  other systems have none
+except (OSError, AttributeError):
+    _LIBC = None
 
 
 def held(name: tuple, make):
@@ -244,9 +250,18 @@ def held(name: tuple, make):
     return _HELD[name]
 
 
+def alone(name: str) -> None:
+    """Drops what other operators have kept in this Python worker."""
+    held((name,), tuple)
+
+
 def trim() -> None:
-    """Gives freed memory back to the system."""
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Gives freed memory back to the system."""
     pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)

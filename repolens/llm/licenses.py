@@ -120,6 +120,7 @@ def find_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", sent
     schema = T.StructType([docs.schema[key], *T.StructType.fromDDL(FOUND).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.alone("licenses")
         recognise = Recogniser(sentences, rules)
         kind = pa.struct([("licence", pa.string()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
         for batch in K.portions(batches, text):

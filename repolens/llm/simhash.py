@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -57,7 +58,7 @@ def fold(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints_of(values: pa.Array, width: int, seed: int) -> np.ndarray:
-    digest, hashes, counts = xxhash.xxh64_intdigest, [], np.zeros(len(values), np.int64)
+    digest, hashes, counts = xxhash.xxh64_intdigest, array("Q"), np.zeros(len(values), np.int64)
     for i, text in enumerate(values.cast(pa.large_binary()).to_pylist()):
         own = text.lower().split() if text else []  # bytes: A-Z only, and the six white-space bytes
         if not own:
@@ -69,9 +70,9 @@ def fingerprints_of(values: pa.Array, width: int, seed: int) -> np.ndarray:
             continue
         ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
         starts = [0, *ends[: len(own) - width].tolist()]
-        hashes += [digest(joined[a:b], seed) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
+        hashes.extend([digest(joined[a:b], seed) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)])
         counts[i] = len(starts)
-    return fold(np.array(hashes, np.uint64), counts)
+    return fold(np.frombuffer(hashes, np.uint64), counts)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
@@ -79,7 +80,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     schema = T.StructType([docs.schema[key], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in K.portions(batches, text):
+        K.alone("simhash")
+        for batch in K.portions(batches, text, 4 << 20):
             fp = fingerprints_of(K.column(batch, text), width, seed)
             yield pa.RecordBatch.from_arrays([K.column(batch, key), pa.array(fp.view(np.int64))], names=[key, "fp"])
 
@@ -193,6 +195,7 @@ def near_stars(distinct: DataFrame, radius: int = 2, tile: int = TILE) -> DataFr
     buckets = dealt.groupBy("choice", "part", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.collect_set("fp").alias("fps"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.alone("simhash")
         for batch in batches:
             fps = batch.column(0)
             flat = fps.flatten().to_numpy().astype(np.int64).view(np.uint64)

@@ -103,6 +103,7 @@ def _minimisers(h: np.ndarray, first: np.ndarray, width: int, group: int) -> np.
 
 
 def _send(batches: Iterator[pa.RecordBatch], key: str, text: str, width: int, group: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    K.alone("substrings")
     pack = zstandard.ZstdCompressor(level=3)
     for batch in K.portions(batches, text):
         data, offsets = K.texts(K.column(batch, text))
@@ -154,6 +155,7 @@ def _grouped(doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 def _meet(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket: one bucket at a time."""
+    K.alone("substrings")
     unpack = zstandard.ZstdDecompressor()
     held: list[bytes] = []
     now = None
