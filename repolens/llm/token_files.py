@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from . import kernels as K
 from .bpe import Memo, encoded
-from .shared import written
+from .shared import new_table, removed, written
 
 #: Bits of the longest code, ids of a block, ids of a segment.
 LIMIT, BLOCK, SEGMENT = 20, 1024, 1 << 20
@@ -199,7 +199,8 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", e
     brings it to `SEGMENT` ids. An empty table gives no segments. Other columns are not read.
     """
     spark, kind = docs.sparkSession, _kind(path)
-    coded = written(ids_of(docs, path, key, text, end, kind), "ids", compression="zstd")
+    of_ids = new_table(spark, "ids")
+    coded = written(ids_of(docs, path, key, text, end, kind), "ids", of_ids, compression="zstd")
     counts = np.zeros(1, np.int64)
     for row in count_ids(coded, kind).collect():  # one row for each id of the vocabulary
         if row["id"] >= len(counts):
@@ -241,7 +242,9 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", e
         if keys:
             yield segment()
 
-    return written(ordered.mapInArrow(run, schema), "segments", compression="none"), lengths
+    segments = written(ordered.mapInArrow(run, schema), "segments", compression="none")
+    removed(spark, of_ids)
+    return segments, lengths
 
 
 def read(segments: DataFrame, lengths: bytes, key: str = "doc_id") -> DataFrame:
