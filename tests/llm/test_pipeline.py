@@ -5,7 +5,7 @@ import tiktoken
 
 import __spark_entry__
 import corpus_pipeline
-from repolens.llm import bpe, decontam, langid, secret_scan, simhash
+from repolens.llm import bpe, decontam, langid, near_copies, secret_scan
 
 
 def test_stages_take_effect(spark, sf):
@@ -15,7 +15,7 @@ def test_stages_take_effect(spark, sf):
     first = corpus_pipeline.language_id(spark, given, sf).cache()
     assert first.columns == docs.columns and first.where("doc_id > 9000").count() == 0 and first.count() == docs.count()
     second = corpus_pipeline.simhash_dedup(spark, first, sf).cache()
-    groups = simhash.near_duplicates(first).collect()
+    groups = near_copies.near_copy_groups(first).collect()
     assert {r["doc_id"] for r in second.collect()} == {r["component_id"] for r in groups}
     third = corpus_pipeline.decontaminate(spark, second, sf).cache()
     leaked = {r["doc_id"] for r in decontam.leaks(second, spark.read.parquet(f"{sf}/benchmark.parquet")).collect() if r["items"]}
