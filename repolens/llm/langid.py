@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 from . import kernels as K
 
 LONGEST = 24
+#: Labels that training takes at most.
+LABELS = 1000
 #: No language: null text, or no letter.
 UNDETERMINED = "und"
 
@@ -210,13 +212,17 @@ class Met:
 def sample(docs: DataFrame, key: str, text: str, label: str, rows: int, seed: int) -> DataFrame:
     """Up to `rows` labelled rows of each label, by a hash of key and text.
 
-    The rows of each label are counted first, and only a share of them that should hold four times
-    `rows` goes on: what reaches the ranking does not grow with the table.
+    The rows of each label are counted first (one number for each of up to `LABELS` labels), and only a
+    share of them that should hold four times `rows` goes on: what is shuffled for the ranking does not
+    grow with the table.
     """
     known = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"), F.xxhash64(F.col(key), F.col(text), F.lit(seed)).alias("h"))
-    counts = docs.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("label")).agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), F.lit(4.0 * rows) / F.col("n"))
-    some = known.join(counts, "label").where((F.col("h").cast("double") / 2.0**64 + 0.5) <= share)
+    counted = docs.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("label")).agg(F.count("*").alias("n"))
+    counts = counted.limit(LABELS + 1).collect()
+    if len(counts) > LABELS:
+        raise ValueError(f"more than {LABELS} labels")
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], min(1.0, 4.0 * rows / r["n"]))]) if counts else F.create_map(F.lit(""), F.lit(0.0))
+    some = known.where((F.col("h").cast("double") / 2.0**64 + 0.5) <= F.try_element_at(share, F.col("label")))
     best = Window.partitionBy("label").orderBy("h", "text")
     return some.withColumn("n", F.row_number().over(best)).where(F.col("n") <= rows).select("text", "label")
 
