@@ -68,6 +68,7 @@ def evidence_records(runs: DataFrame, repositories: DataFrame, specs: DataFrame,
 
 def evidence_text(record: DataFrame) -> DataFrame:
     """(run_id, agent, evidence): one deterministic text for each record."""
+    # The wording of the lines below.
     text = lambda c: F.col(c).cast("string")
     level = lambda s: F.concat(F.lit(s + " "), F.col(f"severity_counts.{s}").cast("string"))
     head = F.array(
