@@ -1,14 +1,15 @@
-"""Near copies by SimHash, verified: five-word shingles with a Jaccard similarity of 0.8 or more.
-
-One fingerprint of 64 bits cannot hold such a similarity within a small radius, several can: each text
-gets `PRINTS` SimHash fingerprints of its distinct words, and a pair is a candidate if any of these
-are within the radius. Candidates come from the same buckets and bit-sliced comparison as in
-`simhash`; each is then verified on the exact shingle sets, and verified links are joined to groups.
-
-Buckets of up to `SMALL` fingerprints give all their near pairs. In larger ones, where thousands of
-copies of one text meet, a fingerprint gives its link to the neighbour that has most neighbours
-itself (`HUBS`): as many rows as fingerprints. It does so in each of its buckets (20 for each
-fingerprint), so that a link that one bucket leaves out is given by others or follows through a hub.
+"""Near copies: five-word shingles with a Jaccard similarity of 0.8 or more, all of them.
+
+First round, SimHash: each text gets `PRINTS` SimHash fingerprints of its distinct words, and a pair is
+a candidate if any of these are within the radius, by the buckets and the bit-sliced comparison of
+`simhash`. In buckets of more than `SMALL` fingerprints, where thousands of copies of one text meet, a
+fingerprint gives only its link to the neighbour that has most neighbours itself (`HUBS`). Verified on
+the exact shingle sets, this joins most copies to groups at little cost, but misses pairs.
+
+The rest is exact. Shingles have one order, rare ones first; of two sets with a Jaccard similarity of
+`least`, each has a common shingle among its first |s| - ceil(least |s|) + 1 (its prefix). Texts that
+share a shingle in their prefixes and are not yet in one group are tested: each with one hub of the
+shingle, then, against the groups as they are by then, every pair that is left.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +29,10 @@ from .shared import kept
 from .simhash import AT_ONCE, TILE, fold, planes_of, within
 
 PRINTS, RADIUS, SMALL, HUBS = 6, 3, 8, 1
+#: Texts sampled to order shingles by how common they are, and shingles ranked; any order is exact.
+SAMPLE, RANKED = 8_000, 50_000
+#: Texts of one shingle that a task takes from the one side, with all of the other.
+PART = 1024
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -153,6 +158,100 @@ def shingle_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return source.mapInArrow(run, "key long, shingles array<long>")
 
 
+def common_shingles(docs: DataFrame, key: str, text: str, width: int) -> np.ndarray:
+    """Hashes of shingles that occur often in a sample of the documents, the most common last."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    some = docs.where(F.xxhash64(key).cast("double") / 2.0**64 + 0.5 <= share)
+    often = shingle_sets(some, key, text, width).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    return often.where("n > 2").orderBy(F.desc("n"), "s").limit(RANKED).select("s").toArrow()["s"].to_numpy().view(np.uint64)[::-1]
+
+
+def prefixes(sets: DataFrame, common: np.ndarray, least: float) -> DataFrame:
+    """(key, size, prefix array<long>): the size of each set and the shingles of its prefix in the order,
+    in which `common` stand last."""
+    ranked = np.argsort(common)
+    shared = sets.sparkSession.sparkContext.broadcast((common[ranked], ranked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.alone("near")
+        known, rank = shared.value
+        for batch in batches:
+            lists = K.column(batch, "shingles")
+            size = lists.value_lengths().to_numpy().astype(np.int64)
+            h = lists.flatten().to_numpy().view(np.uint64)
+            own = np.repeat(np.arange(len(size)), size)
+            order = np.zeros(len(h), np.int64)
+            if len(known):
+                place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                order = np.where(known[place] == h, 1 + rank[place], 0)
+            h = h[np.lexsort((h, order, own))]
+            n = np.where(size > 0, size - np.ceil(least * size - 1e-9).astype(np.int64) + 1, 0)
+            first = h[K.ragged(K.bounds(size)[:-1], n)].view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(K.bounds(n).astype(np.int32)), pa.array(first))
+            yield pa.RecordBatch.from_arrays([K.column(batch, "key"), pa.array(size.astype(np.int32)), lists], names=["key", "size", "prefix"])
+
+    return sets.select("key", "shingles").mapInArrow(run, "key long, size int, prefix array<long>")
+
+
+def _open(shared: DataFrame, edges: DataFrame) -> DataFrame:
+    """`shared(key, s, size, pos)` with root, of the shingles whose texts are not all in one group."""
+    roots = connected_components(edges).withColumnRenamed("node", "key")
+    named = shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    ends = named.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("s", "n")
+    return kept(named.join(ends, "s"))
+
+
+def _may_be_near(least: float) -> Column:
+    """For rows a and b of one shingle: other groups, and sizes and places that allow `least` if it is
+    the first shingle that both prefixes hold, as one is of every near pair."""
+    a, b = F.col("a.size"), F.col("b.size")
+    most = F.least(a - F.col("a.pos"), b - F.col("b.pos"))
+    return (F.col("a.root") != F.col("b.root")) & (most >= (a + b) * (least / (1 + least)) - 1e-6)
+
+
+def hub_pairs(live: DataFrame, least: float) -> DataFrame:
+    """Pairs u < v of each text of a shingle with the one of median size."""
+    place = F.row_number().over(Window.partitionBy("s").orderBy("size", "key"))
+    hubs = live.withColumn("place", place).where(F.col("place") == F.floor((F.col("n") + 1) / 2))
+    both = live.alias("a").join(hubs.alias("b"), (F.col("a.s") == F.col("b.s")) & _may_be_near(least))
+    return both.select(F.least("a.key", "b.key").alias("u"), F.greatest("a.key", "b.key").alias("v")).distinct()
+
+
+def rest_pairs(live: DataFrame, least: float) -> DataFrame:
+    """All pairs u < v of texts of a shingle; a common shingle is dealt to parts."""
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    a = live.withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int"))
+    b = live.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    same = (F.col("a.s") == F.col("b.s")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.key") < F.col("b.key"))
+    return a.alias("a").join(b.alias("b"), same & _may_be_near(least)).select(F.col("a.key").alias("u"), F.col("b.key").alias("v")).distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, least: float) -> DataFrame:
+    """The pairs whose texts have shingles of a Jaccard similarity of `least` or more."""
+    wanted = pairs.select(F.col("u").alias("w")).unionByName(pairs.select(F.col("v").alias("w"))).distinct()
+    texts = docs.join(wanted.hint("shuffle_hash"), F.col(key).cast("long") == F.col("w"), "left_semi")
+    sets = kept(shingle_sets(texts, key, text, width).dropDuplicates(["key"]))
+    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("shingles").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.where(common >= least * (F.size("a") + F.size("b") - common)).select("u", "v")
+
+
+def near_edges(reps: DataFrame, docs: DataFrame, key: str, text: str, width: int, least: float) -> DataFrame:
+    """Edges u, v that connect exactly the groups of `reps(key, fps)` chained by near pairs."""
+    tested = kept(candidates(reps.where(F.exists("fps", lambda f: f != 0)).select("key", "fps")))
+    edges = kept(verified(tested, docs, key, text, width, least))
+    heads = prefixes(shingle_sets(docs, key, text, width), common_shingles(docs, key, text, width), least)
+    heads = heads.join(reps.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    met = F.count("*").over(Window.partitionBy("s"))
+    shared = kept(heads.select("key", "size", F.posexplode("prefix").alias("pos", "s")).withColumn("n", met).where("n > 1").drop("n"))
+    for pairs in (hub_pairs, rest_pairs):
+        new = kept(pairs(_open(shared, edges), least).join(tested, ["u", "v"], "left_anti"))
+        if not new.isEmpty():
+            edges = kept(edges.unionByName(verified(new, docs, key, text, width, least)))
+            tested = tested.unionByName(new)
+    return edges
+
+
 def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
     """(key, component_id) per row: the least key of the documents joined by verified links.
 
@@ -162,14 +261,7 @@ def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     """
     prints = kept(fingerprints(docs, key, text))
     reps = prints.where("key is not null").groupBy("copy", "fps").agg(F.min(F.col("key").cast("long")).alias("key"))
-    pairs = kept(candidates(reps.where(F.exists("fps", lambda f: f != 0)).select("key", "fps")))
-    wanted = pairs.select(F.col("u").alias("w")).unionByName(pairs.select(F.col("v").alias("w"))).distinct()
-    texts = docs.join(wanted.hint("shuffle_hash"), F.col(key).cast("long") == F.col("w"), "left_semi")
-    sets = kept(shingle_sets(texts, key, text, width).dropDuplicates(["key"]))
-    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("shingles").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    near = both.where(common >= least * (F.size("a") + F.size("b") - common)).select("u", "v")
-    roots = connected_components(near)
+    roots = connected_components(near_edges(reps, docs, key, text, width, least))
     named = reps.join(roots.withColumnRenamed("node", "key"), "key", "left").select("copy", "fps", F.coalesce("root", "key").alias("component_id"))
     out = prints.join(named, ["copy", "fps"], "left")
     return out.select(F.col("key").alias(key), F.when(F.col("key").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -63,3 +63,17 @@ def test_messy_rows(spark, messy, nothing):
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, None: None, 7: 1, 8: 8, 9: 9}
     assert N.near_copy_groups(messy).count() == messy.count() and N.near_copy_groups(nothing).count() == 0
     assert sorted(r["doc_id"] or 0 for r in N.one_of_each(messy).collect()) == [0, 1, 2, 3, 4, 5, 8, 9]
+
+
+def test_families_close_in_words_are_tested_whole(spark):
+    """Many orders of the same passages: all prints are near, the hub's order is near to few."""
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(500)]
+    words = [rng.choice(vocab) for _ in range(120)]
+    rows = []
+    for _ in range(40):
+        own = rng.sample(words, len(words))
+        rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(own[:-4] + own[-4:][::-1]))]
+    got = {r[0]: r[1] for r in N.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = plain(rows)
+    assert len(set(want.values())) == 40 and got == want
