@@ -65,6 +65,33 @@ def test_messy_rows(spark, messy, nothing):
     assert sorted(r["doc_id"] or 0 for r in N.one_of_each(messy).collect()) == [0, 1, 2, 3, 4, 5, 8, 9]
 
 
+def edited(rng, words, kind):
+    n, own = len(words), list(words)
+    if kind == "appended":
+        return own + [rng.choice(words) + "x" for _ in range(n // 5)]
+    if kind == "truncated":
+        return own[: n - n // 6]
+    if kind == "inserted":
+        return own[: n // 2] + [w + "y" for w in own[: n // 6]] + own[n // 2 :]
+    return own[: n // 2] + [w + "z" for w in own[n // 2 : n // 2 + n // 12]] + own[n // 2 + n // 12 :]
+
+
+def test_every_kind_of_edit_is_found(spark):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows, pairs = [], {}
+    for kind in ("appended", "truncated", "inserted", "replaced"):
+        for _ in range(30):
+            words = [rng.choice(vocab) for _ in range(rng.choice([30, 100, 200, 600]))]
+            pairs[len(rows)] = kind
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(edited(rng, words, kind)))]
+    got = {r[0]: r[1] for r in N.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = plain(rows)
+    near = {kind: [want[i] == want[i + 1] for i, k in pairs.items() if k == kind] for kind in pairs.values()}
+    assert all(sum(found) >= 15 for found in near.values())
+    assert got == want
+
+
 def test_families_close_in_words_are_tested_whole(spark):
     """Many orders of the same passages: all prints are near, the hub's order is near to few."""
     rng = random.Random(6)
