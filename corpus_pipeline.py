@@ -1,6 +1,6 @@
 """A corpus pipeline of five stages over `documents`: each works on all rows that the last one kept.
 
-language_id        documents in which no language can be told (no text, or no letter) go
+language_id        documents in none of the learned languages go: no text, no letter, or below the network's floor
 simhash_dedup      one document of each group of near copies stays, that of the least doc_id
 decontaminate      documents with a passage of `benchmark` go
 secret_redaction   secrets are masked; every document stays
@@ -18,9 +18,11 @@ from repolens.llm.shared import new_table, removed, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    network = langid.fit(docs.where(~langid.held_out("doc_id")))
+    learned = docs.where(~langid.held_out("doc_id"))
+    network = langid.fit(learned)
+    least = langid.floors(learned, network) if network else {}
     judged = langid.predict(docs, network, extra=docs.columns)
-    return judged.where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    return judged.where(langid.in_a_language(least)).select(*docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

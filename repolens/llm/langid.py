@@ -27,6 +27,8 @@ from . import kernels as K
 LONGEST = 24
 #: Labels that training takes at most.
 LABELS = 1000
+#: Rows of a length class from which its floor is learned.
+CLASS_ROWS = 20
 #: No language: null text, or no letter.
 UNDETERMINED = "und"
 
@@ -286,6 +288,35 @@ def predict(docs: DataFrame, network: Network | None, key: str = "doc_id", text:
     return wanted.mapInArrow(run, schema)
 
 
+def length_class(text: str) -> Column:
+    return F.floor(F.log2(F.octet_length(text))).cast("int")
+
+
+def floors(docs: DataFrame, network: Network, key: str = "doc_id", text: str = "text", label: str = "lang", config: Config = Config()) -> dict[int, float]:
+    """The least score of a text in one of the learned languages, by length class.
+
+    It stands halfway between chance and the least score of the training rows that are as long or
+    longer. Classes of fewer than `CLASS_ROWS` rows have no floor; nor has a network of one label.
+    """
+    if len(network.labels) < 2:
+        return {}
+    rows = sample(docs, key, text, label, config.rows, config.seed)
+    scored = predict(rows, network, text="text", extra=["text"]).where(F.col("lang_pred") != UNDETERMINED)
+    found = scored.groupBy(length_class("text").alias("c")).agg(F.count("*").alias("n"), F.min("score").alias("low")).collect()
+    chance = 1 / len(network.labels)
+    return {r["c"]: chance + 0.5 * (min(x["low"] for x in found if x["c"] >= r["c"]) - chance) for r in found if r["n"] >= CLASS_ROWS}
+
+
+def in_a_language(least: dict[int, float], text: str = "text") -> Column:
+    """Whether a row of `predict`, with its text, reaches the floor of its length class; texts longer
+    than all classes have that of the longest, and texts of a class without a floor pass."""
+    known = F.col("lang_pred") != UNDETERMINED
+    if not least:
+        return known
+    floor = F.try_element_at(F.create_map(*[F.lit(x) for c in sorted(least) for x in (c, least[c])]), F.least(length_class(text), F.lit(max(least))))
+    return known & (F.col("score") >= F.coalesce(floor, F.lit(0.0)))
+
+
 def held_out(key: str) -> Column:
     """Rows that training must not read: crc32 of the key as text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))

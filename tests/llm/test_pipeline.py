@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import public_tokenizers as P
 import tiktoken
 
@@ -37,3 +39,15 @@ def test_names():
     assert "pipeline" in known and all(any(n.startswith(f"op{i}_") for n in known) for i in range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_dedup", "decontaminate", "secret_redaction", "bpe_encode"]
     assert langid.UNDETERMINED == "und"
+
+
+def test_gibberish_goes_and_held_out_documents_stay(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, rng = spark.read.parquet(f"{sf}/documents.parquet"), random.Random(2)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz", "".join(map(chr, range(0x430, 0x450)))]
+    junk = [(900_000 + i, " ".join(word(kinds[i % 3]) for _ in range(300)), None, "s", 1) for i in range(30)]
+    got = corpus_pipeline.language_id(spark, docs.unionByName(spark.createDataFrame(junk, docs.schema)), sf).select("doc_id").collect()
+    kept = {r["doc_id"] for r in got}
+    assert not kept & {r[0] for r in junk}
+    assert len(kept) >= 0.998 * docs.count()
