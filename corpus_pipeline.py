@@ -20,7 +20,9 @@ from repolens.llm.shared import new_table, removed, written
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learned = docs.where(~langid.held_out("doc_id"))
     network = langid.fit(learned)
-    least = langid.floors(learned, network) if network else {}
+    if not network:  # nothing to learn from
+        return docs.where(langid.lettered("text"))
+    least = langid.floors(learned, network)
     judged = langid.predict(docs, network, extra=docs.columns)
     return judged.where(langid.in_a_language(least)).select(*docs.columns)
 

@@ -252,6 +252,11 @@ def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
+def lettered(text: str) -> Column:
+    """`has_letter` of a column; false for null."""
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, network: Network | None, key: str = "doc_id", text: str = "text", extra: list[str] | None = None) -> DataFrame:
     """The `extra` columns of `docs` (its key alone by default) with lang_pred and score.
 

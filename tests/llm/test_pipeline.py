@@ -51,3 +51,10 @@ def test_gibberish_goes_and_held_out_documents_stay(spark):
     kept = {r["doc_id"] for r in got}
     assert not kept & {r[0] for r in junk}
     assert len(kept) >= 0.998 * docs.count()
+
+
+def test_no_labels_keep_every_text_with_a_letter(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(i, t, None, "s", 1) for i, t in enumerate(["a text", "漢字", "1234 !!", "", None, "ü"])]
+    got = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, docs.schema), sf)
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 1, 5]
