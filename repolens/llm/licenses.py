@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -68,9 +69,15 @@ RULES = (
 #: Some known sentence holds one of these words, whatever its rule.
 HINT = re.compile(r"licen[cs]e|copyright|permission|redistribut|warrant|as is|free software|endorse|under (?:a )?(?:cc|creative)", re.I)
 
-#: A sentence ends at a line end, or at a full stop, exclamation or question mark before white space.
+#: A piece ends at a line end, or at a full stop, exclamation or question mark before white space.
 _CUT = re.compile(r"\n|(?<=[.!?])\s+")
 _WORD = re.compile(r"[^\W_]+")
+#: A line feed inside a paragraph, with the marks of a comment around it.
+_FOLD = re.compile(r"[ \t\r]*\n[ \t]*(?:(?://+|/?\*+/?|#+|--+|;+|>+)[ \t]*)?")
+#: How a known sentence of several lines can begin, in three words.
+_BEGIN = re.compile(r"permission is|the (?:above|software|mit)|this (?:software|program|\w+ is)|(?:1 |2 )?redistributions? (?:and|of|in)|(?:1|2) redistributions|(?:3 )?neither the|3 neither|(?:released|licensed|distributed|available) under|mit license|apache license|under (?:a|cc|creative)")
+_SPDX = re.compile(r"spdx-license-identifier:\s*(.+)", re.I)
+_SPDX_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+-]*")
 
 
 def normalised(sentence: str) -> str:
@@ -86,18 +93,49 @@ class Recogniser:
         plain = normalised(sentence)
         return tuple(name for name, pattern in self.known if pattern.fullmatch(plain))
 
+    def _at(self, text: str, pieces: list[tuple[int, int, bool]], i: int) -> tuple[tuple[str, ...], int]:
+        """Names of the sentence that begins with piece i, and its last piece: the piece alone, or else
+        the lines of its paragraph up to the sentence's end or up to a line that ends a known sentence."""
+        begin, end, goes_on = pieces[i]
+        alone = self.names(text[begin:end]) if HINT.search(text, begin, end) else ()
+        if alone or not goes_on:
+            return alone, i
+        words = _WORD.finditer(_FOLD.sub(" ", text[begin : pieces[min(i + 2, len(pieces) - 1)][1]]).lower())
+        if not _BEGIN.match(" ".join(w.group() for w in islice(words, 3))):
+            return alone, i
+        last = i
+        while pieces[last][2] and last + 1 < len(pieces) and text[pieces[last + 1][0] : pieces[last + 1][1]].strip(" \t\r*/#;->"):
+            last += 1
+        if last == i or not HINT.search(text, begin, pieces[last][1]):
+            return alone, i
+        folded = _FOLD.sub(" ", text[begin : pieces[last][1]])
+        if not any(pattern.match(normalised(folded)) for _, pattern in self.known):
+            return alone, i
+        whole = self.names(folded)
+        if whole:
+            return whole, last
+        for j in range(i + 1, last):
+            some = self.names(_FOLD.sub(" ", text[begin : pieces[j][1]]))
+            if some:
+                return some, j
+        return (), i
+
     def __call__(self, text: str | None) -> tuple[list[str], list[tuple[str, str, int, int]]]:
         """Identifiers of the known sentences, and (licence, kind, start, end) of the rules that fit;
         positions are code points, end exclusive."""
         if not text or not HINT.search(text):
             return [], []
-        found, begin = [], 0
+        found, pieces, begin = [], [], 0
         for cut in [*_CUT.finditer(text), None]:
             end = cut.start() if cut else len(text)
-            sentence = text[begin:end]
-            if sentence and HINT.search(sentence):
-                found += [(name, begin, end) for name in self.names(sentence)]
+            pieces.append((begin, end, cut is not None and cut.group() == "\n" and text[end - 1 : end] not in (".", "!", "?")))
             begin = cut.end() if cut else end
+        i = 0
+        while i < len(pieces):
+            names, last = self._at(text, pieces, i)
+            found += [(name, pieces[i][0], pieces[last][1]) for name in names]
+            i = last + 1
+        spdx = [m for name, begin, end in found if name == "spdx" for m in [_SPDX.search(text, begin, end)] if m]
         taken, out = np.zeros(len(found), bool), []
         for rule in self.rules:
             n = len(rule.sentences)
@@ -105,6 +143,10 @@ class Recogniser:
                 if not taken[i : i + n].any() and tuple(x[0] for x in found[i : i + n]) == rule.sentences:
                     taken[i : i + n] = True
                     out.append((rule.licence, rule.kind, found[i][1], found[i + n - 1][2]))
+        for m in spdx:
+            for part in _SPDX_ID.finditer(text, m.start(1), m.end(1)):
+                if part.group().upper() not in ("AND", "OR", "WITH"):
+                    out.append((part.group().rstrip("."), "spdx", part.start(), part.start() + len(part.group().rstrip("."))))
         return [x[0] for x in found], sorted(out, key=lambda m: (m[2], m[0]))
 
 

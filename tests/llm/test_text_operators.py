@@ -127,6 +127,49 @@ def test_the_hint_loses_no_sentence():
         assert licenses.HINT.search(text) and licenses.Recogniser().names(text)
 
 
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated files, to deal in the Software without
+restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice in the documentation.
+
+THIS SOFTWARE IS PROVIDED BY THE AUTHOR""",
+    "GPL": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY.""",
+    "Apache-2.0": """Licensed under the Apache License,
+Version 2.0.""",
+}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+@pytest.mark.parametrize("licence", list(WRAPPED))
+def test_wrapped_licences(licence, mark):
+    text = WRAPPED[licence].replace("PROVIDED BY THE AUTHOR", 'PROVIDED "AS IS" AND\nANY WARRANTY IS DISCLAIMED.')
+    whole = "\n".join(mark + line for line in text.split("\n"))
+    assert [m[0] for m in licenses.Recogniser()(whole)[1]] == [licence]
+
+
+def test_spdx_names():
+    read = licenses.Recogniser()
+    assert [m[:2] for m in read("// SPDX-License-Identifier: MIT\nint a;")[1]] == [("MIT", "spdx")]
+    assert [m[0] for m in read("SPDX-License-Identifier: (Apache-2.0 OR GPL-2.0-only)")[1]] == ["Apache-2.0", "GPL-2.0-only"]
+
+
 def test_licences_of_messy_rows(spark, messy, nothing):
     got = licenses.summarised(licenses.find_licences(messy)).collect()
     assert len(got) == messy.count() and all(r["licences"] == "" for r in got)
