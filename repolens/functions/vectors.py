@@ -34,5 +34,7 @@ def pseudo_embedding(text: Column, dimensions: int) -> Column:
         return F.struct(digest.alias("seed"), F.concat(state["hex"], digest).alias("hex"))
 
     digits = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: s["hex"])
-    byte = lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("double")
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: byte(i) / 255 - 0.5)
+    byte = lambda h, i: F.conv(F.substring(h, 2 * i + 1, F.lit(2)), 16, 10).cast("double")
+    places = F.sequence(F.lit(0), F.lit(dimensions - 1))
+    # a lambda's variable is computed once: the digests are not made anew for each component
+    return F.get(F.transform(F.array(digits), lambda h: F.transform(places, lambda i: byte(h, i) / 255 - 0.5)), F.lit(0))

@@ -41,11 +41,10 @@ def line_metrics(files: DataFrame, text: str = "content", language: str = "langu
     content counts as empty (one blank line).
     """
     token, blocks = line_token(F.col(language)), F.coalesce(F.col(language).isin(SLASHES), F.lit(False))
-    lines = lines_of(F.coalesce(F.col(text), F.lit("")))
+    lines = F.transform(lines_of(F.coalesce(F.col(text), F.lit(""))), trim_all)  # once, before the fold names them often
     start = F.struct(F.lit(False).alias("open"), F.lit(0).alias("blank"), F.lit(0).alias("comment"))
 
-    def step(s: Column, raw: Column) -> Column:
-        line = trim_all(raw)
+    def step(s: Column, line: Column) -> Column:
         empty = line == ""
         opens = blocks & ~s["open"] & line.startswith("/*")
         comment = ~empty & (s["open"] | opens | F.coalesce(line.startswith(token), F.lit(False)))
@@ -53,7 +52,7 @@ def line_metrics(files: DataFrame, text: str = "content", language: str = "langu
         still = F.when(empty, s["open"]).when(s["open"] | opens, ~closed).otherwise(F.lit(False))
         return F.struct(still.alias("open"), (s["blank"] + empty.cast("int")).alias("blank"), (s["comment"] + comment.cast("int")).alias("comment"))
 
-    counted = files.withColumn("__n", F.aggregate(lines, start, step)).withColumn("line_count", F.size(lines))
+    counted = files.withColumn("__n", F.aggregate(lines, start, step)).withColumn("line_count", F.size(lines_of(F.coalesce(F.col(text), F.lit("")))))
     return counted.withColumns({
         "blank_line_count": F.col("__n.blank"),
         "comment_line_count": F.col("__n.comment"),

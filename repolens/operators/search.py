@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,12 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vectors import cosine
+from ..sources.shared import stored
 
 SEMANTIC, LEXICAL = 0.75, 0.25
 POOL_FACTOR, POOL_MOST = 4, 100
-#: Rows of the query table up to which it is sent to every task.
-BROADCAST_QUERIES = 2_000
+#: Queries of a block that is sent to every task.
+BLOCK_QUERIES = 2_000
 
 
 def query_tokens(query: Column) -> Column:
@@ -39,15 +40,14 @@ def _best(scored: DataFrame, pool: int) -> DataFrame:
     return scored.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= pool).drop("__n")
 
 
-def _scored_by_matrix(asked: pa.Table, chunks: DataFrame, pool: int) -> DataFrame:
-    """Every query against the chunks of its repository, batch by batch as one matrix product; a batch
-    gives at most `pool` rows for each query."""
-    names = [c for c in chunks.columns if c != "embedding"]
-    schema = T.StructType([*[chunks.schema[c] for c in names], *T.StructType.fromDDL("query_id string, query string, semantic_score double").fields])
+def _scored(asked: pa.Table, chunks: DataFrame, pool: int) -> DataFrame:
+    """(query_id, chunk_id, semantic_score): every query against the chunks of its repository, batch by
+    batch as one matrix product; a batch gives at most `pool` rows for each query, and those that tie."""
+    schema = T.StructType([T.StructField("query_id", T.StringType()), chunks.schema["chunk_id"], T.StructField("semantic_score", T.DoubleType())])
     by_repository: dict = {}
-    for query_id, repository, query, vector in zip(*[asked[c].to_pylist() for c in ("query_id", "repository_id", "query", "vector")], strict=True):
+    for query_id, repository, vector in zip(*[asked[c].to_pylist() for c in ("query_id", "repository_id", "vector")], strict=True):
         if vector is not None and None not in vector:
-            by_repository.setdefault(repository, []).append((query_id, query, np.array(vector, np.float64)))
+            by_repository.setdefault(repository, []).append((query_id, np.array(vector, np.float64)))
     shared = chunks.sparkSession.sparkContext.broadcast(by_repository)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,46 +56,45 @@ def _scored_by_matrix(asked: pa.Table, chunks: DataFrame, pool: int) -> DataFram
             vectors = batch.column("embedding").to_pylist()
             for repository in set(repositories.tolist()):
                 own = np.flatnonzero(repositories == repository)
-                for width in {len(q[2]) for q in shared.value.get(repository, ())}:
+                for width in {len(q[1]) for q in shared.value.get(repository, ())}:
                     rows = np.array([i for i in own if len(vectors[i]) == width and None not in vectors[i]], np.int64)
-                    wanted = [q for q in shared.value[repository] if len(q[2]) == width]
+                    wanted = [q for q in shared.value[repository] if len(q[1]) == width]
                     if not len(rows):
                         continue
                     left = np.array([vectors[i] for i in rows], np.float64)
-                    right = np.array([q[2] for q in wanted])
+                    right = np.array([q[1] for q in wanted])
                     sizes = np.sqrt((left * left).sum(axis=1))[:, None] * np.sqrt((right * right).sum(axis=1))[None, :]
                     with np.errstate(invalid="ignore", divide="ignore"):
                         scores = np.where(sizes > 0, left @ right.T / sizes, np.nan)
-                    for (query_id, query, _), score in zip(wanted, scores.T, strict=True):
+                    for (query_id, _), score in zip(wanted, scores.T, strict=True):
                         known = np.flatnonzero(~np.isnan(score))
                         if len(known) > pool:  # all that tie with the last one stay
                             least = np.partition(score[known], len(known) - pool)[len(known) - pool]
                             known = known[score[known] >= least]
-                        if not len(known):
-                            continue
-                        picked = batch.take(pa.array(rows[known]))
-                        yield pa.RecordBatch.from_arrays([*[picked.column(c) for c in names], pa.array([query_id] * len(known), pa.string()), pa.array([query] * len(known), pa.string()), pa.array(score[known])], names=schema.names)
+                        if len(known):
+                            yield pa.RecordBatch.from_arrays([pa.array([query_id] * len(known), pa.string()), batch.column("chunk_id").take(pa.array(rows[known])), pa.array(score[known])], names=schema.names)
 
-    return chunks.select(*names, "embedding").mapInArrow(run, schema)
+    return chunks.select("repository_id", "chunk_id", "embedding").mapInArrow(run, schema)
 
 
-def candidates(queries: DataFrame, chunks: DataFrame, limit: int = 10, most: int = BROADCAST_QUERIES) -> DataFrame:
+def candidates(queries: DataFrame, chunks: DataFrame, limit: int = 10, most: int = BLOCK_QUERIES) -> DataFrame:
     """The pool of each query: its repository's chunks nearest by cosine, min(4 * limit, 100) of them,
-    exactly; ties to the smaller chunk_id. Vectors are dropped once scored, before any ranking.
+    exactly; ties to the smaller chunk_id. What is ranked is ids and scores; the chunks of the pools,
+    and the queries, are joined to them after it.
 
     queries(query_id, repository_id, query, vector); chunks(chunk_id, repository_id, content,
-    symbol_name, embedding, ...). Chunks without a vector, and pairs without a cosine, take no part. Up
-    to `most` queries are sent to every task and scored as matrix products; more are joined with the
-    chunks on the repository and scored by built-in functions.
+    symbol_name, embedding, ...), each with ids of its own. Chunks without a vector, and pairs without a
+    cosine, take no part. Queries are sent to all tasks in blocks of about `most`; of several blocks each
+    is scored and written before the next.
     """
     pool = min(POOL_FACTOR * limit, POOL_MOST)
     asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "repository_id", "query", "vector")
     there = chunks.where("embedding is not null")
-    few = asked.limit(most + 1).toArrow()
-    if len(few) <= most:
-        return _best(_scored_by_matrix(few, there, pool), pool)
-    scored = there.join(asked, "repository_id").withColumn("semantic_score", cosine(F.col("embedding"), F.col("vector")))
-    return _best(scored.drop("embedding", "vector").where("semantic_score is not null"), pool)
+    blocks = max(1, -(-asked.count() // most))
+    block = lambda b: asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "repository_id", "vector").toArrow()
+    parts = [_scored(block(0), there, pool)] if blocks == 1 else [stored(_best(_scored(block(b), there, pool), pool), "pools") for b in range(blocks)]
+    best = _best(functools.reduce(DataFrame.unionByName, parts), pool)
+    return best.join(asked.select("query_id", "query"), "query_id").join(there.drop("embedding"), "chunk_id")
 
 
 def hybrid_rank(pool: DataFrame, limit: int = 10) -> DataFrame:

@@ -46,9 +46,14 @@ def _repos(spark: SparkSession, d: str) -> DataFrame:
 # --- sources and sinks ---------------------------------------------------------------------------
 
 
-@query()
+@query("SELECT 'doc=' || doc_id AS folder, strlen(coalesce(text, '')) + 1 AS size, sha256(coalesce(text, '') || chr(10)) AS digest FROM documents")
 def a1_read_tree(spark, d):
-    return tree.read_tree(spark, d).select("path", "name", "size")
+    """The texts as a tree of one file each, read back."""
+    root = shared_folder(spark, "tree")
+    texts = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    texts.write.partitionBy("doc").option("maxRecordsPerFile", 1).text(root)
+    found = tree.read_tree(spark, root).where("name like 'part-%'")
+    return found.select(X.parent_folder(F.col("path")).alias("folder"), "size", F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
 
 
 @query("""
@@ -298,14 +303,6 @@ def _parsed(spark, d):
     return symbols.with_parent_ids(given.select(*cols).unionByName(found.select(*cols)))
 
 
-@query()
-def c6_analyze_files(spark, d):
-    f, s = view(spark, d, "files"), stored(_parsed(spark, d), "symbols")
-    found = symbols.extract_imports(f)
-    metrics = lines.file_metrics(f, s, found)
-    return rules.run_rules(rules.Context(f, s, metrics)).select("run_id", "file_id", "rule_id", "severity", "message", "line")
-
-
 # --- symbols and imports -------------------------------------------------------------------------
 
 _IMPORTS = r"""
@@ -326,7 +323,49 @@ def d1_d4_imports(spark, d):
     return symbols.extract_imports(view(spark, d, "files"))
 
 
-@query()
+_WORD = r"[\p{L}\p{N}_]"
+_SP = r"[\s\p{Z}\x0B\x1C-\x1F\x85]"
+_GROUP = lambda text, pattern, n: f"regexp_extract({text}, '{pattern}', {n})"
+#: Per language: heads of classes and of functions, matched against the line.
+_PY_CLASS, _PY_DEF = rf"^({_SP}*)class{_SP}+([A-Za-z_]{_WORD}*)", rf"^({_SP}*)def{_SP}+([A-Za-z_]{_WORD}*){_SP}*\(([^)]*)\)"
+_JA_IMPORT, _JA_CLASS = rf"^{_SP}*import{_SP}+(?:static{_SP}+)?([\p{{L}}\p{{N}}_.*]+){_SP}*;", rf"^(?:{_SP}*)(?:public|private|protected|static|final|abstract|{_SP})*class{_SP}+({_WORD}+)"
+_JA_FACE, _JA_METHOD = rf"^(?:{_SP}*)(?:public|private|protected|{_SP})*interface{_SP}+({_WORD}+)", rf"^(?:public|private|protected|static|final|synchronized|abstract|native|{_SP})*[\p{{L}}\p{{N}}_<>\[\],.]+{_SP}+({_WORD}+){_SP}*\(([^;{{)]*)\){_SP}*(?:throws{_SP}+[\p{{L}}\p{{N}}_,\s\p{{Z}}]+)?\{{"
+_CC_CLASS, _CC_FUNC = rf"^{_SP}*class{_SP}+({_WORD}+)", rf"^[\p{{L}}\p{{N}}_:<>*&,\s\p{{Z}}]+[\s\p{{Z}}*&]({_WORD}+){_SP}*\(([^;{{)]*)\){_SP}*(?:const{_SP}*)?\{{"
+_GO_STRUCT, _GO_FUNC = rf"^type{_SP}+({_WORD}+){_SP}+struct{_SP}*\{{", rf"^func{_SP}+(?:\([^)]*\){_SP}*)?({_WORD}+){_SP}*\(([^)]*)\)[^{{]*\{{"
+_STRIP = lambda text: f"regexp_replace({text}, '^{_SP}+|{_SP}+$', '', 'g')"
+_INNER = r"regexp_extract(text, '\(([^)]*)\)', 1)"
+_SYMBOLS = rf"""
+, l0 AS MATERIALIZED (SELECT run_id, file_id, language, line, CASE WHEN language = 'Go' THEN {_STRIP('text')} ELSE text END AS text FROM ({_LINES}) WHERE language IN ('Python', 'Java', 'C', 'C++', 'Go')),
+l1 AS (SELECT *, CASE WHEN language = 'Go' AND regexp_matches(text, '^import{_SP}*\(') THEN 1 WHEN language = 'Go' AND text = ')' THEN 0 END AS mark, length(text) - length(replace(text, '{{', '')) AS opens, length(text) - length(replace(text, '}}', '')) AS shuts FROM l0),
+l2 AS MATERIALIZED (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY run_id, file_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 OR mark = 1 AS importing,
+  sum(opens - shuts) OVER (PARTITION BY run_id, file_id ORDER BY line) AS depth, count(*) OVER (PARTITION BY run_id, file_id) AS total,
+  CASE WHEN regexp_matches(text, '^{_SP}*$') THEN NULL ELSE length(text) - length(regexp_replace(text, '^{_SP}+', '')) END AS indent FROM l1),
+h AS (SELECT *, CASE language WHEN 'Python' THEN {_GROUP('text', _PY_CLASS, 2)} WHEN 'Java' THEN CASE WHEN regexp_matches(text, '{_JA_IMPORT}') THEN '' WHEN regexp_matches(text, '{_JA_FACE}') THEN {_GROUP('text', _JA_FACE, 1)} ELSE {_GROUP('text', _JA_CLASS, 1)} END
+    WHEN 'Go' THEN {_GROUP('text', _GO_STRUCT, 1)} ELSE {_GROUP('text', _CC_CLASS, 1)} END AS holder,
+  CASE language WHEN 'Python' THEN {_GROUP('text', _PY_DEF, 2)} WHEN 'Java' THEN {_GROUP('text', _JA_METHOD, 1)} WHEN 'Go' THEN {_GROUP('text', _GO_FUNC, 1)} ELSE {_GROUP('text', _CC_FUNC, 1)} END AS call,
+  CASE language WHEN 'Python' THEN {_GROUP('text', _PY_DEF, 3)} WHEN 'Java' THEN {_GROUP('text', _JA_METHOD, 2)} WHEN 'Go' THEN {_GROUP('text', _GO_FUNC, 2)} ELSE {_GROUP('text', _CC_FUNC, 2)} END AS args,
+  language = 'Java' AND regexp_matches(text, '{_JA_FACE}') AS face
+  FROM l2 WHERE NOT coalesce(importing, false) AND NOT (language IN ('C', 'C++') AND regexp_matches(text, '^{_SP}*#include{_SP}*[<"]([^>"]+)[>"]'))),
+hd AS MATERIALIZED (SELECT *, depth - opens + shuts AS before FROM h WHERE holder <> '' OR (call <> '' AND (language IN ('Python', 'Go') OR call NOT IN ({_IN(symbols.CONTROL)})))),
+op AS (SELECT hd.run_id, hd.file_id, hd.line, min(l.line) AS k FROM hd JOIN l2 AS l USING (run_id, file_id) WHERE hd.language <> 'Python' AND l.line >= hd.line AND l.opens > 0 GROUP BY ALL),
+be AS (SELECT hd.run_id, hd.file_id, hd.line, coalesce(min(l.line), any_value(hd.total)) AS ending FROM hd LEFT JOIN op USING (run_id, file_id, line) LEFT JOIN l2 AS l ON l.run_id = hd.run_id AND l.file_id = hd.file_id AND l.line >= op.k AND l.depth <= hd.before WHERE hd.language <> 'Python' GROUP BY ALL),
+sh AS (SELECT hd.run_id, hd.file_id, hd.line, min(l.line) AS k FROM hd LEFT JOIN l2 AS l ON l.run_id = hd.run_id AND l.file_id = hd.file_id AND l.line > hd.line AND l.indent <= hd.indent WHERE hd.language = 'Python' GROUP BY ALL),
+pe AS (SELECT sh.run_id, sh.file_id, sh.line, coalesce(max(l.line), sh.line) AS ending FROM sh LEFT JOIN l2 AS l ON l.run_id = sh.run_id AND l.file_id = sh.file_id AND l.line > sh.line AND l.indent IS NOT NULL AND (sh.k IS NULL OR l.line < sh.k) GROUP BY sh.run_id, sh.file_id, sh.line),
+e AS MATERIALIZED (SELECT hd.*, x.ending FROM hd JOIN (SELECT * FROM be UNION ALL SELECT * FROM pe) AS x USING (run_id, file_id, line)),
+lo AS (SELECT c.run_id, c.file_id, c.line, j.line AS of, min(k.indent) AS least FROM e AS c JOIN e AS j ON j.run_id = c.run_id AND j.file_id = c.file_id AND j.line < c.line AND j.holder <> '' JOIN e AS k ON k.run_id = c.run_id AND k.file_id = c.file_id AND k.line > j.line AND k.line <= c.line WHERE c.language = 'Python' GROUP BY ALL),
+pa AS (SELECT c.run_id, c.file_id, c.line, max_by(j.holder, j.line) AS parent FROM e AS c JOIN e AS j ON j.run_id = c.run_id AND j.file_id = c.file_id AND j.line < c.line AND j.holder <> ''
+  LEFT JOIN lo ON lo.run_id = c.run_id AND lo.file_id = c.file_id AND lo.line = c.line AND lo.of = j.line WHERE CASE WHEN c.language = 'Python' THEN lo.least > j.indent ELSE j.ending >= c.line END GROUP BY ALL),
+f AS (SELECT e.*, parent, len(list_filter(string_split({_INNER}, ','), lambda p: {_STRIP('p')} <> '')) AS n FROM e LEFT JOIN pa USING (run_id, file_id, line) WHERE holder <> '' OR language <> 'Java' OR parent IS NOT NULL),
+sy2 AS (SELECT run_id, file_id, (row_number() OVER (PARTITION BY run_id, file_id ORDER BY line) - 1)::INT AS ordinal, CASE WHEN holder <> '' THEN holder ELSE call END AS name,
+  CASE WHEN holder <> '' THEN CASE WHEN face THEN 'INTERFACE' ELSE 'CLASS' END WHEN language = 'Java' OR (language <> 'Go' AND parent IS NOT NULL) THEN 'METHOD' ELSE 'FUNCTION' END AS kind, line::INT AS start_line, ending::INT AS end_line,
+  CASE WHEN language = 'Go' THEN regexp_matches(CASE WHEN holder <> '' THEN holder ELSE call END, '^[A-Z]') WHEN holder <> '' OR language IN ('C', 'C++') THEN true WHEN language = 'Java' THEN NOT contains(text, 'private') ELSE NOT starts_with(call, '_') END AS exported, parent AS parent_name,
+  CASE WHEN holder <> '' THEN CASE language WHEN 'Go' THEN 'type ' || holder || ' struct' ELSE CASE WHEN face THEN 'interface ' ELSE 'class ' END || holder END
+    ELSE CASE language WHEN 'Python' THEN 'def ' WHEN 'Go' THEN 'func ' ELSE '' END || call || '(' || {_STRIP('args')} || ')' END AS signature,
+  CASE WHEN holder <> '' THEN NULL WHEN language = 'Python' AND parent IS NOT NULL THEN greatest(0, n - 1) ELSE n END::INT AS parameter_count FROM f)
+"""
+
+
+@query(_SYMBOLS + "SELECT * FROM sy2", "files")
 def d5_d9_symbols(spark, d):
     return symbols.extract_symbols(view(spark, d, "files"))
 
@@ -384,16 +423,34 @@ _R3 = "SELECT run_id, file_id, 'FUNCTION_TOO_LONG' AS rule_id, CASE WHEN end_lin
 _R4 = "SELECT run_id, file_id, 'TOO_MANY_PARAMETERS' AS rule_id, 'LOW' AS severity, name || ' has ' || parameter_count || ' parameters, above the configured threshold of 5' AS message, start_line AS line FROM symbols WHERE kind IN ('FUNCTION', 'METHOD') AND parameter_count > 5"
 _R5 = rf"SELECT run_id, file_id, 'TODO_COMMENT' AS rule_id, 'INFO' AS severity, substr(marker || ' comment: ' || CASE WHEN rest <> '' THEN rest ELSE trim(text) END, 1, 240) AS message, line::INT AS line FROM (SELECT *, regexp_extract(text, '\b(TODO|FIXME)\b', 1) AS marker, trim(regexp_extract(text, '\b(TODO|FIXME)\b:?\s*(.*)', 2)) AS rest FROM ({_LINES}) WHERE regexp_matches(text, '\b(TODO|FIXME)\b'))"
 
+_C6_RULES = " UNION ALL ".join([
+    *[r.replace("FROM symbols", "FROM cs") for r in (_R1, _R3, _R4)],
+    _R2.replace("FROM fm", "FROM lm").replace("> 40", "> 1000").replace("of 20", "of 500").replace("> 20", "> 500"), _R5,
+])
+
+
+@query(_METRICS + _SYMBOLS + f"""
+, cs AS (SELECT s.run_id, s.file_id, s.name, s.kind, s.start_line, s.end_line, s.complexity, s.parameter_count FROM symbols AS s JOIN files AS g ON g.run_id = s.run_id AND g.file_id = s.file_id WHERE g.language IN ('TypeScript', 'JavaScript')
+  UNION ALL SELECT run_id, file_id, name, kind, start_line, end_line, NULL, parameter_count FROM sy2)
+{_C6_RULES}
+""", "files", "symbols")
+def c6_analyze_files(spark, d):
+    f, s = view(spark, d, "files"), stored(_parsed(spark, d), "symbols")
+    found = symbols.extract_imports(f)
+    metrics = lines.file_metrics(f, s, found)
+    return rules.run_rules(rules.Context(f, s, metrics)).select("run_id", "file_id", "rule_id", "severity", "message", "line")
+
+
 #: The derived files are short: a lower line limit lets the rule find some.
 LIMITS_OF_RULES = rules.Thresholds(file_too_large_lines=20)
 
 
-def _context(spark, d):
-    return rules.Context(view(spark, d, "files"), view(spark, d, "symbols"), _file_metrics(spark, d), LIMITS_OF_RULES)
+def _context(spark, d, metrics=None):
+    return rules.Context(view(spark, d, "files"), view(spark, d, "symbols"), metrics or _file_metrics(spark, d), LIMITS_OF_RULES)
 
 
-def _findings(spark, d):
-    return rules.run_rules(_context(spark, d)).withColumn("created_at", F.lit(NOW).cast("timestamp_ntz"))
+def _findings(spark, d, metrics=None):
+    return rules.run_rules(_context(spark, d, metrics)).withColumn("created_at", F.lit(NOW).cast("timestamp_ntz"))
 
 
 @query(_R1, "symbols")
@@ -464,7 +521,8 @@ SELECT run_id, file_id, line_count, coalesce((SELECT count(*) FROM symbols AS s
        coalesce((SELECT count(*) FROM imports AS i WHERE i.run_id = fm.run_id AND i.file_id = fm.file_id), 0) AS import_total, coalesce((SELECT count(*) FROM fi WHERE fi.run_id = fm.run_id AND fi.file_id = fm.file_id), 0) AS finding_total FROM fm
 """, *_NEED)
 def p3_file_explorer(spark, d):
-    found = reports.file_explorer(_file_metrics(spark, d), view(spark, d, "symbols"), view(spark, d, "imports"), _findings(spark, d))
+    metrics = stored(_file_metrics(spark, d), "metrics")
+    found = reports.file_explorer(metrics, view(spark, d, "symbols"), view(spark, d, "imports"), _findings(spark, d, metrics))
     return found.select("run_id", "file_id", "line_count", "symbol_total", "import_total", "finding_total")
 
 
@@ -582,7 +640,34 @@ def e1_regions(spark, d):
     return found.select("run_id", "file_id", "place", "start_line", "end_line", "symbol_id")
 
 
-@query()
+def _chunks(target: int, most: int, overlap: int) -> str:
+    """Regions, two levels of children for oversized ones, then line ranges for those still too long."""
+    text = "array_to_string(string_split(content, chr(10))[greatest(a, 1):b], chr(10))"
+    out = _REGIONS + """,
+r0 AS (SELECT g.run_id, g.file_id, row_number() OVER (PARTITION BY g.run_id, g.file_id ORDER BY place) AS place, a, b, g.symbol_id, s.name FROM g LEFT JOIN symbols AS s ON s.run_id = g.run_id AND s.file_id = g.file_id AND s.symbol_id = g.symbol_id)"""
+    for i in range(chunks.DEPTH):
+        out += f""",
+o{i} AS (SELECT r.run_id, r.file_id, r.place, r.a, r.b, r.symbol_id, r.name, c.symbol_id AS cid, c.name AS cname, c.start_line AS cs, c.end_line AS ce, row_number() OVER w AS n, lag(c.end_line) OVER w + 1 AS after, lead(c.end_line) OVER w IS NULL AS last
+  FROM r{i} AS r JOIN t USING (run_id, file_id) JOIN symbols AS c ON c.run_id = r.run_id AND c.file_id = r.file_id AND c.parent_id = r.symbol_id WHERE length({text}) > {most} WINDOW w AS (PARTITION BY r.run_id, r.file_id, r.place ORDER BY c.start_line, c.ordinal)),
+n{i} AS (SELECT *, 0 AS sub FROM r{i} ANTI JOIN o{i} USING (run_id, file_id, place)
+  UNION ALL SELECT run_id, file_id, place, coalesce(after, a), cs - 1, symbol_id, name, 3 * n FROM o{i} WHERE cs > coalesce(after, a)
+  UNION ALL SELECT run_id, file_id, place, cs, ce, cid, cname, 3 * n + 1 FROM o{i}
+  UNION ALL SELECT run_id, file_id, place, ce + 1, b, symbol_id, name, 3 * n + 2 FROM o{i} WHERE last AND ce + 1 <= b),
+r{i + 1} AS (SELECT run_id, file_id, row_number() OVER (PARTITION BY run_id, file_id ORDER BY place, sub) AS place, a, b, symbol_id, name FROM n{i})"""
+    upto = f"list_min(list_filter(range(a + 1, n + 1), lambda e: e = n OR p[e + 1] - p[a + 1] >= {target} OR p[e + 2] - p[a + 1] > {most}))"
+    return out + f""",
+tx AS MATERIALIZED (SELECT r.*, t.path, t.language, {text} AS text, EXISTS (SELECT 1 FROM symbols AS s WHERE s.run_id = r.run_id AND s.file_id = r.file_id) AS has FROM r{chunks.DEPTH} AS r JOIN t USING (run_id, file_id)),
+ln AS (SELECT run_id, file_id, place, list_transform(string_split(text, chr(10)), lambda x: length(x) + 1) AS l FROM tx WHERE length(text) > {most}),
+pr AS MATERIALIZED (SELECT run_id, file_id, place, len(l) AS n, list_transform(range(0, len(l) + 1), lambda i: coalesce(list_sum(l[1:i]), 0)) AS p FROM ln),
+cut AS (SELECT run_id, file_id, place, 0 AS part, a, {upto} AS b, n FROM (SELECT *, 0::BIGINT AS a FROM pr)
+  UNION ALL SELECT run_id, file_id, place, part, a, {upto} AS b, n FROM (SELECT pr.*, part + 1 AS part, greatest(b - {overlap}, a + 1) AS a FROM cut JOIN pr USING (run_id, file_id, place) WHERE b < cut.n)),
+pc AS (SELECT tx.*, 0 AS part, a AS start_line, b AS end_line, text AS piece FROM tx WHERE length(text) <= {most}
+  UNION ALL SELECT tx.*, part, tx.a + cut.a, tx.a + cut.b - 1, array_to_string(string_split(text, chr(10))[cut.a + 1:cut.b], chr(10)) FROM tx JOIN cut USING (run_id, file_id, place)),
+ck AS (SELECT *, row_number() OVER (PARTITION BY run_id, file_id ORDER BY place, part) - 1 AS i FROM pc WHERE NOT (symbol_id IS NULL AND has AND length(regexp_replace(piece, '^\\s+|\\s+$', '', 'g')) < 40))
+"""
+
+
+@query(_chunks(300, 600, 1) + "SELECT run_id, file_id, i::INT AS chunk_index, path AS file_path, language, start_line::INT AS start_line, end_line::INT AS end_line, symbol_id, name AS symbol_name, sha256(path || '::' || i || '::' || piece) AS content_hash, length(piece)::INT AS char_count FROM ck", "files", "symbols")
 def e2_e3_chunks(spark, d):
     return chunks.chunk_files(view(spark, d, "files"), view(spark, d, "symbols"), chunks.Chunking(target_chars=300, max_chars=600, overlap_lines=1)).drop("content")
 
@@ -648,14 +733,27 @@ def e12_vector_check(spark, d):
 
 # --- search --------------------------------------------------------------------------------------
 
-_POOL = """
-, sc AS (SELECT q.query_id, q.query, c.chunk_id, c.content, c.symbol_name, c.file_path, c.start_line, c.end_line, list_cosine_similarity(c.embedding::DOUBLE[], q.vector::DOUBLE[]) AS sem FROM queries AS q JOIN chunks AS c ON c.repository_id = q.repository_id WHERE c.embedding IS NOT NULL),
-pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sem DESC, chunk_id) AS n FROM sc) WHERE n <= 40),
+def _search(queries: str, limit: int) -> str:
+    return f"""
+, sc AS (SELECT q.query_id, q.query, c.chunk_id, c.content, c.symbol_name, c.file_path, c.start_line, c.end_line, list_cosine_similarity(c.embedding::DOUBLE[], q.vector::DOUBLE[]) AS sem FROM {queries} AS q JOIN chunks AS c ON c.repository_id = q.repository_id WHERE c.embedding IS NOT NULL),
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sem DESC, chunk_id) AS n FROM sc) WHERE n <= {4 * limit}),
 tk AS (SELECT *, list_filter(string_split_regex(lower(query), '[^a-zA-Z0-9_]+'), lambda t: length(t) >= 2) AS tokens FROM pool),
 hi AS (SELECT *, len(list_filter(tokens, lambda t: contains(lower(content), t) OR contains(lower(coalesce(symbol_name, '')), t))) AS hits FROM tk),
 lx AS (SELECT *, CASE WHEN len(tokens) = 0 THEN NULL WHEN hits = 0 THEN 0.0 WHEN list_contains(tokens, lower(coalesce(symbol_name, ''))) THEN greatest(hits / len(tokens), 0.95) ELSE hits / len(tokens) END AS lex FROM hi),
 rk AS (SELECT *, CASE WHEN lex IS NULL THEN sem ELSE 0.75 * sem + 0.25 * lex END AS fin FROM lx),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fin, 9) DESC, round(sem, 9) DESC, chunk_id) AS r FROM rk) WHERE r <= 10)
+top AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fin, 9) DESC, round(sem, 9) DESC, chunk_id) AS r FROM rk) WHERE r <= {limit})
+"""
+
+
+_POOL = _search("queries", 10)
+_CITED = "CASE WHEN start_line IS NULL OR end_line IS NULL THEN file_path WHEN start_line = end_line THEN file_path || ':' || start_line ELSE file_path || ':' || start_line || '-' || end_line END"
+#: The chunks of a context, one by one in rank order: each that fits is taken.
+_BUDGET = f"""
+, ri AS (SELECT query_id, r, length(content) AS size, {_CITED} AS citation, '### ' || {_CITED} || CASE WHEN coalesce(symbol_name, '') <> '' THEN ' — ' || symbol_name ELSE '' END || chr(10) || '```' || chr(10) || content || chr(10) || '```' AS body FROM top),
+fold AS (SELECT DISTINCT query_id, 0::BIGINT AS r, 0::BIGINT AS n, 0::BIGINT AS total, 0::BIGINT AS cut, []::VARCHAR[] AS citations, ''::VARCHAR AS bodies FROM ri
+  UNION ALL SELECT f.query_id, f.r + 1, f.n + fit, f.total + fit * size, f.cut + 1 - fit, CASE fit WHEN 1 THEN list_append(citations, citation) ELSE citations END, CASE fit WHEN 1 THEN bodies || chr(10) || chr(10) || body ELSE bodies END
+  FROM (SELECT f.*, ri.size, ri.citation, ri.body, CASE WHEN f.n < 8 AND f.total + ri.size <= 6000 THEN 1 ELSE 0 END AS fit FROM fold AS f JOIN ri ON ri.query_id = f.query_id AND ri.r = f.r + 1) AS f),
+context AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r DESC) AS last FROM fold) WHERE last = 1)
 """
 
 
@@ -688,18 +786,25 @@ def _agent_search(spark, d):
     return search.search(asked, c, evidence.SEARCH_LIMIT)
 
 
-@query("SELECT repository_id || '/' || a AS query_id, least(12, count(*))::BIGINT AS n FROM chunks, (VALUES " + ", ".join(f"('{a[0]}')" for a in evidence.AGENTS) + ") AS s(a) WHERE embedding IS NOT NULL GROUP BY 1", "chunks")
+_AGENT_SEARCH = """
+, ag AS (SELECT * FROM (VALUES """ + ", ".join(f"('{a}', '{q}')" for a, _, q, _ in evidence.AGENTS) + """) AS s(agent, query)),
+fv AS (SELECT repository_id, arg_min(embedding, chunk_id::BIGINT) AS vector FROM chunks WHERE embedding IS NOT NULL GROUP BY repository_id),
+aq AS (SELECT repository_id || '/' || agent AS query_id, repository_id, query, vector FROM fv, ag)
+""" + _search("aq", evidence.SEARCH_LIMIT)
+
+
+@query(_AGENT_SEARCH + "SELECT query_id, chunk_id, r::INT AS rank, round(fin::DOUBLE, 6) AS final_score FROM top", "chunks")
 def s5_agent_queries(spark, d):
-    return _agent_search(spark, d).groupBy("query_id").agg(F.count("*").alias("n"))
+    return _agent_search(spark, d).select("query_id", "chunk_id", "rank", F.round("final_score", 6).alias("final_score"))
 
 
-@query()
+@query(_POOL + _BUDGET + "SELECT query_id, n::INT AS n, total::INT AS total_characters, cut::INT AS truncated, citations FROM context", "queries", "chunks")
 def s6_contexts(spark, d):
     made = search.build_context(_ranked(spark, d), 8, 6000)
     return made.select("query_id", F.size("chunks").alias("n"), "total_characters", "truncated", F.transform("chunks", lambda c: c["citation"]).alias("citations"))
 
 
-@query("SELECT chunk_id, CASE WHEN start_line IS NULL OR end_line IS NULL THEN file_path WHEN start_line = end_line THEN file_path || ':' || start_line ELSE file_path || ':' || start_line || '-' || end_line END AS citation FROM chunks", "chunks")
+@query(f"SELECT chunk_id, {_CITED} AS citation FROM chunks", "chunks")
 def s7_citations(spark, d):
     return view(spark, d, "chunks").select("chunk_id", search.citation(F.col("file_path"), F.col("start_line"), F.col("end_line")).alias("citation"))
 
@@ -741,20 +846,45 @@ def x2_relevant_findings(spark, d):
 
 
 def _records(spark, d):
-    f, found = view(spark, d, "files"), _findings(spark, d)
+    f, metrics = view(spark, d, "files"), stored(_file_metrics(spark, d), "metrics")
+    found = stored(_findings(spark, d, metrics), "findings")
     summary = rules.run_summary(f, view(spark, d, "symbols"), view(spark, d, "imports"), found).withColumn("repository_id", F.regexp_extract("run_id", r"(\d+)", 1))
     made = search.build_context(_agent_search(spark, d), evidence.CONTEXT_RESULTS, evidence.CONTEXT_CHARACTERS)
     parts = F.split("query_id", "/")
     contexts = made.select(F.concat(F.lit("src"), F.get(parts, F.lit(0))).alias("run_id"), F.get(parts, F.lit(1)).alias("agent"), "chunks")
-    return evidence.evidence_records(summary, _repos(spark, d), evidence.agent_specs(spark), found, _file_metrics(spark, d), f, contexts)
+    return evidence.evidence_records(summary, _repos(spark, d), evidence.agent_specs(spark), found, metrics, f, contexts)
+
+
+_RECORDS = _ALL + _AGENT_SEARCH + _BUDGET + f"""
+, names AS (SELECT * FROM (VALUES {", ".join(f"('{a}', {'NULL' if r is None else '[' + _IN(r) + ']'})" for a, _, _, r in evidence.AGENTS)}) AS s(agent, wanted)),
+su AS (SELECT run_id, count(*) AS files_analyzed, (SELECT count(*) FROM symbols AS s WHERE s.run_id = f.run_id) AS symbols_found, (SELECT count(*) FROM imports AS i WHERE i.run_id = f.run_id) AS imports_found, (SELECT count(*) FROM fi WHERE fi.run_id = f.run_id) AS findings_count FROM files AS f GROUP BY run_id),
+lv AS (SELECT run_id, {", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in SEVERITIES)} FROM fi GROUP BY run_id),
+lf AS (SELECT run_id, count(*) AS n_largest, chr(10) || chr(10) || 'Largest/most complex files:' || string_agg(chr(10) || '- ' || path || ': ' || line_count || ' lines' || CASE WHEN complexity IS NULL THEN '' ELSE ', complexity ' || complexity END, '' ORDER BY r) AS largest
+  FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY line_count DESC, path) AS r FROM fm) WHERE r <= 8 GROUP BY run_id),
+rf AS (SELECT run_id, agent, count(*) AS n_relevant, string_agg(chr(10) || '- [' || severity || '] ' || rule_id || ': ' || message || CASE WHEN path IS NULL THEN '' ELSE ' (' || path || CASE WHEN line IS NULL THEN '' ELSE ':' || line END || ')' END, '' ORDER BY r) AS relevant
+  FROM (SELECT fi.*, agent, f.path, row_number() OVER (PARTITION BY fi.run_id, agent ORDER BY {_SEV}, f.path NULLS FIRST, line NULLS FIRST, rule_id, message) AS r FROM fi CROSS JOIN names LEFT JOIN files AS f ON f.run_id = fi.run_id AND f.file_id = fi.file_id WHERE wanted IS NULL OR list_contains(wanted, rule_id)) WHERE r <= 15 GROUP BY run_id, agent),
+rec AS (SELECT su.*, names.agent, rp.full_name, rp.description, rp.default_branch, {", ".join(f"coalesce({s}, 0) AS {s}" for s in SEVERITIES)}, coalesce(n_largest, 0) AS n_largest, largest, coalesce(n_relevant, 0) AS n_relevant, relevant, coalesce(cx.n, 0) AS n_chunks, cx.bodies
+  FROM su JOIN repositories AS rp ON rp.repository_id = regexp_extract(su.run_id, '([0-9]+)', 1) CROSS JOIN names LEFT JOIN lv ON lv.run_id = su.run_id LEFT JOIN lf ON lf.run_id = su.run_id LEFT JOIN rf ON rf.run_id = su.run_id AND rf.agent = names.agent
+  LEFT JOIN context AS cx ON 'src' || split_part(cx.query_id, '/', 1) = su.run_id AND split_part(cx.query_id, '/', 2) = names.agent)
+"""
+_RECORD_VIEWS = ("files", "symbols", "imports", "chunks", "repositories")
 
 
-@query()
+@query(_RECORDS + "SELECT run_id, agent, full_name, files_analyzed, findings_count, " + ", ".join(SEVERITIES) + ", n_largest::INT AS n_largest, n_relevant::INT AS n_relevant, n_chunks::INT AS n_chunks FROM rec", *_RECORD_VIEWS)
 def x3_evidence_records(spark, d):
-    return _records(spark, d).select("run_id", "agent", "full_name", "files_analyzed", "findings_count", "severity_counts", F.size("largest_files").alias("n_largest"), F.size("relevant_findings").alias("n_relevant"), F.size("chunks").alias("n_chunks"))
+    return _records(spark, d).select("run_id", "agent", "full_name", "files_analyzed", "findings_count", "severity_counts.*", F.size("largest_files").alias("n_largest"), F.size("relevant_findings").alias("n_relevant"), F.size("chunks").alias("n_chunks"))
+
+
+_LEVELS = " || ', ' || ".join(f"'{s} ' || {s}" for s in AI_SEVERITIES)
 
 
-@query()
+@query(_RECORDS + f"""
+SELECT run_id, agent, 'Repository: ' || full_name || CASE WHEN coalesce(description, '') <> '' THEN ' — ' || description ELSE '' END || chr(10) || 'Default branch: ' || default_branch || chr(10) || chr(10)
+  || '## Deterministic analysis summary (Phase 4 — real, measured data, not an estimate)' || chr(10) || 'Files analyzed: ' || files_analyzed || chr(10) || 'Symbols found: ' || symbols_found || chr(10) || 'Imports found: ' || imports_found || chr(10)
+  || 'Total deterministic findings: ' || findings_count || ' (' || {_LEVELS} || ')' || coalesce(largest, '')
+  || CASE WHEN n_relevant > 0 THEN chr(10) || chr(10) || 'Relevant deterministic findings:' || relevant ELSE chr(10) || chr(10) || 'No relevant deterministic findings for this agent''s focus area.' END
+  || chr(10) || chr(10) || '## Retrieved source code evidence (semantic + lexical search, scoped to this agent''s focus area)' || CASE WHEN n_chunks = 0 THEN chr(10) || '(no relevant chunks were retrieved)' ELSE bodies END AS evidence FROM rec
+""", *_RECORD_VIEWS)
 def x4_evidence_text(spark, d):
     return evidence.evidence_text(_records(spark, d))
 
@@ -832,7 +962,7 @@ def x13_agent_progress(spark, d):
 # --- streams -------------------------------------------------------------------------------------
 
 
-@query()
+@query(_chunks(1600, 4000, 3) + "SELECT run_id, count(*) AS chunks, count(DISTINCT file_id) AS files FROM ck GROUP BY run_id", "files", "symbols")
 def t1_incremental_index(spark, d):
     base = shared_folder(spark, "index")
     view(spark, d, "files").select("run_id", "file_id", "path", "language", "content").write.parquet(f"{base}/arrivals")
@@ -862,6 +992,7 @@ def t2_embedding_progress(spark, d):
 
 def files_that_need_attention(spark: SparkSession, d: str) -> DataFrame:
     """Per file its size, its findings and the worst of them, worst files first."""
-    found = _findings(spark, d)
+    metrics = stored(_file_metrics(spark, d), "metrics")
+    found = _findings(spark, d, metrics)
     worst = found.groupBy("run_id", "file_id").agg(F.max(F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))).alias("worst"), F.count("*").alias("findings"))
-    return _file_metrics(spark, d).join(worst, ["run_id", "file_id"]).select("run_id", "path", "line_count", "findings", "worst").orderBy(F.desc("worst"), F.desc("findings"), "run_id", "path")
+    return metrics.join(worst, ["run_id", "file_id"]).select("run_id", "path", "line_count", "findings", "worst").orderBy(F.desc("worst"), F.desc("findings"), "run_id", "path")

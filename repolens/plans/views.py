@@ -78,20 +78,20 @@ VIEWS: dict[str, str] = {
     "ingestions": """
         SELECT cast(event_id AS varchar(20)) AS id, cast(user_id AS varchar(20)) AS repository_id, concat('sha', event_id % 40) AS commit_sha,
                CASE event_type WHEN 'purchase' THEN 'COMPLETED' WHEN 'click' THEN 'COMPLETED' WHEN 'view' THEN 'SCANNING' WHEN 'error' THEN 'FAILED' ELSE 'QUEUED' END AS status, ts AS created_at, ts AS updated_at
-        FROM events WHERE event_id % 3 = 0""",
+        FROM events""",
     "analyses": """
-        SELECT cast(event_id + 1 AS varchar(20)) AS id, cast(event_id AS varchar(20)) AS ingestion_id, cast(user_id AS varchar(20)) AS repository_id,
+        SELECT concat('a', event_id) AS id, cast(event_id + cast(floor(event_id / 3) AS bigint) AS varchar(20)) AS ingestion_id, cast(user_id AS varchar(20)) AS repository_id,
                CASE WHEN event_id % 7 < 4 THEN 'COMPLETED' WHEN event_id % 7 = 4 THEN 'PARSING' WHEN event_id % 7 = 5 THEN 'FAILED' ELSE 'PENDING' END AS status,
                cast(floor(CASE WHEN event_id % 5 <> 0 THEN value END) AS int) AS findings_count, ts AS created_at, ts AS updated_at
-        FROM events WHERE event_id % 3 = 0 AND event_id % 4 <> 1""",
+        FROM events""",
     "embeddings_runs": """
-        SELECT cast(event_id + 2 AS varchar(20)) AS id, cast(event_id + 1 AS varchar(20)) AS analysis_run_id, cast(user_id AS varchar(20)) AS repository_id,
+        SELECT concat('e', event_id) AS id, concat('a', event_id + cast(floor(event_id / 2) AS bigint)) AS analysis_run_id, cast(user_id AS varchar(20)) AS repository_id,
                CASE WHEN event_id % 9 < 6 THEN 'COMPLETED' WHEN event_id % 9 = 6 THEN 'EMBEDDING' ELSE 'FAILED' END AS status,
                cast(event_id % 13 AS int) AS discovered, cast(event_id % 5 AS int) AS reused, cast(event_id % 7 AS int) AS embedded, ts AS created_at, ts AS updated_at
-        FROM events WHERE event_id % 3 = 0 AND event_id % 4 = 0""",
+        FROM events""",
     "ai_runs": """
-        SELECT cast(event_id + 3 AS varchar(20)) AS id, cast(event_id + 1 AS varchar(20)) AS analysis_run_id, CASE WHEN event_id % 5 < 2 THEN 'RUNNING' ELSE 'COMPLETED' END AS status, ts AS created_at, ts AS updated_at
-        FROM events WHERE event_id % 3 = 0 AND event_id % 8 = 0""",
+        SELECT concat('x', event_id) AS id, concat('a', 2 * event_id) AS analysis_run_id, CASE WHEN event_id % 5 < 2 THEN 'RUNNING' ELSE 'COMPLETED' END AS status, ts AS created_at, ts AS updated_at
+        FROM events""",
     "chunks": """
         SELECT cast(e.vec_id AS varchar(20)) AS chunk_id, cast(e.label AS varchar(20)) AS repository_id, concat('src/doc_', d.doc_id, '.ts') AS file_path,
                CASE WHEN e.vec_id % 4 = 0 THEN 'the' WHEN e.vec_id % 4 = 1 THEN concat('sym_', e.vec_id) END AS symbol_name,
@@ -102,13 +102,13 @@ VIEWS: dict[str, str] = {
         SELECT cast(vec_id AS varchar(20)) AS query_id, cast(label AS varchar(20)) AS repository_id, CASE WHEN vec_id % 2 = 0 THEN 'the of_module request' ELSE '?? !' END AS query, embedding AS vector
         FROM embeddings WHERE vec_id % 20 = 3""",
     "agent_results": """
-        SELECT cast(conv_id AS varchar(20)) AS ai_run_id, CASE turn % 7 WHEN 0 THEN 'ARCHITECTURE' WHEN 1 THEN 'CODE_QUALITY' WHEN 2 THEN 'SECURITY' WHEN 3 THEN 'PERFORMANCE' WHEN 4 THEN 'DEPENDENCY_RISK' WHEN 5 THEN 'DOCUMENTATION' ELSE 'EXECUTIVE_SUMMARY' END AS agent,
+        SELECT concat(conv_id, '-', cast(floor(turn / 7) AS int)) AS ai_run_id, CASE turn % 7 WHEN 0 THEN 'ARCHITECTURE' WHEN 1 THEN 'CODE_QUALITY' WHEN 2 THEN 'SECURITY' WHEN 3 THEN 'PERFORMANCE' WHEN 4 THEN 'DEPENDENCY_RISK' WHEN 5 THEN 'DOCUMENTATION' ELSE 'EXECUTIVE_SUMMARY' END AS agent,
                conv_id, turn, length(text) AS n, CASE WHEN (conv_id + turn) % 6 = 5 OR conv_id % 10 = 9 THEN 'FAILED' ELSE 'COMPLETED' END AS status,
                CASE WHEN (conv_id + turn) % 11 = 3 THEN 'not json'
                     ELSE concat('{"overallHealth": "GOOD", "strengths": [], "recommendedNextSteps": [], "summary": "', CASE WHEN (conv_id + turn) % 13 = 4 THEN '' ELSE concat('s', conv_id) END, '", "', CASE WHEN turn % 7 = 6 THEN 'topRisks' ELSE 'findings' END, '": [',
                          '{"category": "c", "title": "t', turn, '", "summary": "u", "severity": "', CASE conv_id % 5 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'LOW' WHEN 3 THEN 'INFO' ELSE CASE WHEN turn = 1 THEN 'WRONG' ELSE 'MEDIUM' END END,
                          '", "confidence": 0.', (conv_id * 3 + turn) % 9 + 1, ', "evidence": "e", "recommendation": "r", "citations": [', CASE WHEN conv_id % 17 = 2 THEN '' ELSE '{"filePath": "a.ts", "startLine": 1, "endLine": 2, "symbolName": null}' END, ']}]}') END AS result
-        FROM conversations WHERE turn < 7""",
+        FROM conversations""",
 }
 
 
@@ -143,6 +143,4 @@ def with_views(sql: str, *names: str) -> str:
     wanted = {v for name in names for v in needed(name)}
     ctes = [f"{v} AS ({VIEWS[v]})" for v in VIEWS if v in wanted]
     body = sql.strip()
-    if body[:1] == ",":
-        return "WITH " + ",\n".join(ctes) + body
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(ctes) + ("" if body[:1] == "," else "\n") + body

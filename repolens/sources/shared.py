@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    """A new folder under spark.checkpoint.dir. Where that is unset, a local one in local mode, as in
+    tests; on a cluster it must be set."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    named = named or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -20,3 +24,11 @@ def stored(rows: DataFrame, label: str) -> DataFrame:
     path = shared_folder(rows.sparkSession, label)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def removed(rows: DataFrame) -> None:
+    """Removes the table of `stored` rows that nothing reads any more."""
+    spark = rows.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in rows.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

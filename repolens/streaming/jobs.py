@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.chunks import Chunking, chunk_files
 from ..operators.index import KEY, apply_diff, diff_chunks, diff_statistics
+from ..sources.shared import removed, stored
 
 FILES = "run_id string, file_id string, path string, language string, content string"
 
@@ -19,37 +20,51 @@ def index_incrementally(
     spark: SparkSession, arrivals: str, symbols: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, embed: Callable[[DataFrame], DataFrame], config: Chunking = Chunking(), schema: str | StructType = FILES
 ) -> StreamingQuery:
     """File versions that arrive as Parquet under `arrivals` are chunked and compared with the chunk
-    table; only changed chunks are embedded. Each batch writes the next version of the table, in a
-    folder by batch number under `table`, beside its statistics: a batch that is run again writes the
-    same folder again. A batch holds whole files; files it does not name keep their chunks.
+    table; only changed chunks are embedded. A batch holds whole files; files it does not name keep
+    their chunks.
+
+    Each batch writes the chunks of the runs that it names, and of no others, to a folder by its number,
+    beside its statistics and, last, the list of these runs: the newest batch that lists a run has its
+    chunks. A batch that is run again writes the same folders again.
     """
 
     def batch(files: DataFrame, number: int) -> None:
-        fresh = chunk_files(files, symbols(files), config)
-        before = latest_table(spark, table, number)
-        named = files.select("run_id", "file_id").distinct()
+        fresh = stored(chunk_files(files, symbols(files), config), "fresh-chunks")
+        named = stored(files.select("run_id", "file_id").distinct(), "named-files")
+        runs = named.select("run_id").distinct()
+        before = latest_table(spark, table, number, runs)
         if before is None:
-            empty = spark.createDataFrame([], StructType([*fresh.schema.fields])).withColumns({"embedding": F.lit(None).cast("array<float>"), "id": F.lit(None).cast("string"), "created_at": F.lit(None).cast("timestamp")})
-            before = empty
+            before = spark.createDataFrame([], StructType([*fresh.schema.fields])).withColumns({"embedding": F.lit(None).cast("array<float>"), "id": F.lit(None).cast("string"), "created_at": F.lit(None).cast("timestamp")})
         touched = before.join(named, ["run_id", "file_id"], "left_semi")
         rest = before.join(named, ["run_id", "file_id"], "left_anti")
         after = rest.unionByName(apply_diff(fresh, touched, embed).select(*rest.columns))
-        after.write.mode("overwrite").parquet(f"{table}/chunks/version={number}")
+        after.repartition("run_id").sortWithinPartitions("run_id").write.mode("overwrite").parquet(f"{table}/chunks/version={number}")
         diff_statistics(diff_chunks(fresh, touched)).write.mode("overwrite").parquet(f"{table}/statistics/version={number}")
+        runs.write.mode("overwrite").parquet(f"{table}/runs/version={number}")
+        for rows in (fresh, named):
+            removed(rows)
 
     stream = spark.readStream.schema(schema).parquet(arrivals)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_table(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of the chunk table, of those older than `before`; None if there is none."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/chunks")
+def latest_table(spark: SparkSession, table: str, before: int | None = None, runs: DataFrame | None = None) -> DataFrame | None:
+    """The chunks of each run (of `runs(run_id)` only, if given) from the newest batch that lists it, of
+    those before batch `before`; None if there is none. Folders of other batches are not read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/runs")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return None
     found = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path) if s.getPath().getName().startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    older = [v for v in found if before is None or v < before]
-    return spark.read.parquet(f"{table}/chunks/version={max(older)}") if older else None
+    older = sorted(v for v in found if before is None or v < before)
+    if not older:
+        return None
+    read = lambda kind, versions: spark.read.option("basePath", f"{table}/{kind}").parquet(*[f"{table}/{kind}/version={v}" for v in versions])
+    listed = read("runs", older)
+    listed = listed if runs is None else listed.join(runs, "run_id", "left_semi")
+    newest = listed.groupBy("run_id").agg(F.max("version").alias("version"))
+    live = [r[0] for r in newest.select("version").distinct().collect()] or older[-1:]  # at most one for each batch
+    return read("chunks", live).join(newest, ["run_id", "version"], "left_semi").drop("version")
 
 
 def embedded_so_far(chunks: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def test_same_rows(spark, sf, duck, name):
     assert ours == theirs
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLES) - {"a1_read_tree"}))
+@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLES)))
 def test_runs(spark, sf, name):
     assert Q.QUERIES[name](spark, sf).limit(3).count() > 0
 
