@@ -5,9 +5,15 @@ A window is `width` consecutive words. Neighbouring windows whose least-hashed g
 equal windows always meet in one bucket. There all windows are sorted, equal ones stand side by side,
 and those whose words also start in a document of a smaller key are found exactly.
 
-Before anything travels, each task sorts the windows of its own batch: an occurrence with an earlier
-one in the same batch is settled at once, and only windows of the first document of a batch are sent.
-A passage that a third of all documents share so reaches its bucket once per batch.
+Before anything travels, each task sorts the windows of its own batch: an occurrence with one in an
+earlier document of the batch is settled at once, and of each distinct window only the first occurrence
+is sent. A passage that a third of all documents share, or one that a document repeats, so reaches its
+bucket once per batch. Documents that repeat a window within themselves are marked, and what the buckets
+say of its first occurrence is applied to the others when the text is cut.
+
+A minimiser that many windows share would fill its bucket. Those that are common in a bounded sample
+are split further, by a second minimiser of groups twice as long; the sample decides only where windows
+meet, never whether.
 """
 
 from __future__ import annotations
@@ -26,8 +32,12 @@ from . import kernels as K
 
 #: Bytes of text that one bucket should hold.
 BUCKET_BYTES = 4 << 20
+#: Bytes of text sampled to find common minimisers, and the share of its windows that makes one common.
+SAMPLE_BYTES, COMMON = 16 << 20, 1 / 4096
 _GROUPS = "bucket long, payload binary, doc long, at array<int>, n array<int>"
 _END = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: In place of a run of windows: the document repeats windows within itself.
+AGAIN = -1
 
 
 def _windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,9 +70,9 @@ def _same(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.ndarray,
     return out
 
 
-def _least(data, starts, ends, first, hashes, doc, width: int) -> np.ndarray:
-    """For each window the least doc among the windows of the same words."""
-    out = doc[first].copy()
+def _heads(data, starts, ends, first, hashes, doc, width: int) -> np.ndarray:
+    """For each window the place of the one of the same words that has the least doc, the first of its own."""
+    out = np.arange(len(first))
     rest = np.arange(len(first))
     while len(rest):
         order = rest[np.lexsort((doc[first[rest]], hashes[rest]))]
@@ -73,7 +83,7 @@ def _least(data, starts, ends, first, hashes, doc, width: int) -> np.ndarray:
         many = np.flatnonzero(order != head)
         ok = np.ones(len(order), bool)
         ok[many] = _same(data, starts, ends, first[order[many]], first[head[many]], width)
-        out[order[ok]] = doc[first[head[ok]]]
+        out[order[ok]] = head[ok]
         rest = np.sort(order[~ok])  # other words of the same hash: once more among themselves
     return out
 
@@ -102,7 +112,34 @@ def _minimisers(h: np.ndarray, first: np.ndarray, width: int, group: int) -> np.
     return least
 
 
-def _send(batches: Iterator[pa.RecordBatch], key: str, text: str, width: int, group: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _split(least: np.ndarray, common: np.ndarray, h: np.ndarray, first: np.ndarray, width: int, group: int) -> np.ndarray:
+    """`least` with a second minimiser mixed in where it is in `common` (sorted)."""
+    if len(common) and 2 * group <= width:
+        where = np.flatnonzero(common[np.minimum(np.searchsorted(common, least), len(common) - 1)] == least)
+        least[where] = K.mix(least[where] ^ _minimisers(h, first[where], width, 2 * group))
+    return least
+
+
+def _common(source: DataFrame, size: int, width: int, group: int) -> np.ndarray:
+    """Minimisers of over `COMMON` of the windows in a sample of about `SAMPLE_BYTES` of text, sorted."""
+    some = source.where(F.xxhash64("doc").cast("double") / 2.0**64 + 0.5 <= min(1.0, SAMPLE_BYTES / max(1, size))).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.alone("substrings")
+        for batch in K.portions(batches, "text"):
+            data, offsets = K.texts(K.column(batch, "text"))
+            starts, ends, at = K.words(data, offsets)
+            h, first, hashes = _windows(data, starts, ends, at, width)
+            _, once = np.unique(hashes, return_index=True)
+            m, n = np.unique(_minimisers(h, first[once], width, group), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(n)], names=["m", "n"])
+
+    counts = some.mapInArrow(run, "m long, n long").groupBy("m").agg(F.sum("n").alias("n"))
+    least = (counts.agg(F.sum("n")).first()[0] or 0) * COMMON
+    return np.sort(counts.where(F.col("n") > least).select("m").toArrow()["m"].to_numpy().view(np.uint64))
+
+
+def _send(batches: Iterator[pa.RecordBatch], key: str, text: str, width: int, group: int, buckets: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     K.alone("substrings")
     pack = zstandard.ZstdCompressor(level=3)
     for batch in K.portions(batches, text):
@@ -114,13 +151,17 @@ def _send(batches: Iterator[pa.RecordBatch], key: str, text: str, width: int, gr
             continue
         own = np.repeat(np.arange(len(doc)), np.diff(at))
         owner = doc[own]
-        settled = _least(data, starts, ends, first, hashes, owner, width) < owner[first]
+        head = _heads(data, starts, ends, first, hashes, owner, width)
+        settled = owner[first[head]] < owner[first]
+        travels = head == np.arange(len(first))
+        again = np.unique(owner[first[~settled & ~travels]])
         breaks = np.flatnonzero(np.diff(own[first]) != 0) + 1
         begin, size = _runs(settled, breaks)
-        rows = [_grouped(owner[first[begin]], first[begin] - at[own[first[begin]]], size)]
-        least = _minimisers(h, first, width, group)
+        marks = np.full(len(again), AGAIN)
+        rows = [_grouped(np.concatenate([owner[first[begin]], again]), np.concatenate([first[begin] - at[own[first[begin]]], marks]), np.concatenate([size, 0 * marks]))]
+        least = _split(_minimisers(h, first, width, group), common, h, first, width, group)
         cuts = np.union1d(breaks, np.flatnonzero(least[1:] != least[:-1]) + 1)
-        begin, size = _runs(~settled, cuts)
+        begin, size = _runs(travels, cuts)
         bucket = (least[begin] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         begin, size, bucket = begin[order], size[order], bucket[order]
@@ -185,20 +226,34 @@ def _settle(payloads: list[bytes], unpack: zstandard.ZstdDecompressor, width: in
     _, first, hashes = _windows(data, starts, ends, at, width)
     own = np.repeat(np.arange(len(doc)), np.diff(at))[first]
     owner = np.repeat(doc, np.diff(at))
-    settled = _least(data, starts, ends, first, hashes, owner, width) < doc[own]
+    settled = owner[first[_heads(data, starts, ends, first, hashes, owner, width)]] < doc[own]
     begin, n = _runs(settled, np.flatnonzero(np.diff(own) != 0) + 1)
     return _grouped(doc[own[begin]], pos[own[begin]] + first[begin] - at[own[begin]], n)
 
 
+def _repeated(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
+    """All windows of one text that have the words of a window in the runs (at, n)."""
+    _, first, hashes = _windows(data, starts, ends, np.array([0, len(starts)]), width)
+    head = _heads(data, starts, ends, first, hashes, np.zeros(len(starts), np.int64), width)
+    marked = np.zeros(len(first), bool)
+    marked[head[K.ragged(at, n)]] = True
+    return np.flatnonzero(marked[head])
+
+
 def _cut(values: pa.Array, at: list, n: list, width: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     data, offsets = K.texts(values)
     starts, ends, word_at = K.words(data, offsets)
     change = np.zeros(len(starts) + 1, np.int64)
     for i, (a, b) in enumerate(zip(at, n, strict=True)):
         if a is not None and len(a):
-            a = np.asarray(a, np.int64) + word_at[i]
+            again, run = (a == AGAIN).any(), (a != AGAIN) & (a + b + width - 1 <= word_at[i + 1] - word_at[i])
+            a, b = np.asarray(a[run], np.int64) + word_at[i], np.asarray(b[run], np.int64)
             np.add.at(change, a, 1)
-            np.add.at(change, a + np.asarray(b, np.int64) + width - 1, -1)
+            np.add.at(change, a + b + width - 1, -1)
+            if again and len(a):
+                more = _repeated(data, starts[word_at[i] : word_at[i + 1]], ends[word_at[i] : word_at[i + 1]], a - word_at[i], b, width) + word_at[i]
+                np.add.at(change, more, 1)
+                np.add.at(change, more + width, -1)
     gone = np.cumsum(change)[:-1] > 0
     n_words = np.diff(word_at)
     n_removed = np.diff(K.bounds(gone.astype(np.int64))[word_at])
@@ -214,11 +269,13 @@ def _cut(values: pa.Array, at: list, n: list, width: int) -> tuple[np.ndarray, n
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 13, group: int = 3) -> DataFrame:
     """(doc, at, n): runs of n windows from word `at` on whose words also start in a document of a
-    smaller key. Several rows may hold the runs of one document."""
+    smaller key. Several rows may hold the runs of one document. Where a document has a run at `AGAIN`,
+    other windows of it may have the words of one in its runs, and count as well."""
     source = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, int(size // BUCKET_BYTES))
-    sent = source.mapInArrow(lambda b: _send(b, "doc", "text", width, group, buckets), _GROUPS)
+    common = _common(source, size, width, group)
+    sent = source.mapInArrow(lambda b: _send(b, "doc", "text", width, group, buckets, common), _GROUPS)
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 8)
     # bucket travels as it is; settled runs need no bucket, and join those of their document later
     together = sent.repartition(partitions, F.coalesce("bucket", F.xxhash64("doc"))).sortWithinPartitions("bucket")
