@@ -127,14 +127,17 @@ def _code(lengths: bytes) -> Code:
 
 
 class Library:
-    """Encodes units with the tokenizers library."""
+    """Encodes units with the tokenizers library as it is: the strings of its added tokens in a text are
+    those tokens. Units are cut before white space, so an added token must not hold or strip any."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(len(t.content.split()) != 1 or t.content.strip() != t.content or t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("an added token holds, strips or depends on the white space around it")
 
     def __call__(self, unit: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [x.ids for x in self.tokenizer.encode_batch_fast(unit, add_special_tokens=False)]
