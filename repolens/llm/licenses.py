@@ -1,11 +1,15 @@
 """Licence recognition by sentence rules.
 
-Texts are cut into sentences and normalised; a sentence that is known gets the identifiers of the
-licence sentences it states. The identifiers of a text, in order, are then matched against ordered
-rules, each a sequence of identifiers: a rule fits where its sequence stands in consecutive known
-sentences. Rules are tried from the longest to the shortest, and a sentence counts for one rule only.
+A text becomes its words in lower case, with marks where a sentence ends (a stop, colon, semicolon,
+exclamation or question mark before white space, or an empty line) and where a line ends. Comment marks
+and line ends within a sentence so vanish. From every such mark on, the words are looked up in a tree of
+the known licence sentences: the longest that ends at a mark gives its identifier. The identifiers of a
+text, in order, are then matched against ordered rules, each a sequence of identifiers: a rule fits where
+its sequence stands in consecutive known sentences. Rules are tried from the longest to the shortest, and
+a sentence counts for one rule only. SPDX tags name their licences themselves.
 
-The tables below are fixed values: short, public licence notices as they are commonly written.
+The tables below are fixed values: public licence texts and notices. In a sentence `(a|b)` is a choice,
+`[a]` may be absent, `*` is one to twelve words of the licensor's, and `...` the rest of the sentence.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -31,111 +35,252 @@ class Rule:
     kind: str = "notice"
 
 
-#: Known sentences as patterns over normalised text (lower case, words joined by one space).
+_THIS = "[(this|the) (work|software|project|program|file|library|code|document|text|package) is] "
+_UNDER = _THIS + "[(released|licensed|distributed|available|published|provided)] under "
+_CHANGE = "you can redistribute it and or modify it under the terms of the "
 SENTENCES = {
-    "by-mit": r"(?:(?:this \w+ is )?(?:released|licensed|distributed|available) under the|(?:the )?) ?mit license",
-    "by-apache-2": r"(?:(?:this \w+ is )?(?:released|licensed|distributed) under the )?apache license,? version 2 0(?: the license)?",
-    "by-gpl-3": r"(?:this \w+ is )?(?:released|licensed|distributed) under the gnu general public license,? (?:version|v) ?3(?: or later)?",
-    "by-gpl-2": r"(?:this \w+ is )?(?:released|licensed|distributed) under the gnu general public license,? (?:version|v) ?2(?: or later)?",
-    "by-cc-by-nc-4": r"(?:this \w+ is )?(?:released |licensed )?under (?:a )?(?:cc by nc 4 0|creative commons attribution noncommercial 4 0 international license)",
-    "by-cc-by-4": r"(?:this \w+ is )?(?:released |licensed )?under (?:a )?(?:cc by 4 0|creative commons attribution 4 0 international license)",
-    "spdx": r"spdx license identifier .+",
-    "mit-grant": r"permission is hereby granted free of charge to any person obtaining a copy of this software.*",
-    "mit-keep": r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "bsd-grant": r"redistribution and use in source and binary forms with or without modification are permitted.*",
-    "bsd-source": r"(?:1 )?redistributions of source code must retain the above copyright notice.*",
-    "bsd-binary": r"(?:2 )?redistributions in binary form must reproduce the above copyright notice.*",
-    "bsd-name": r"(?:3 )?neither the name of .* may be used to endorse or promote products.*",
-    "as-is": r"(?:the|this) software is provided .?as is.? .*",
-    "gpl-free": r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license.*",
-    "gpl-hope": r"this program is distributed in the hope that it will be useful but without any warranty.*",
+    "by-mit": "[" + _UNDER + "] [the] mit license",
+    "by-apache-2": "[" + _UNDER + "] [the] apache license [version] 2 0 [the license]",
+    "by-bsd-2": _UNDER + "[(a|the)] (bsd 2 clause|2 clause bsd|simplified bsd) license",
+    "by-bsd-3": _UNDER + "[(a|the)] (bsd 3 clause|3 clause bsd|new bsd|modified bsd) license",
+    "by-gpl-3": _UNDER + "[the] (gnu general public license|gnu gpl|gpl) (version 3|v3|v 3|3) [0] [or later]",
+    "by-gpl-2": _UNDER + "[the] (gnu general public license|gnu gpl|gpl) (version 2|v2|v 2|2) [0] [or later]",
+    "by-lgpl-3": _UNDER + "[the] (gnu lesser general public license|gnu lgpl|lgpl) (version 3|v3|v 3|3) [0] [or later]",
+    "by-lgpl-2.1": _UNDER + "[the] (gnu lesser general public license|gnu lgpl|lgpl) (version 2 1|v2 1|2 1) [or later]",
+    "by-agpl-3": _UNDER + "[the] (gnu affero general public license|gnu agpl|agpl) (version 3|v3|v 3|3) [0] [or later]",
+    "by-mpl-2": _UNDER + "[the] (mozilla public license|mpl) [(version|v)] 2 0",
+    "by-epl-2": _UNDER + "[the] (eclipse public license|epl) [(version|v)] 2 0",
+    "by-isc": _UNDER + "[the] isc license",
+    "by-zlib": _UNDER + "[the] zlib license",
+    "by-bsl-1": _UNDER + "[the] boost software license [version 1 0]",
+    "by-unlicense": _UNDER + "[the] unlicense",
+    "by-cc0": _UNDER + "[(a|the)] (cc0|cc0 1 0|creative commons zero|cc0 1 0 universal) [(license|public domain dedication)]",
+    "by-cc-by-4": _UNDER + "[(a|the)] (cc by 4 0|creative commons attribution 4 0) [international] [(license|licence)]",
+    "by-cc-by-sa-4": _UNDER + "[(a|the)] (cc by sa 4 0|creative commons attribution sharealike 4 0) [international] [(license|licence)]",
+    "by-cc-by-nc-4": _UNDER + "[(a|the)] (cc by nc 4 0|creative commons attribution noncommercial 4 0) [international] [(license|licence)]",
+    "by-cc-by-nd-4": _UNDER + "[(a|the)] (cc by nd 4 0|creative commons attribution noderivatives 4 0) [international] [(license|licence)]",
+    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software ...",
+    "mit-keep": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "as-is": "(the|this) software is provided as is ...",
+    "as-is-by": "this software is provided by * as is ...",
+    "no-liability": "in no event shall * be liable for any ...",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted ...",
+    "isc-disclaim": "the software is provided as is and the author disclaims all warranties with regard to this software ...",
+    "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted ...",
+    "bsd-source": "redistributions of source code must retain the above copyright notice ...",
+    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice ...",
+    "bsd-name": "neither the name of * may be used to endorse or promote products derived from this software ...",
+    "bsd-ads": "all advertising materials mentioning features or use of this software must display the following acknowledgement ...",
+    "apache-use": "you may not use this file except in compliance with the license",
+    "apache-copy": "you may obtain a copy of the license at",
+    "apache-unless": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis ...",
+    "apache-see": "see the license for the specific language governing permissions and limitations under the license",
+    "gpl-free": "this (program|software|library|file) is free software",
+    "gpl-whole": "this (program|software|library|file) is free software " + _CHANGE + "gnu general public license ...",
+    "gpl-change": _CHANGE + "gnu general public license ...",
+    "gpl-change-2": _CHANGE + "gnu general public license as published by the free software foundation either version 2 of the license ...",
+    "gpl-change-3": _CHANGE + "gnu general public license as published by the free software foundation either version 3 of the license ...",
+    "lgpl-change-2.1": _CHANGE + "gnu lesser general public license as published by the free software foundation either version 2 1 of the license ...",
+    "lgpl-change-3": _CHANGE + "gnu lesser general public license as published by the free software foundation either version 3 of the license ...",
+    "agpl-change-3": _CHANGE + "gnu affero general public license as published by the free software foundation either version 3 of the license ...",
+    "gpl-hope": "this (program|software|library|file) is distributed in the hope that it will be useful but without any warranty",
+    "gpl-implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl-details": "see the gnu [(lesser|affero)] general public license for more details",
+    "gpl-received": "you should have received a copy of the gnu [(lesser|affero)] general public license along with this (program|software|library|file) ...",
+    "gpl-title-2": "gnu general public license version 2 june 1991",
+    "gpl-title-3": "gnu general public license version 3 29 june 2007",
+    "mpl-subject": "this source code form is subject to the terms of the mozilla public license (v|v 2 0|version 2 0)",
+    "mpl-obtain": "if a copy of the mpl was not distributed with this file you can obtain one at ...",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-liability": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "zlib-origin": "the origin of this software must not be misrepresented",
+    "zlib-altered": "altered source versions must be plainly marked as such and must not be misrepresented as being the original software",
+    "zlib-notice": "this notice may not be removed or altered from any source distribution",
+    "unlicense-free": "this is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "anyone is free to copy modify publish use compile sell or distribute this software ...",
+    "bsl-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license ...",
 }
 
+_BSD = ("bsd-grant", "bsd-source", "bsd-binary")
 RULES = (
+    Rule("MIT", ("mit-grant", "mit-keep", "as-is", "no-liability"), "text"),
     Rule("MIT", ("mit-grant", "mit-keep", "as-is"), "text"),
-    Rule("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name", "as-is"), "text"),
-    Rule("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "as-is"), "text"),
-    Rule("GPL", ("gpl-free", "gpl-hope"), "text"),
-    Rule("MIT", ("by-mit",)),
-    Rule("Apache-2.0", ("by-apache-2",)),
-    Rule("GPL-3.0", ("by-gpl-3",)),
-    Rule("GPL-2.0", ("by-gpl-2",)),
-    Rule("CC-BY-NC-4.0", ("by-cc-by-nc-4",)),
-    Rule("CC-BY-4.0", ("by-cc-by-4",)),
+    Rule("BSD-4-Clause", (*_BSD, "bsd-ads", "bsd-name", "as-is-by"), "text"),
+    *[Rule("BSD-3-Clause", (*_BSD, "bsd-name", end, *more), "text") for end in ("as-is", "as-is-by") for more in (("no-liability",), ())],
+    *[Rule("BSD-2-Clause", (*_BSD, end, *more), "text") for end in ("as-is", "as-is-by") for more in (("no-liability",), ())],
+    Rule("ISC", ("isc-grant", "isc-disclaim", "no-liability"), "text"),
+    Rule("ISC", ("isc-grant", "isc-disclaim"), "text"),
+    Rule("Apache-2.0", ("by-apache-2", "apache-use", "apache-copy", "apache-unless", "apache-see"), "header"),
+    Rule("Apache-2.0", ("by-apache-2", "apache-use", "apache-copy"), "header"),
+    *[Rule(name, ("gpl-free", change, "gpl-hope", *more), "header")
+      for name, change in (("GPL-2.0", "gpl-change-2"), ("GPL-3.0", "gpl-change-3"), ("LGPL-2.1", "lgpl-change-2.1"), ("LGPL-3.0", "lgpl-change-3"), ("AGPL-3.0", "agpl-change-3"), ("GPL", "gpl-change"))
+      for more in (("gpl-implied", "gpl-details", "gpl-received"), ("gpl-implied", "gpl-details"), ())],
+    *[Rule(name, ("gpl-free", change), "part")
+      for name, change in (("GPL-2.0", "gpl-change-2"), ("GPL-3.0", "gpl-change-3"), ("LGPL-2.1", "lgpl-change-2.1"), ("LGPL-3.0", "lgpl-change-3"), ("AGPL-3.0", "agpl-change-3"), ("GPL", "gpl-change"))],
+    Rule("GPL", ("gpl-whole", "gpl-hope"), "header"),
+    Rule("GPL", ("gpl-whole",), "part"),
+    Rule("GPL-2.0", ("gpl-title-2",), "text"),
+    Rule("GPL-3.0", ("gpl-title-3",), "text"),
+    Rule("MPL-2.0", ("mpl-subject", "mpl-obtain"), "header"),
+    Rule("MPL-2.0", ("mpl-subject",), "part"),
+    Rule("Zlib", ("zlib-as-is", "zlib-liability", "zlib-grant", "zlib-origin", "zlib-altered", "zlib-notice"), "text"),
+    Rule("Unlicense", ("unlicense-free", "unlicense-anyone"), "text"),
+    Rule("Unlicense", ("unlicense-free",), "part"),
+    Rule("BSL-1.0", ("bsl-grant", "as-is"), "text"),
+    Rule("BSL-1.0", ("bsl-grant",), "part"),
     Rule("MIT", ("mit-grant",), "part"),
-    Rule("GPL", ("gpl-free",), "part"),
-)
+    *[Rule(licence, (name,)) for name, licence in (
+        ("by-mit", "MIT"), ("by-apache-2", "Apache-2.0"), ("by-bsd-2", "BSD-2-Clause"), ("by-bsd-3", "BSD-3-Clause"), ("by-gpl-3", "GPL-3.0"), ("by-gpl-2", "GPL-2.0"),
+        ("by-lgpl-3", "LGPL-3.0"), ("by-lgpl-2.1", "LGPL-2.1"), ("by-agpl-3", "AGPL-3.0"), ("by-mpl-2", "MPL-2.0"), ("by-epl-2", "EPL-2.0"), ("by-isc", "ISC"), ("by-zlib", "Zlib"),
+        ("by-bsl-1", "BSL-1.0"), ("by-unlicense", "Unlicense"), ("by-cc0", "CC0-1.0"), ("by-cc-by-4", "CC-BY-4.0"), ("by-cc-by-sa-4", "CC-BY-SA-4.0"), ("by-cc-by-nc-4", "CC-BY-NC-4.0"),
+        ("by-cc-by-nd-4", "CC-BY-ND-4.0"))],
+)
 
-#: Some known sentence holds one of these words, whatever its rule.
-HINT = re.compile(r"licen[cs]e|copyright|permission|redistribut|warrant|as is|free software|endorse|under (?:a )?(?:cc|creative)", re.I)
-
-#: A piece ends at a line end, or at a full stop, exclamation or question mark before white space.
-_CUT = re.compile(r"\n|(?<=[.!?])\s+")
+_TOKEN = re.compile(r"(?P<word>[^\W_]+)|[.!?;:](?=\s|\Z)|(?P<line>\n)")
 _WORD = re.compile(r"[^\W_]+")
-#: A line feed inside a paragraph, with the marks of a comment around it.
-_FOLD = re.compile(r"[ \t\r]*\n[ \t]*(?:(?://+|/?\*+/?|#+|--+|;+|>+)[ \t]*)?")
-#: How a known sentence of several lines can begin, in three words.
-_BEGIN = re.compile(r"permission is|the (?:above|software|mit)|this (?:software|program|\w+ is)|(?:1 |2 )?redistributions? (?:and|of|in)|(?:1|2) redistributions|(?:3 )?neither the|3 neither|(?:released|licensed|distributed|available) under|mit license|apache license|under (?:a|cc|creative)")
-_SPDX = re.compile(r"spdx-license-identifier:\s*(.+)", re.I)
+_SPDX = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]+)", re.I)
 _SPDX_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+-]*")
+#: Marks among the words: a sentence ends; a line ends.
+STOP, LINE = "|", "~"
+#: Words that a licensor's name may have, and words of a sentence's rest.
+SLOT, REST = 12, 400
+
+
+def tree_of(sentence: str) -> list:
+    """A sentence pattern as a list of words, `*`, `...`, and lists of choices (each a list)."""
+    tokens, at = re.findall(r"\.\.\.|[^\W_]+|[*()\[\]|]", sentence), 0
+
+    def sequence() -> list:
+        nonlocal at
+        out: list = []
+        while at < len(tokens) and tokens[at] not in ("|", ")", "]"):
+            token = tokens[at]
+            at += 1
+            if token in "([":
+                choices = [sequence()]
+                while tokens[at] == "|":
+                    at += 1
+                    choices.append(sequence())
+                at += 1
+                out.append([*choices, []] if token == "[" else choices)
+            else:
+                out.append(token)
+        return out
+
+    return sequence()
+
 
+def spelled_out(sentence: str) -> Iterator[tuple[str, ...]]:
+    """Every sequence of words (and `*`, `...`) that a sentence pattern stands for."""
 
-def normalised(sentence: str) -> str:
-    return " ".join(_WORD.findall(sentence.lower()))
+    def each(parts: list) -> Iterator[tuple[str, ...]]:
+        options = [[x for choice in p for x in each(choice)] if isinstance(p, list) else [(p,)] for p in parts]
+        for picked in product(*options):
+            yield tuple(w for own in picked for w in own)
+
+    return each(tree_of(sentence))
+
+
+def states_of(parts: list, after: list[dict]) -> list[dict]:
+    """The states in which a sentence pattern can begin, if `after` are those that follow it. A state has
+    the states that come after each word; under "" the name of a sentence that ends in it."""
+    for part in reversed(parts):
+        after = [state for choice in part for state in states_of(choice, after)] if isinstance(part, list) else [{part: after}]
+    return after
+
+
+def hints_of(parts: list) -> list[tuple[str, ...]]:
+    """Runs of words of which every sentence of a pattern holds one: a word of six letters or more that all
+    of them have, or else one run for each choice."""
+    runs, own = [], []
+    for part in [*parts, "*"]:
+        if isinstance(part, list) or part in ("*", "..."):
+            runs += [own] if own else []
+            own = []
+        else:
+            own.append(part)
+    word = max((w for run in runs for w in run), key=len, default="")
+    if len(word) >= 6:
+        return [(word,)]
+    choices = [part for part in parts if isinstance(part, list) and all(part)]
+    if choices:
+        return [hint for choice in max(choices, key=lambda c: min(sum(map(len, filter(lambda w: isinstance(w, str), x))) for x in c)) for hint in hints_of(choice)]
+    return [tuple(max(runs, key=lambda r: sum(map(len, r))))]
 
 
 class Recogniser:
     def __init__(self, sentences: dict[str, str] = SENTENCES, rules: tuple[Rule, ...] = RULES) -> None:
-        self.known = [(name, re.compile(pattern)) for name, pattern in sentences.items()]
+        self.begin: dict[str, list[dict]] = {}
+        hints = {("spdx", "license")}
+        for name, pattern in sentences.items():
+            parts = tree_of(pattern)
+            for state in states_of(parts, [{"": name}]):
+                for word, after in state.items():
+                    self.begin.setdefault(word, []).extend(after)
+            hints.update(hints_of(parts))
+        #: Of every known sentence a text holds the word, and if there is a pattern, that too.
+        self.hints = [(max(h, key=len), re.compile(r"(?<![^\W_])" + r"[\W_]+".join(h) + r"(?![^\W_])") if len(h) > 1 else None) for h in sorted(hints)]
         self.rules = sorted(rules, key=lambda r: -len(r.sentences))
 
-    def names(self, sentence: str) -> tuple[str, ...]:
-        plain = normalised(sentence)
-        return tuple(name for name, pattern in self.known if pattern.fullmatch(plain))
-
-    def _at(self, text: str, pieces: list[tuple[int, int, bool]], i: int) -> tuple[tuple[str, ...], int]:
-        """Names of the sentence that begins with piece i, and its last piece: the piece alone, or else
-        the lines of its paragraph up to the sentence's end or up to a line that ends a known sentence."""
-        begin, end, goes_on = pieces[i]
-        alone = self.names(text[begin:end]) if HINT.search(text, begin, end) else ()
-        if alone or not goes_on:
-            return alone, i
-        words = _WORD.finditer(_FOLD.sub(" ", text[begin : pieces[min(i + 2, len(pieces) - 1)][1]]).lower())
-        if not _BEGIN.match(" ".join(w.group() for w in islice(words, 3))):
-            return alone, i
-        last = i
-        while pieces[last][2] and last + 1 < len(pieces) and text[pieces[last + 1][0] : pieces[last + 1][1]].strip(" \t\r*/#;->"):
-            last += 1
-        if last == i or not HINT.search(text, begin, pieces[last][1]):
-            return alone, i
-        folded = _FOLD.sub(" ", text[begin : pieces[last][1]])
-        if not any(pattern.match(normalised(folded)) for _, pattern in self.known):
-            return alone, i
-        whole = self.names(folded)
-        if whole:
-            return whole, last
-        for j in range(i + 1, last):
-            some = self.names(_FOLD.sub(" ", text[begin : pieces[j][1]]))
-            if some:
-                return some, j
-        return (), i
+    def hinted(self, text: str) -> bool:
+        low = text.lower()
+        return any(word in low and (pattern is None or pattern.search(low)) for word, pattern in self.hints)
+
+    def _match(self, words: list[str], i: int) -> tuple[int, str] | None:
+        """Where the known sentence that begins with word i ends, and its name: that of most words of its
+        own, which ends at a mark; of several the first known."""
+        best: tuple[int, int, str] | None = None
+        todo = [(state, i + 1, 1) for state in reversed(self.begin.get(words[i], ()))]
+        while todo:
+            state, at, own = todo.pop()
+            marked = at >= len(words) or words[at] in (STOP, LINE)
+            if marked and "" in state and (best is None or own > best[0]):
+                best = (own, at, state[""])
+            while at < len(words) and words[at] == LINE:
+                at += 1
+            if "..." in state and (best is None or own > best[0]):
+                upto = at
+                while upto < min(len(words), at + REST) and words[upto] != STOP:
+                    upto += 1
+                best = (own, upto, state["..."][0][""])
+            if at >= len(words) or words[at] == STOP:
+                continue
+            todo += [(after, at + 1, own + 1) for after in reversed(state.get(words[at], ()))]
+            if "*" in state:
+                n = 0
+                while n < SLOT and at < len(words) and words[at] != STOP:
+                    if words[at] != LINE:
+                        n += 1
+                        todo += [(after, at + 1, own) for after in state["*"]]
+                    at += 1
+        return best[1:] if best else None
 
     def __call__(self, text: str | None) -> tuple[list[str], list[tuple[str, str, int, int]]]:
         """Identifiers of the known sentences, and (licence, kind, start, end) of the rules that fit;
         positions are code points, end exclusive."""
-        if not text or not HINT.search(text):
+        if not text or not self.hinted(text):
             return [], []
-        found, pieces, begin = [], [], 0
-        for cut in [*_CUT.finditer(text), None]:
-            end = cut.start() if cut else len(text)
-            pieces.append((begin, end, cut is not None and cut.group() == "\n" and text[end - 1 : end] not in (".", "!", "?")))
-            begin = cut.end() if cut else end
-        i = 0
-        while i < len(pieces):
-            names, last = self._at(text, pieces, i)
-            found += [(name, pieces[i][0], pieces[last][1]) for name in names]
-            i = last + 1
-        spdx = [m for name, begin, end in found if name == "spdx" for m in [_SPDX.search(text, begin, end)] if m]
+        words, places = [STOP], [(0, 0)]
+        for m in _TOKEN.finditer(text):
+            if m["word"]:
+                words.append(m[0].lower())
+                places.append(m.span())
+            elif m["line"] and words[-1] == LINE:
+                words[-1] = STOP  # an empty line
+            elif words[-1] != STOP:
+                words.append(LINE if m["line"] else STOP)
+                places.append(m.span())
+        found, i = [], 0
+        while i < len(words):
+            if words[i] not in (STOP, LINE) and words[i - 1] in (STOP, LINE) and (hit := self._match(words, i)):
+                last = hit[0] - 1
+                while words[last] in (STOP, LINE):
+                    last -= 1
+                found.append((hit[1], places[i][0], places[last][1]))
+                i = hit[0]
+            else:
+                i += 1
         taken, out = np.zeros(len(found), bool), []
         for rule in self.rules:
             n = len(rule.sentences)
@@ -143,10 +288,11 @@ class Recogniser:
                 if not taken[i : i + n].any() and tuple(x[0] for x in found[i : i + n]) == rule.sentences:
                     taken[i : i + n] = True
                     out.append((rule.licence, rule.kind, found[i][1], found[i + n - 1][2]))
-        for m in spdx:
+        for m in _SPDX.finditer(text):
             for part in _SPDX_ID.finditer(text, m.start(1), m.end(1)):
-                if part.group().upper() not in ("AND", "OR", "WITH"):
-                    out.append((part.group().rstrip("."), "spdx", part.start(), part.start() + len(part.group().rstrip("."))))
+                name = part.group().rstrip(".")
+                if name.upper() not in ("AND", "OR", "WITH"):
+                    out.append((name, "spdx", part.start(), part.start() + len(name)))
         return [x[0] for x in found], sorted(out, key=lambda m: (m[2], m[0]))
 
 
@@ -162,8 +308,7 @@ def find_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", sent
     schema = T.StructType([docs.schema[key], *T.StructType.fromDDL(FOUND).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        K.alone("licenses")
-        recognise = Recogniser(sentences, rules)
+        recognise = K.held(("licenses", tuple(sentences.items()), rules), lambda: Recogniser(sentences, rules))
         kind = pa.struct([("licence", pa.string()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
         for batch in K.portions(batches, text):
             found = [recognise(x) for x in K.column(batch, text).to_pylist()]

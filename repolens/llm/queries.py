@@ -80,22 +80,43 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_simhash, op2_licences, op3_substring_dedup, op4_decontamination, op5_url_rules, op6_nearest, op7_language_id, op8_bpe, op9_token_files, op10_secrets)}
 
 
+def _pattern(parts: list) -> str:
+    """A licence sentence as a pattern over words with a space after each, and `~ ~` for a line's end."""
+    gap = " (?:~ ~ )?"
+    each = {"*": f"(?:[^ |~]+{gap}){{1,{licenses.SLOT}}}", "...": "[^|]*"}
+    return "".join("(?:" + "|".join(map(_pattern, x)) + ")" if isinstance(x, list) else each.get(x, x + gap) for x in parts)
+
+
+def _words(parts: list) -> int:
+    return sum(max(map(_words, x)) if isinstance(x, list) else x not in ("*", "...") for x in parts)
+
+
 def _op2() -> str:
-    """Sentences to identifiers, then the rules from the longest on: a match is replaced by a mark."""
-    names = " || ".join(f"CASE WHEN regexp_full_match(t, '{pattern}') THEN '<{name}>' ELSE '' END" for name, pattern in licenses.SENTENCES.items())
+    """Words with `| |` where a sentence ends and `~ ~` where a line does; known sentences between such marks,
+    those of most words first; then the rules from the longest on: a match is replaced by a mark."""
+    known = sorted(((name, licenses.tree_of(x)) for name, x in licenses.SENTENCES.items()), key=lambda x: -_words(x[1]))
+    every = "|".join(f"{_pattern(parts)}" for _, parts in known)
+    names = " ".join(f"WHEN regexp_full_match(m, '{_pattern(parts)}') THEN '<{name}>'" for name, parts in known)
     rules = sorted(licenses.RULES, key=lambda r: -len(r.sentences))
-    steps = "d AS (SELECT doc_id, string_agg(ids, '' ORDER BY i) AS s0 FROM k GROUP BY doc_id)"
+    steps = "d AS (SELECT doc_id, string_agg(id, '' ORDER BY i) AS s0 FROM k GROUP BY doc_id)"
     for i, rule in enumerate(rules):
         whole = "".join(f"<{x}>" for x in rule.sentences)
         steps += f",\nr{i} AS (SELECT *, (length(s{i}) - length(replace(s{i}, '{whole}', ''))) // {len(whole)} AS n{i}, replace(s{i}, '{whole}', '#') AS s{i + 1} FROM {f'r{i - 1}' if i else 'd'})"
     found = ", ".join(f"CASE WHEN n{i} > 0 THEN '{r.licence}' END" for i, r in enumerate(rules))
+    stop, line = "\ue000", "\ue001"
     return rf"""
-WITH l AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)) AS l FROM documents),
-n AS (SELECT doc_id, i, array_to_string(regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}]+'), ' ') AS t FROM (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM l)),
-k AS (SELECT doc_id, i, {names} AS ids FROM n),
-{steps}
-SELECT doc_id, (length(s0) - length(replace(s0, '<', '')))::BIGINT AS n_sentences, ({" + ".join(f"n{i}" for i in range(len(rules)))})::BIGINT AS n_matches,
-       array_to_string(list_sort(list_distinct(list_filter([{found}], lambda v: v IS NOT NULL))), ',') AS licences FROM r{len(rules) - 1}
+WITH l AS (SELECT doc_id, replace(regexp_replace(lower(coalesce(text, '')), '[.!?;:]([\s\p{{Z}}\x0B\x1C-\x1F\x85]|$)', ' {stop} \1', 'g'), chr(10), ' {line} ') AS t FROM documents),
+n AS (SELECT doc_id, regexp_replace('{stop} ' || t || ' {stop}', '[^\p{{L}}\p{{N}}{stop}{line}]+', ' ', 'g') AS t FROM l),
+b AS (SELECT doc_id, replace(replace(regexp_replace(t, '[{stop}{line}](?: *[{stop}{line}])+', '{stop}', 'g'), '{stop}', '| |'), '{line}', '~ ~') AS t FROM n),
+f AS (SELECT doc_id, regexp_extract_all(t, '[|~] ({every})[|~]', 1) AS ms FROM b),
+k AS (SELECT doc_id, i, CASE {names} END AS id FROM (SELECT doc_id, unnest(ms) AS m, unnest(range(len(ms))) AS i FROM f)),
+{steps},
+x AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)spdx-license-identifier:[ \t]*([^\r\n]+)', 1)) AS e FROM documents),
+y AS (SELECT doc_id, rtrim(u, '.') AS u FROM (SELECT doc_id, unnest(regexp_extract_all(e, '[A-Za-z0-9][A-Za-z0-9.+-]*')) AS u FROM x) WHERE upper(rtrim(u, '.')) NOT IN ('AND', 'OR', 'WITH')),
+z AS (SELECT doc_id, count(*) AS n, list(u) AS us FROM y GROUP BY doc_id)
+SELECT f.doc_id, len(ms)::BIGINT AS n_sentences, (coalesce({" + ".join(f"n{i}" for i in range(len(rules)))}, 0) + coalesce(z.n, 0))::BIGINT AS n_matches,
+       array_to_string(list_sort(list_distinct(list_filter(list_concat([{found}], coalesce(us, [])), lambda v: v IS NOT NULL))), ',') AS licences
+FROM f LEFT JOIN r{len(rules) - 1} AS r ON r.doc_id = f.doc_id LEFT JOIN z ON z.doc_id = f.doc_id
 """
 
 
@@ -138,9 +159,11 @@ SELECT u.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT
 
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 
+_KEY = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[ \t\r\n]*Proc-Type: 4,ENCRYPTED[ \t\r\n]+DEK-Info: [A-Za-z0-9,-]+)?(?:[ \t\r\n]*[A-Za-z0-9+/=]{24,})*(?:[ \t\r\n]*[A-Za-z0-9+/=]*[ \t\r\n]*-----END [A-Z ]*PRIVATE KEY-----)?"
+
 
 def _op10() -> str:
-    kinds = [("assign", _ASSIGN, 12, 2), ("access", "AKIA[A-Z0-9]+", 18, 0), ("hex", "[0-9a-f]+", 16, 0), ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, 0)]
+    kinds = [("assign", _ASSIGN, 12, 2), ("access", "AKIA[A-Z0-9]+", 18, 0), ("hex", "[0-9a-f]+", 16, 0), ("pem", _KEY, 1, 0)]
     each = " UNION ALL ".join(
         f"SELECT doc_id, '{kind}' AS kind, {rank} AS rank, {least} AS least, string_split_regex(t, '{p}') AS gap, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {group}) AS g FROM d"
         for rank, (kind, p, least, group) in enumerate(kinds, 1)
