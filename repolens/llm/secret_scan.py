@@ -9,11 +9,14 @@ share is scanned once, and a rule that did not change never reads a blob twice.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 FINDINGS = "array<struct<start:int,end:int>>"
 
 
@@ -30,14 +33,37 @@ class Rule:
     version: int = 1
 
 
-#: Base kinds first, in the order that their spans are listed, then what this method adds.
+#: A private key: its header, the lines of 24 or more base64 characters after it, and the shorter last line with the footer.
+_PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[ \t\r\n]*Proc-Type: 4,ENCRYPTED[ \t\r\n]+DEK-Info: [A-Za-z0-9,-]+)?(?:[ \t\r\n]*[A-Za-z0-9+/=]{24,})*+(?:[ \t\r\n]*[A-Za-z0-9+/=]*[ \t\r\n]*-----END [A-Z ]*PRIVATE KEY-----)?"
+
+#: Base kinds first, in the order that their spans are listed, then what this method adds. A hex or access
+#: match runs to the end of its characters, so one that is too short holds no other that is long enough:
+#: those patterns ask for the length themselves.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""),
-    Rule("access", r"AKIA[A-Z0-9]+", 18),
-    Rule("hex", r"[0-9a-f]+", 16, 0, r"[0-9a-f]{16}"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1),
+    Rule("access", r"AKIA[A-Z0-9]{14,}", 18),
+    Rule("hex", r"[0-9a-f]{16,}", 16),
+    Rule("pem", _PEM, 1, version=2),
 )
 BASE = 3
+#: Code points of a block that `redacted` cuts pieces from.
+BLOCK = 1024
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Each value of an array of integers combined with all before it, 0 first. In round k each takes
+    in the one 2 ** k places before: n log n steps, where a fold that appends to its result takes n * n."""
+
+    def rounds(v: Column) -> Column:
+        numbers = F.when(F.size(v) > 1, F.sequence(F.lit(0), F.floor(F.log2(F.size(v) - 1)).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(numbers, v, lambda now, k: F.zip_with(F.slice(F.concat(F.array_repeat(F.lit(0), F.pow(F.lit(2), k).cast("int")), now), F.lit(1), F.size(now)), now, combine))
+
+    return bound(values, rounds)
 
 
 def spans(text: Column, rule: Rule) -> Column:
@@ -46,19 +72,16 @@ def spans(text: Column, rule: Rule) -> Column:
     The pieces between the matches are as many as the matches and one more, so that lengths of pieces
     and matches add up to positions. A failing match still takes its place in the text.
     """
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    counted = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
-    pieces = F.split(text, rule.pattern, -1)
-    step = F.zip_with(F.zip_with(F.transform(F.slice(pieces, 1, F.size(found)), F.length), found, lambda gap, m: F.struct(gap.alias("gap"), F.length(m).alias("n"))), counted, lambda x, c: F.struct(x["gap"].alias("gap"), x["n"].alias("n"), (F.length(c) >= rule.least).alias("ok")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(FINDINGS).alias("out"))
-
-    def add(state: Column, m: Column) -> Column:
-        begin = state["at"] + m["gap"]
-        end = begin + m["n"]
-        one = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(m["ok"], F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
-
-    walked = F.aggregate(step, start, add, lambda state: state["out"])
+
+    def placed(found: Column) -> Column:
+        counted = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
+        sizes = F.zip_with(found, counted, lambda m, c: F.struct(F.length(m).alias("n"), (F.length(c) >= rule.least).alias("ok")))
+        gaps = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(found))
+        ends = running(F.zip_with(gaps, found, lambda gap, m: F.length(gap) + F.length(m)), lambda a, b: a + b)
+        each = F.zip_with(ends, sizes, lambda end, m: F.struct((end - m["n"]).alias("start"), end.alias("end"), m["ok"].alias("ok")))
+        return F.transform(F.filter(each, lambda m: m["ok"]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
+
+    walked = bound(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), placed)
     return F.when(F.regexp_like(text, F.lit(rule.hint or rule.pattern)), walked).otherwise(F.array().cast(FINDINGS))
 
 
@@ -91,39 +114,54 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, path: str = "doc_
     return scanned.dropDuplicates(["blob", "kind"])
 
 
-def joined(versions: DataFrame, ledger: DataFrame, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, keep: list[str] | None = None) -> DataFrame:
-    """(path, found) per row of `versions`, or the columns `keep` in place of the path; found is
+def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, found) of the blobs in which the present rules find something; found is
     array<struct<start, rank, kind, end>> by start, then rule order."""
     now = F.lit(False)
     for r in rules:
         now = now | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
     rank = F.array_position(F.array(*[F.lit(r.kind) for r in rules]), F.col("kind")).cast("int")
     each = ledger.where(now & (F.size("found") > 0)).withColumn("rank", rank)
-    own = each.groupBy("blob").agg(F.flatten(F.collect_list(F.transform("found", lambda x: F.struct(x["start"].alias("start"), F.col("rank").alias("rank"), F.col("kind").alias("kind"), x["end"].alias("end"))))).alias("__found")).withColumnRenamed("blob", "__blob")
+    own = F.transform("found", lambda x: F.struct(x["start"].alias("start"), F.col("rank").alias("rank"), F.col("kind").alias("kind"), x["end"].alias("end")))
+    return each.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list(own))).alias("found"))
+
+
+def find_secrets(versions: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, keep: list[str] | None = None, found: str = "found") -> DataFrame:
+    """(path, found) of every row, or the columns `keep` in place of the path, from the ledger and a scan
+    of what it lacks; `found` names the column of findings, which a column of `keep` must not.
+
+    What is new in the ledger is written first, and the findings of each blob after it: paths then meet
+    blobs in a plain join, which adaptive execution splits where many paths hold one blob. Null and empty
+    texts have no findings; repeated rows repeat theirs; null paths pass through. Columns other than
+    those named are not read.
+    """
+    new = written(scan(versions, ledger, path, text, rules), "ledger")
+    whole = new if ledger is None else ledger.select("blob", "kind", "version", "found").unionByName(new)
+    own = written(findings(whole, rules), "findings").select(F.col("blob").alias("__blob"), F.col("found").alias("__found"))
     names = keep or [path]
     rows = versions.select(*names, blob_of(F.col(text)).alias("__blob")).join(own, "__blob", "left")
     empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    return rows.select(*names, F.sort_array(F.coalesce("__found", empty)).alias("found"))
+    return rows.select(*names, F.coalesce("__found", empty).alias(found))
 
 
-def find_secrets(versions: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, keep: list[str] | None = None) -> DataFrame:
-    """(path, found) of every row, from the ledger and a scan of what it lacks.
+def redacted(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
+    """`text` with its findings, which come by their start, masked; overlapping findings are masked as one.
 
-    Null and empty texts have no findings; repeated rows repeat theirs; null paths pass through.
-    Columns other than those named are not read.
+    Pieces between them are cut from blocks of `BLOCK` code points: in a whole text each would be
+    counted off from its beginning.
     """
-    new = scan(versions, ledger, path, text, rules)
-    return joined(versions, new if ledger is None else ledger.select("blob", "kind", "version", "found").unionByName(new), path, text, rules, keep)
 
+    def piece(blocks: Column, begin: Column, end: Column) -> Column:
+        first = F.floor(begin / BLOCK).cast("int")
+        near = F.slice(blocks, first + 1, F.floor(end / BLOCK).cast("int") - first + 1)
+        return F.substring(F.array_join(near, ""), begin - first * BLOCK + 1, end - begin)
 
-def redacted(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
-    """`text` with its findings masked; overlapping findings are masked as one."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def cut(state: Column, f: Column) -> Column:
-        fresh = f["start"] >= state["at"]
-        kept = F.concat(state["out"], F.when(fresh, F.concat(F.substring(text, state["at"] + 1, f["start"] - state["at"]), F.lit(mask))).otherwise(F.lit("")))
-        return F.struct(F.greatest(state["at"], f["end"]).alias("at"), kept.alias("out"))
+    def cut(blocks: Column, reach: Column) -> Column:
+        before = F.slice(F.concat(F.array(F.lit(0)), reach), F.lit(1), F.size(reach))
+        fresh = F.filter(F.zip_with(found, before, lambda f, b: F.struct(f["start"].alias("end"), b.alias("begin"))), lambda g: g["end"] >= g["begin"])
+        last = piece(blocks, F.element_at(reach, -1), F.length(text))
+        return F.array_join(F.concat(F.transform(fresh, lambda g: piece(blocks, g["begin"], g["end"])), F.array(last)), mask)
 
-    whole = F.aggregate(found, start, cut, lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))))
+    reach = running(F.transform(found, lambda f: f["end"]), lambda a, b: F.greatest(a, b))
+    whole = bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), lambda blocks: bound(reach, lambda r: cut(blocks, r)))
     return F.when(F.size(found) > 0, whole).otherwise(text)
