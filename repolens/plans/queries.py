@@ -511,6 +511,11 @@ def p2_findings_page(spark, d):
     return reports.findings_page(_findings(spark, d), view(spark, d, "files"), page=2)[0].select(*_OUT, "path")
 
 
+@query(_ALL + f"SELECT fi.run_id, fi.file_id, rule_id, severity, message, line, path FROM fi LEFT JOIN files AS f ON f.run_id = fi.run_id AND f.file_id = fi.file_id WHERE fi.run_id = 'src3' AND rule_id = 'TOO_MANY_PARAMETERS' ORDER BY {_SEV}, path NULLS FIRST, line NULLS FIRST, message LIMIT 20", *_NEED)
+def p2_findings_of_a_rule(spark, d):
+    return reports.findings_page(_findings(spark, d), view(spark, d, "files"), run_id="src3", rule_id="TOO_MANY_PARAMETERS", page_size=20)[0].select(*_OUT, "path")
+
+
 @query(_ALL + "SELECT count(*) AS total FROM fi WHERE severity = 'MEDIUM'", *_NEED)
 def p2_findings_total(spark, d):
     return reports.findings_page(_findings(spark, d), view(spark, d, "files"), severity="MEDIUM")[1]
@@ -545,6 +550,28 @@ def p5_run_history(spark, d):
     return reports.run_history(view(spark, d, "ingestions")).select("repository_id", "id", "rank")
 
 
+_HISTORY = "SELECT repository_id, id, n::INT AS rank FROM " + _LATEST
+
+
+def _history(spark, d, runs_of: str):
+    return reports.run_history(view(spark, d, runs_of)).select("repository_id", "id", "rank")
+
+
+@query(_HISTORY.format("analyses", 100), "analyses")
+def p5_analysis_history(spark, d):
+    return _history(spark, d, "analyses")
+
+
+@query(_HISTORY.format("embeddings_runs", 100), "embeddings_runs")
+def p5_embedding_history(spark, d):
+    return _history(spark, d, "embeddings_runs")
+
+
+@query(_HISTORY.format("ai_runs", 100), "ai_runs")
+def p5_ai_history(spark, d):
+    return _history(spark, d, "ai_runs")
+
+
 _P6 = f"SELECT r.repository_id, r.user_id, i.id AS ingestion_id, i.status AS ingestion_status, a.status AS analysis_status, a.findings_count FROM repositories AS r LEFT JOIN {_LATEST.format('ingestions', 1)} AS i ON i.repository_id = r.repository_id LEFT JOIN analyses AS a ON a.ingestion_id = i.id"
 
 
@@ -889,7 +916,7 @@ def x4_evidence_text(spark, d):
     return evidence.evidence_text(_records(spark, d))
 
 
-_REASON = "CASE WHEN (conv_id + turn) % 11 = 3 THEN 'json' WHEN (conv_id + turn) % 13 = 4 THEN 'summary' WHEN conv_id % 17 = 2 OR (conv_id % 5 = 4 AND turn = 1) THEN 'findings' END"
+_REASON = "CASE WHEN (conv_id + turn) % 11 = 3 THEN 'json' WHEN (conv_id + turn) % 13 = 4 THEN 'summary' WHEN conv_id % 17 = 2 OR (conv_id % 5 = 4 AND turn = 1) THEN 'findings' WHEN turn % 7 <> 6 THEN NULL WHEN conv_id % 7 = 5 THEN 'health' WHEN conv_id % 9 = 4 THEN 'strengths' WHEN conv_id % 8 = 3 THEN 'next_steps' END"
 _CONF = "((conv_id * 3 + turn) % 9 + 1) / 10"
 _AISEV = "CASE conv_id % 5 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'LOW' WHEN 3 THEN 'INFO' ELSE 'MEDIUM' END"
 _VALID = f", v AS (SELECT *, {_REASON} AS reason, {_CONF} AS confidence, {_AISEV} AS severity, ai_run_id || '/' || agent AS agent_run_id, 't' || turn AS title, 's' || conv_id AS s FROM agent_results)\n"

@@ -90,7 +90,7 @@ VIEWS: dict[str, str] = {
                cast(event_id % 13 AS int) AS discovered, cast(event_id % 5 AS int) AS reused, cast(event_id % 7 AS int) AS embedded, ts AS created_at, ts AS updated_at
         FROM events""",
     "ai_runs": """
-        SELECT concat('x', event_id) AS id, concat('a', 2 * event_id) AS analysis_run_id, CASE WHEN event_id % 5 < 2 THEN 'RUNNING' ELSE 'COMPLETED' END AS status, ts AS created_at, ts AS updated_at
+        SELECT concat('x', event_id) AS id, concat('a', 2 * event_id) AS analysis_run_id, cast(user_id AS varchar(20)) AS repository_id, CASE WHEN event_id % 5 < 2 THEN 'RUNNING' ELSE 'COMPLETED' END AS status, ts AS created_at, ts AS updated_at
         FROM events""",
     "chunks": """
         SELECT cast(e.vec_id AS varchar(20)) AS chunk_id, cast(e.label AS varchar(20)) AS repository_id, concat('src/doc_', d.doc_id, '.ts') AS file_path,
@@ -105,7 +105,7 @@ VIEWS: dict[str, str] = {
         SELECT concat(conv_id, '-', cast(floor(turn / 7) AS int)) AS ai_run_id, CASE turn % 7 WHEN 0 THEN 'ARCHITECTURE' WHEN 1 THEN 'CODE_QUALITY' WHEN 2 THEN 'SECURITY' WHEN 3 THEN 'PERFORMANCE' WHEN 4 THEN 'DEPENDENCY_RISK' WHEN 5 THEN 'DOCUMENTATION' ELSE 'EXECUTIVE_SUMMARY' END AS agent,
                conv_id, turn, length(text) AS n, CASE WHEN (conv_id + turn) % 6 = 5 OR conv_id % 10 = 9 THEN 'FAILED' ELSE 'COMPLETED' END AS status,
                CASE WHEN (conv_id + turn) % 11 = 3 THEN 'not json'
-                    ELSE concat('{"overallHealth": "GOOD", "strengths": [], "recommendedNextSteps": [], "summary": "', CASE WHEN (conv_id + turn) % 13 = 4 THEN '' ELSE concat('s', conv_id) END, '", "', CASE WHEN turn % 7 = 6 THEN 'topRisks' ELSE 'findings' END, '": [',
+                    ELSE concat('{"overallHealth": "', CASE WHEN conv_id % 7 = 5 THEN 'FINE' ELSE 'GOOD' END, '", "strengths": [', CASE conv_id % 9 WHEN 4 THEN repeat('"x", ', 10) WHEN 5 THEN '' ELSE '"tests", ' END, '"docs"], "recommendedNextSteps": [', CASE conv_id % 8 WHEN 3 THEN '"", ' ELSE '' END, '"refactor"], "summary": "', CASE WHEN (conv_id + turn) % 13 = 4 THEN '' ELSE concat('s', conv_id) END, '", "', CASE WHEN turn % 7 = 6 THEN 'topRisks' ELSE 'findings' END, '": [',
                          '{"category": "c", "title": "t', turn, '", "summary": "u", "severity": "', CASE conv_id % 5 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'LOW' WHEN 3 THEN 'INFO' ELSE CASE WHEN turn = 1 THEN 'WRONG' ELSE 'MEDIUM' END END,
                          '", "confidence": 0.', (conv_id * 3 + turn) % 9 + 1, ', "evidence": "e", "recommendation": "r", "citations": [', CASE WHEN conv_id % 17 = 2 THEN '' ELSE '{"filePath": "a.ts", "startLine": 1, "endLine": 2, "symbolName": null}' END, ']}]}') END AS result
         FROM conversations""",
