@@ -1,18 +1,17 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Two recurrent layers (one forward, one backward) read the bytes of a word, from the space before it
-to the space after it; a softmax on both states labels every byte position. A document's
-probabilities are the mean over all of its positions. The state starts anew at every word, so equal
-words have equal positions: a batch computes each distinct word once and counts it as often as it
-occurs, which gives the same sums as reading the whole text. Runs without white space longer than
-`LONGEST` bytes are read in pieces.
-
-Training is numpy back-propagation through time on the words of a bounded sample of labelled rows.
+Two recurrent layers, one forward and one backward, read a text; a softmax on both states labels every
+byte position, and a document's probabilities are the mean over all of its positions. A text is read in
+windows of `SPAN` bytes, cut before a character, with `MARGIN` bytes more on both sides: the state so
+carries over words and over the cuts, and every position counts once, in the window it belongs to.
+
+Training is numpy back-propagation through time on windows of a bounded sample of labelled rows. A share
+of them is made noise, as a label of its own: the bytes of a window in another order, and random bytes
+and letters. A text whose letters are noise with a probability above `NOISE` is in no language.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,61 +23,78 @@ from pyspark.sql import types as T
 
 from . import kernels as K
 
-LONGEST = 24
-#: Labels that training takes at most.
-LABELS = 1000
-#: Rows of a length class from which its floor is learned.
-CLASS_ROWS = 20
+#: Bytes of a window that count, and of context on each side.
+SPAN, MARGIN = 240, 16
+#: Windows read at once.
+AT_ONCE = 1024
 #: No language: null text, or no letter.
 UNDETERMINED = "und"
 
+#: Mean probability of noise over a text's letters from which it is in no language.
+NOISE = 0.95
+
 _LETTER = K.table(bytes(range(65, 91)) + bytes(range(97, 123)))
+_LETTERED = _LETTER | K.table(bytes(range(128, 256)))
 
 
 @dataclass(frozen=True)
 class Config:
-    """rows: labelled rows of each language that training may read (its only bound on data); words:
-    occurrences drawn from them for each epoch."""
+    """rows: labelled rows of each language that training may read (its only bound on data); windows:
+    drawn from them for each epoch, of up to `span` bytes; noise: the share of windows made noise."""
 
-    hidden: int = 12
+    hidden: int = 8
     embed: int = 12
     rows: int = 250
-    words: int = 40_000
+    windows: int = 6_000
+    span: int = 64
+    noise: float = 0.25
     epochs: int = 4
-    batch: int = 512
+    batch: int = 64
     rate: float = 0.01
     seed: int = 1
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, lengths and texts' first piece numbers of words cut at LONGEST bytes."""
-    starts, ends, at = K.words(data, offsets)
+def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the windows of all texts, and the number of each text's first window."""
+    size = np.diff(offsets)
+    count = -(-size // SPAN)
+    at = K.bounds(count)
+    starts = np.repeat(offsets[:-1], count) + SPAN * (np.arange(at[-1]) - np.repeat(at[:-1], count))
+    ends = np.minimum(starts + SPAN, np.repeat(offsets[1:], count))
+    padded = np.concatenate([data, np.zeros(4, np.uint8)])
+    for cuts in (starts, ends):
+        for _ in range(3):  # a character has up to three bytes after its first
+            cuts += (padded[cuts] & 0xC0) == 0x80
+    return starts, ends, at
+
+
+def steps_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(steps, windows) bytes from each start to its end, padded with spaces."""
     size = ends - starts
-    parts = -(-size // LONGEST)
-    before = K.bounds(parts)
-    begin = np.repeat(starts, parts) + LONGEST * (np.arange(before[-1]) - np.repeat(before[:-1], parts))
-    return begin, np.minimum(LONGEST, np.repeat(ends, parts) - begin), before[at]
-
-
-def padded(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """(words, longest + 2) bytes: a space, the word, spaces."""
-    width = int(lengths.max(initial=1)) + 2
-    out = np.full((len(starts), width), 32, np.uint8)
-    rows = np.repeat(np.arange(len(starts)), lengths)
-    out[rows, K.ragged(np.ones(len(starts), np.int64), lengths)] = data[K.ragged(starts, lengths)]
+    out = np.full((int(size.max(initial=1)), len(starts)), 32, np.uint8)
+    where = np.arange(len(out))[:, None]
+    np.copyto(out, data[np.minimum(starts + where, max(0, len(data) - 1))], where=where < size)
     return out
 
 
+def noisy(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Windows (steps, windows) as noise: three in five shuffled, the others random bytes or letters."""
+    kind = rng.random(x.shape[1])
+    letters = np.where(rng.random(x.shape) < 0.15, 32, rng.integers(97, 123, x.shape))
+    made = np.where(kind < 0.8, rng.integers(0x21, 256, x.shape), letters).astype(np.uint8)
+    return np.where(kind < 0.6, rng.permuted(x, axis=0), made)
+
+
 class Network:
     """Weights: E (256, embed); per direction W (embed, 3h), U (h, 3h), b (3h): update, reset, new;
-    V (2h, labels), c."""
+    V (2h, labels and noise), c."""
 
     def __init__(self, labels: list[str], config: Config, rng: np.random.Generator | None = None) -> None:
         self.labels, self.h = labels, config.hidden
         rng = rng or np.random.default_rng(config.seed)
         h, e, f4 = config.hidden, config.embed, np.float32
         draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(f4)
-        self.w = {"E": draw(256, e) * f4(np.sqrt(256) * 0.3), "V": draw(2 * h, len(labels)), "c": np.zeros(len(labels), f4)}
+        self.w = {"E": draw(256, e) * f4(np.sqrt(256) * 0.3), "V": draw(2 * h, len(labels) + 1), "c": np.zeros(len(labels) + 1, f4)}
         for d in "fb":
             self.w |= {f"W{d}": draw(e, 3 * h), f"U{d}": draw(h, 3 * h), f"b{d}": np.zeros(3 * h, f4)}
 
@@ -105,6 +121,37 @@ class Network:
             out[t] = state
         return out, held
 
+    def _read(self, x: np.ndarray, inside: np.ndarray, d: str) -> np.ndarray:
+        """The states of `_pass`, in place and without what training needs."""
+        h, f4 = self.h, np.float32
+        table = (self.w["E"] @ self.w[f"W{d}"] + self.w[f"b{d}"]).astype(f4)
+        table[:, : 2 * h] *= f4(0.5)  # a logistic gate is half a tanh of half its input, and a half
+        U = self.w[f"U{d}"].astype(f4)
+        of_gates, of_new = np.ascontiguousarray(U[:, : 2 * h]) * f4(0.5), np.ascontiguousarray(U[:, 2 * h :])
+        steps, n = x.shape
+        out, state = np.empty((steps, n, h), f4), np.zeros((n, h), f4)
+        given, gates, new, reset = np.empty((n, 3 * h), f4), np.empty((n, 2 * h), f4), np.empty((n, h), f4), np.empty((n, h), f4)
+        whole = inside.all(axis=1)
+        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            np.take(table, x[t], axis=0, out=given, mode="clip")
+            np.matmul(state, of_gates, out=gates)
+            gates += given[:, : 2 * h]
+            np.tanh(gates, out=gates)
+            gates *= f4(0.5)
+            gates += f4(0.5)
+            np.multiply(gates[:, h:], state, out=reset)
+            np.matmul(reset, of_new, out=new)
+            new += given[:, 2 * h :]
+            np.tanh(new, out=new)
+            step = out[t]
+            np.subtract(state, new, out=step)
+            step *= gates[:, :h]
+            step += new
+            if not whole[t]:
+                np.copyto(step, state, where=~inside[t][:, None])
+            state = step
+        return out
+
     def forward(self, x: np.ndarray, inside: np.ndarray, keep: bool = False):
         """Label probabilities (steps, words, labels)."""
         f, held_f = self._pass(x, inside, "f", keep)
@@ -151,100 +198,108 @@ class Network:
             g["E"] += table @ W.T
         return float(loss), g
 
-    def train(self, words: np.ndarray, lengths: np.ndarray, label: np.ndarray, weight: np.ndarray, config: Config) -> float:
-        """Adam on words drawn by weight; returns the last epoch's mean loss."""
+    def train(self, data: np.ndarray, offsets: np.ndarray, label: np.ndarray, config: Config) -> float:
+        """Adam on windows at random places of the texts, of random length, each label alike; returns the
+        last epoch's mean loss."""
         rng = np.random.default_rng(config.seed)
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
         second = {k: np.zeros_like(v) for k, v in self.w.items()}
+        size = np.diff(offsets)
+        weight = size / np.bincount(label, size, len(self.labels))[label]
+        noise = len(self.labels)
         steps, mean = 0, 0.0
-        total = config.epochs * -(-config.words // config.batch)
+        total = config.epochs * -(-config.windows // config.batch)
         for _ in range(config.epochs):
-            drawn = rng.choice(len(words), config.words, p=weight / weight.sum())
+            drawn = rng.choice(len(size), config.windows, p=weight / weight.sum())
+            starts = offsets[drawn] + (rng.random(len(drawn)) * size[drawn]).astype(np.int64)
+            ends = np.minimum(starts + rng.integers(min(4, config.span), config.span + 1, len(drawn)), offsets[drawn + 1])
             mean = 0.0
             for i in range(0, len(drawn), config.batch):
-                own = drawn[i : i + config.batch]
-                most = int(lengths[own].max()) + 2
-                x = np.ascontiguousarray(words[own, :most].T)
-                loss, g = self.gradients(x, np.arange(most)[:, None] < lengths[own] + 2, label[own])
-                mean += loss * len(own) / len(drawn)
+                own = slice(i, i + config.batch)
+                x, wanted = steps_of(data, starts[own], ends[own]), label[drawn[own]]
+                made = rng.random(len(wanted)) < config.noise
+                x[:, made] = noisy(x[:, made], rng)
+                wanted[made] = noise
+                loss, g = self.gradients(x, np.arange(len(x))[:, None] < ends[own] - starts[own], wanted)
+                mean += loss * x.shape[1] / len(drawn)
                 steps += 1
+                norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
                 rate = config.rate * (1 - steps / (total + 1))
                 for k, v in g.items():
+                    v = v * min(1.0, 1.0 / max(norm, 1e-9))
                     first[k] += 0.1 * (v - first[k])
                     second[k] += 0.01 * (v * v - second[k])
                     self.w[k] -= rate * (first[k] / (1 - 0.9**steps)) / (np.sqrt(second[k] / (1 - 0.99**steps)) + 1e-8)
         return mean
 
-    def word_sums(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at_once: int = 8192) -> np.ndarray:
-        """(words, labels): label probabilities summed over the positions of each word."""
-        out = np.empty((len(starts), len(self.labels)))
-        order = np.argsort(lengths, kind="stable")
-        for i in range(0, len(order), at_once):
-            own = order[i : i + at_once]
-            x = np.ascontiguousarray(padded(data, starts[own], lengths[own]).T)
-            inside = np.arange(len(x))[:, None] < lengths[own] + 2
-            out[own] = np.einsum("tnl,tn->nl", self.forward(x, inside), inside.astype(np.float32), optimize=True)
+    def window_sums(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """(windows, labels and two): probabilities of the labels summed over the positions of each window,
+        which is read with its context from `low` to `high`; that of noise over its letters; and how many
+        letters it has."""
+        h, (V, c) = self.h, (self.w["V"], self.w["c"])
+        out = np.empty((len(starts), len(c) + 1), np.float64)
+        order = np.argsort(high - low, kind="stable")
+        for i in range(0, len(order), AT_ONCE):
+            own = order[i : i + AT_ONCE]
+            x = steps_of(data, low[own], high[own])
+            place = np.arange(len(x))[:, None]
+            inside = place < high[own] - low[own]
+            counts = ((place >= starts[own] - low[own]) & (place < ends[own] - low[own])).astype(np.float32)
+            forth, back = self._read(x, inside, "f"), self._read(x, inside, "b")
+            letters = counts * _LETTERED[x]
+            total, noise = np.zeros((len(own), len(c)), np.float32), np.zeros(len(own), np.float32)
+            for t in range(len(x)):
+                score = forth[t] @ V[:h]
+                score += back[t] @ V[h:]
+                score += c
+                score -= score.max(axis=1, keepdims=True)
+                np.exp(score, out=score)
+                score /= score.sum(axis=1)[:, None]
+                noise += score[:, -1] * letters[t]
+                total += score * counts[t][:, None]
+            out[own, :-2], out[own, -2], out[own, -1] = total[:, :-1], noise, letters.sum(axis=0)
         return out
 
-
-class Met:
-    """Sums of the words that a task has met, at most about `most`; then it begins anew."""
-
-    def __init__(self, network: Network | None, most: int = 1_600_000) -> None:
-        self.network, self.most = network, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.seen, self.rows = K.Seen(), K.Growing(np.float32, len(self.network.labels) if self.network else 1)
-
-    def sums(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        if len(self.seen) > self.most:
-            self.clear()
-        ends = starts + lengths
-        number = self.seen.find(data, starts, ends)
-        new = np.flatnonzero(number < 0)
-        first, which = K.distinct_spans(data, starts[new], ends[new])
-        first = new[first]
-        number[new] = len(self.seen) + which
-        self.rows.append(self.network.word_sums(data, starts[first], lengths[first]))
-        self.seen.add(data, starts[first], ends[first])
-        return self.rows.now[number]
+    def mean_probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """(texts, labels and noise): the mean over all positions of each text, that of noise over its
+        letters; zero for an empty one."""
+        starts, ends, at = windows(data, offsets)
+        size = np.diff(at)
+        low = np.maximum(starts - MARGIN, np.repeat(offsets[:-1], size))
+        high = np.minimum(ends + MARGIN, np.repeat(offsets[1:], size))
+        out = np.zeros((len(size), len(self.labels) + 1))
+        full = np.flatnonzero(size)
+        if len(full):
+            sums = self.window_sums(data, starts, ends, low, high)
+            whole = np.add.reduceat(sums, at[:-1][full], axis=0)
+            out[full, :-1] = whole[:, :-2] / np.diff(offsets)[full][:, None]
+            out[full, -1] = whole[:, -2] / np.maximum(whole[:, -1], 1)
+        return out
 
 
 def sample(docs: DataFrame, key: str, text: str, label: str, rows: int, seed: int) -> DataFrame:
     """Up to `rows` labelled rows of each label, by a hash of key and text.
 
-    The rows of each label are counted first (one number for each of up to `LABELS` labels), and only a
-    share of them that should hold four times `rows` goes on: what is shuffled for the ranking does not
-    grow with the table.
+    The rows with text of each label are counted first, and only a share of them that should hold four
+    times `rows` goes on: what is shuffled for the ranking grows with the labels, not with the table.
     """
     known = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"), F.xxhash64(F.col(key), F.col(text), F.lit(seed)).alias("h"))
-    counted = docs.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("label")).agg(F.count("*").alias("n"))
-    counts = counted.limit(LABELS + 1).collect()
-    if len(counts) > LABELS:
-        raise ValueError(f"more than {LABELS} labels")
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], min(1.0, 4.0 * rows / r["n"]))]) if counts else F.create_map(F.lit(""), F.lit(0.0))
-    some = known.where((F.col("h").cast("double") / 2.0**64 + 0.5) <= F.try_element_at(share, F.col("label")))
+    counts = known.groupBy("label").agg(F.least(F.lit(1.0), 4.0 * rows / F.count("*")).alias("share"))
+    some = known.join(counts.hint("broadcast"), "label").where((F.col("h").cast("double") / 2.0**64 + 0.5) <= F.col("share")).drop("share")
     best = Window.partitionBy("label").orderBy("h", "text")
     return some.withColumn("n", F.row_number().over(best)).where(F.col("n") <= rows).select("text", "label")
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", config: Config = Config()) -> Network | None:
     """A network trained on `config.rows` rows of each label at most; None if no row has a label and
-    a word. One label gives a network that always predicts it."""
+    a text. One label gives a network that always predicts it."""
     rows = sample(docs, key, text, label, config.rows, config.seed).toArrow()
     labels = sorted(set(rows["label"].to_pylist()))
     data, offsets = K.texts(rows["text"])
-    starts, lengths, at = pieces(data, offsets)
-    if not labels or not len(starts):
+    if not labels or not len(data):
         return None
-    own = np.repeat(np.searchsorted(labels, rows["label"].to_numpy(zero_copy_only=False).astype(str)), np.diff(at))
-    words = np.full((len(starts), LONGEST + 2), 32, np.uint8)
-    block = padded(data, starts, lengths)
-    words[:, : block.shape[1]] = block
-    weight = 1 / np.bincount(own, minlength=len(labels))[own]  # every label alike
     made = Network(labels, config)
-    made.train(words, lengths, own, weight, config)
+    made.train(data, offsets, np.searchsorted(labels, rows["label"].to_numpy(zero_copy_only=False).astype(str)), config)
     return made
 
 
@@ -257,69 +312,41 @@ def lettered(text: str) -> Column:
     return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
 
-def predict(docs: DataFrame, network: Network | None, key: str = "doc_id", text: str = "text", extra: list[str] | None = None) -> DataFrame:
-    """The `extra` columns of `docs` (its key alone by default) with lang_pred and score.
+def predict(docs: DataFrame, network: Network | None, key: str = "doc_id", text: str = "text", extra: list[str] | None = None, pred: str = "lang_pred", score: str = "score", noise: str = "noise") -> DataFrame:
+    """The `extra` columns of `docs` (its key alone by default) with lang_pred, score and noise, under the
+    names `pred`, `score` and `noise`, which no column of `extra` may have.
 
-    score is the mean probability of the predicted label over all byte positions. Texts that are null
-    or have no letter, and all texts if there is no network, get `und` and 0. Ties go to the first
+    score is the mean probability of the predicted label over all byte positions, noise that of noise
+    over letters. Texts that are null
+    or have no letter, and all texts if there is no network, get `und` and 0 twice. Ties go to the first
     label in order. Repeated rows and null keys are kept.
     """
     names = extra or [key]
-    schema = T.StructType([*[docs.schema[c] for c in names], *T.StructType.fromDDL("lang_pred string, score double").fields])
-    shared, name = docs.sparkSession.sparkContext.broadcast(network), uuid.uuid4().hex
+    schema = T.StructType([*[docs.schema[c] for c in names], T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType()), T.StructField(noise, T.DoubleType())])
+    shared = docs.sparkSession.sparkContext.broadcast(network)
     wanted = docs.select(*names, *([] if text in names else [text]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.alone("langid")
         network = shared.value
-        met = K.held(("met", name), lambda: Met(network))
-        for batch in K.portions(batches, text, 4 << 20):
+        for batch in K.portions(batches, text, 1 << 20):
             values = K.column(batch, text)
             data, offsets = K.texts(values)
-            mean = np.zeros((len(batch), len(network.labels) if network else 1))
-            if network and len(data):
-                starts, lengths, at = pieces(data, offsets)
-                sums = met.sums(data, starts, lengths)
-                full = np.flatnonzero(np.diff(at))
-                if len(full):
-                    total = np.add.reduceat(sums, at[:-1][full], axis=0, dtype=np.float64)
-                    mean[full] = total / np.add.reduceat(lengths + 2, at[:-1][full])[:, None]
+            mean = network.mean_probabilities(data, offsets) if network else np.zeros((len(batch), 2))
             plain = np.diff(K.bounds(_LETTER[data].astype(np.int64))[offsets]) > 0
             lettered = np.array([bool(p) or (values[i].is_valid and has_letter(values[i].as_py())) for i, p in enumerate(plain)], bool) & bool(network)
-            best = mean.argmax(axis=1)
+            best = mean[:, :-1].argmax(axis=1)
             labels = [network.labels[b] if ok else UNDETERMINED for b, ok in zip(best, lettered, strict=True)]
-            score = np.where(lettered, mean[np.arange(len(mean)), best], 0.0)
-            yield pa.RecordBatch.from_arrays([*[K.column(batch, c) for c in names], pa.array(labels, pa.string()), pa.array(np.clip(score, 0, 1))], names=[*names, "lang_pred", "score"])
+            sure = np.where(lettered, mean[np.arange(len(mean)), best], 0.0)
+            other = np.where(lettered, mean[:, -1], 0.0)
+            yield pa.RecordBatch.from_arrays([*[K.column(batch, c) for c in names], pa.array(labels, pa.string()), pa.array(np.clip(sure, 0, 1)), pa.array(np.clip(other, 0, 1))], names=schema.names)
 
     return wanted.mapInArrow(run, schema)
 
 
-def length_class(text: str) -> Column:
-    return F.floor(F.log2(F.octet_length(text))).cast("int")
-
-
-def floors(docs: DataFrame, network: Network, key: str = "doc_id", text: str = "text", label: str = "lang", config: Config = Config()) -> dict[int, float]:
-    """The least score of a text in one of the learned languages, by length class.
-
-    It stands halfway between chance and the least score of the training rows that are as long or
-    longer. Classes of fewer than `CLASS_ROWS` rows have no floor; nor has a network of one label.
-    """
-    if len(network.labels) < 2:
-        return {}
-    rows = sample(docs, key, text, label, config.rows, config.seed)
-    scored = predict(rows, network, text="text", extra=["text"]).where(F.col("lang_pred") != UNDETERMINED)
-    found = scored.groupBy(length_class("text").alias("c")).agg(F.count("*").alias("n"), F.min("score").alias("low")).collect()
-    chance = 1 / len(network.labels)
-    return {r["c"]: chance + 0.5 * (min(x["low"] for x in found if x["c"] >= r["c"]) - chance) for r in found if r["n"] >= CLASS_ROWS}
-
-
-def in_a_language(least: dict[int, float], text: str = "text") -> Column:
-    """Whether a row of `predict`, with its text, reaches the floor of its length class; texts longer
-    than all classes have that of the longest, and texts of a class without a floor pass."""
-    known = F.col("lang_pred") != UNDETERMINED
-    if not least:
-        return known
-    floor = F.try_element_at(F.create_map(*[F.lit(x) for c in sorted(least) for x in (c, least[c])]), F.least(length_class(text), F.lit(max(least))))
-    return known & (F.col("score") >= F.coalesce(floor, F.lit(0.0)))
+def in_a_language(pred: str = "lang_pred", noise: str = "noise") -> Column:
+    """Whether a row of `predict` is in one of the learned languages: not `und`, nor noise."""
+    return (F.col(pred) != UNDETERMINED) & (F.col(noise) <= NOISE)
 
 
 def held_out(key: str) -> Column:
