@@ -6,11 +6,14 @@ projections gives a query's projected neighbours in growing order; each is verif
 distance. When the next one is so far that a point nearer than the current k-th would show such a
 projected distance with a chance under 1 - `sure` (chi-square test), the search ends.
 
-Equal vectors are searched once: a class of them keeps its k + 1 smallest ids.
+Equal vectors are searched once: a class of them keeps its k + 1 smallest ids. Vectors of one length are a
+space of their own. Queries go to all shards in blocks of bounded size; of several blocks each is searched
+and its results are written before the next is sent.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -20,9 +23,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .shared import written
 
-#: Distinct vectors in one tree, queries in one block, points in a leaf.
-SHARD, BLOCK, LEAF = 32768, 4096, 64
+#: Distinct vectors in one tree, bytes of queries in one block, points in a leaf.
+SHARD, BLOCK_BYTES, LEAF = 8192, 16 << 20, 64
 
 
 def chi_square_point(dims: int, sure: float) -> float:
@@ -74,20 +78,21 @@ class Tree:
             yield K.ragged(self.at[own], self.at[own + 1] - self.at[own]), float(gaps[rank[done]]) if done < len(rank) else math.inf
 
 
-def search(vectors: np.ndarray, ids: list, queries: np.ndarray, own: np.ndarray, k: int, dims: int, sure: float, seed: int) -> list[tuple[int, int, float]]:
-    """(query row, id, cosine) of each query's k best in this shard; ids[i] are the ids of vector i,
-    own the id of each query."""
+def search(vectors: np.ndarray, ids: list, queries: np.ndarray, own: np.ndarray, k: int, dims: int, sure: float, seed: int) -> tuple[list[tuple[int, int, float]], int]:
+    """(query row, id, cosine) of each query's k best in this shard, and how many vectors were verified for
+    all queries together; ids[i] are the ids of vector i, own the id of each query."""
     unit = vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
     q_unit = queries / np.sqrt((queries * queries).sum(axis=1))[:, None]
     axes = np.random.default_rng(seed).standard_normal((vectors.shape[1], dims))
     tree, q_points, limit = Tree(unit @ axes), q_unit @ axes, chi_square_point(dims, sure)
     unit = unit[tree.order]
     ids = [ids[i] for i in tree.order.tolist()]
-    out = []
+    out, verified = [], 0
     for i, (q, p) in enumerate(zip(q_unit, q_points, strict=True)):
         best: list[tuple[float, int]] = []
         for found, reach in tree.nearest(p):
             near = unit[found] @ q
+            verified += len(found)
             worst = best[-1][0] if len(best) == k else -2.0
             if len(near) > k + 1:  # a class of copies counts as one, and one may be the query itself
                 worst = max(worst, float(np.partition(near, len(near) - k - 1)[len(near) - k - 1]))
@@ -98,51 +103,62 @@ def search(vectors: np.ndarray, ids: list, queries: np.ndarray, own: np.ndarray,
             if len(best) == k and reach >= limit * max(0.0, 2 - 2 * best[-1][0]):
                 break
         out += [(i, x, c) for c, x in best]
-    return out
+    return out, verified
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id", vector: str = "embedding", dims: int = 8, sure: float = 0.95, seed: int = 7, shard: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row whose key is divisible by `every` its k rows of
     largest cosine (double), itself not among them; nearest first, ties to the smaller key.
 
-    Null keys, and vectors that are null, empty, zero, of another length than the longest, or hold
-    null or non-finite components take no part. A key that repeats with the same vector is one row.
-    Fewer candidates than k give all of them. Queries are taken in blocks of `BLOCK`, each sent to all
-    shards, so that what is broadcast has a fixed size. Every vector is indexed.
+    Null keys, and vectors that are null, empty, zero, or hold null or non-finite components take no
+    part; neighbours have the query's length. A key that repeats with the same vector is one row. Fewer
+    candidates than k give all of them. Every vector is indexed.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    width = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    rows = rows.where(F.size("v") == width).distinct()
+    rows = rows.distinct()
     first = Window.partitionBy("v").orderBy("id")
     classes = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     count = rows.count()
     shards = max(1, -(-count // shard))
     dealt = classes.repartition(shards, F.xxhash64("v"))
     asked = rows.where(F.col("id") % every == 0)
-    blocks = max(1, -(-asked.count() // BLOCK))
-    out = None
+    size = asked.agg(F.sum(8 * F.size("v"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    result = "query_id long, vec_id long, score double"
+    parts = []
     for b in range(blocks):
         block = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).orderBy("id").toArrow()
-        if not len(block):
-            continue
-        sent = spark.sparkContext.broadcast((block["id"].to_numpy(), np.array(block["v"].to_pylist(), np.float64)))
+        sent = spark.sparkContext.broadcast(_by_width(block["id"].combine_chunks(), block["v"].combine_chunks()))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             K.alone("ann")
-            own = list(batches)
-            if not sum(map(len, own)):
+            own = [batch for batch in batches if len(batch)]
+            if not own:
                 return
-            matrix = np.concatenate([K.column(x, "v").flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) for x in own if len(x)])
-            ids = [i for x in own for i in K.column(x, "ids").to_pylist()]
-            q_ids, queries = sent.value
-            found = search(matrix, ids, queries, q_ids, k, dims, sure, seed)
-            yield pa.RecordBatch.from_arrays([pa.array([int(q_ids[i]) for i, _, _ in found], pa.int64()), pa.array([int(x) for _, x, _ in found], pa.int64()), pa.array([c for _, _, c in found], pa.float64())], names=["query_id", "vec_id", "score"])
-
-        own = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
-        out = own if out is None else out.unionByName(own)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, vec_id long, score double")
+            table = pa.Table.from_batches(own).combine_chunks()
+            for width, (which, matrix) in _by_width(pa.array(np.arange(len(table))), table["v"].combine_chunks()).items():
+                q_ids, queries = sent.value.get(width, ((), ()))
+                if len(q_ids):
+                    found, _ = search(matrix, table["ids"].take(pa.array(which)).to_pylist(), queries, q_ids, k, dims, sure, seed)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(q_ids[i]) for i, _, _ in found], pa.int64()), pa.array([int(x) for _, x, _ in found], pa.int64()), pa.array([c for _, _, c in found], pa.float64())], names=["query_id", "vec_id", "score"])
+
+        found = dealt.select("v", "ids").mapInArrow(run, result)
+        parts.append(found if blocks == 1 else written(found, "neighbours"))
+        if blocks > 1:
+            sent.destroy()
+    out = functools.reduce(DataFrame.unionByName, parts)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _by_width(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The ids and vectors of each length, vectors as a matrix."""
+    size = vectors.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, at, own = vectors.flatten().to_numpy(zero_copy_only=False), K.bounds(size), ids.to_numpy(zero_copy_only=False)
+    out = {}
+    for width in np.unique(size).tolist():
+        rows = np.flatnonzero(size == width)
+        out[width] = (own[rows], flat[K.ragged(at[rows], size[rows])].reshape(len(rows), width).astype(np.float64))
+    return out
