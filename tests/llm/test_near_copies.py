@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -49,13 +50,21 @@ def test_groups_of_planted_copies(spark):
     assert all(want[got[i]] == want[i] for i in want)  # no unrelated texts together
 
 
-def test_large_buckets_keep_their_hub():
+def test_the_sieve_lets_every_shared_shingle_pass(spark):
     rng = np.random.default_rng(0)
-    hub = int(rng.integers(0, 2**63))
-    fps = np.array([hub] + [hub ^ sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) for _ in range(500)], np.uint64)
-    a, b = N.links(fps, np.array([len(fps)]), 3)
-    assert set(np.concatenate([a, b]).tolist()) == set(range(501)) and len(a) <= 2 * N.HUBS * len(fps)
-    assert ((a == 0) | (b == 0)).sum() >= 500
+    some = rng.integers(-(2**63), 2**63 - 1, 400)
+    rows = [(i, 20, rng.choice(some, 12, replace=False).tolist() + rng.integers(-(2**63), 2**63 - 1, 8).tolist()) for i in range(90)]
+    tops = spark.createDataFrame(rows, "copy long, size int, prefix array<long>").repartition(5)
+    want = {}
+    for copy, _, prefix in rows:
+        for pos, s in enumerate(prefix):
+            want.setdefault(s, set()).add((copy, pos))
+    want = {(s, *x) for s, held in want.items() if len(held) > 1 for x in held}
+    for size in (100, 1 << 34):
+        passed = N.entries(tops, N.sieve(tops, size))
+        got = {(r["s"], r["copy"], r["pos"]) for r in passed.collect()}
+        assert got >= want and len(got) < len(want) + 10
+        assert {(r["s"], r["copy"], r["pos"]) for r in N.met(passed).collect()} == want
 
 
 def test_messy_rows(spark, messy, nothing):
@@ -65,6 +74,16 @@ def test_messy_rows(spark, messy, nothing):
     assert sorted(r["doc_id"] or 0 for r in N.one_of_each(messy).collect()) == [0, 1, 2, 3, 4, 5, 8, 9]
 
 
+def test_null_and_repeated_keys(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    near = text + " more"
+    rows = [(None, text), (7, text), (3, near), (9, "another text"), (9, text), (None, None), (5, None), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((r[0] or 0, r[1] or 0) for r in N.near_copy_groups(df).collect())
+    assert got == [(0, 0), (0, 0), (3, 3), (5, 5), (6, 5), (7, 3), (9, 3), (9, 9)]
+    assert sorted(r["doc_id"] or 0 for r in N.one_of_each(df).collect()) == [0, 0, 3, 5, 9]
+
+
 def edited(rng, words, kind):
     n, own = len(words), list(words)
     if kind == "appended":
@@ -104,3 +123,51 @@ def test_families_close_in_words_are_tested_whole(spark):
     got = {r[0]: r[1] for r in N.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     want = plain(rows)
     assert len(set(want.values())) == 40 and got == want
+
+
+def by_counting(rows):
+    """The same groups as `plain`, by counting the shingles that two texts share."""
+    sets, held, root = {i: shingles(t) for i, t in rows}, {}, {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, own in sets.items():
+        common = Counter(j for s in own for j in held.get(s, ()))
+        for j, n in common.items():
+            if n >= 0.8 * (len(own) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+        for s in own:
+            held.setdefault(s, []).append(i)
+    return {i: find(i) for i in sets}
+
+
+def test_groups_of_the_given_documents_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    got = {r[0]: r[1] for r in N.near_copy_groups(docs.repartition(4)).collect()}
+    assert got == by_counting(rows) and len(set(got.values())) < len(got)
+
+
+def test_groups_of_a_skewed_table_equal_brute_force(spark):
+    """A third of the rows are near copies of one text, a third hold one passage, some are copies."""
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(2000)]
+    draw = lambda n: [rng.choice(vocab) for _ in range(n)]
+    family, passage, rows = draw(150), draw(60), []
+    for i in range(600):
+        if i % 3 == 0:
+            own = list(family)
+            for _ in range(rng.randint(0, 6)):
+                own[rng.randrange(len(own))] = rng.choice(vocab)
+        elif i % 3 == 1:
+            own = draw(rng.randint(3, 40)) + passage + draw(rng.randint(0, 20))
+        else:
+            own = rows[rng.randrange(len(rows))][1].split() if rng.random() < 0.3 else draw(rng.randint(1, 200))
+        rows.append((i, " ".join(own)))
+    got = {r[0]: r[1] for r in N.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    want = by_counting(rows)
+    assert got == want and Counter(want.values()).most_common(1)[0][1] > 100

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -93,8 +94,9 @@ def test_round_trip_of_messy_rows(spark, messy, nothing, plain):
 
 def test_files_give_back_the_library_ids(spark, messy, nothing):
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
-    rows = [(i, t) for i, t in enumerate(ODD)] + [(99, None)]
+    special = ["hello <|endoftext|> x", "<|endoftext|>", "a<|endoftext|>b  <|endoftext|>\n<|endoftext|><|endoftext|> ", "<|endoftext|>  two", "x  <|endof text|> <|endoftext |>", "\u3000<|endoftext|>\u3000é<|endoftext|>é"]
+    rows = [(i, t) for i, t in enumerate(ODD + special)] + [(999, None)]
+    assert 50256 in library.encode(special[0], add_special_tokens=False).ids
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     segments, lengths = token_files.write(df, JSON)
     got = {r["doc_id"]: tuple(r)[1:] for r in token_files.read(segments, lengths).collect()}
@@ -171,6 +173,16 @@ def test_rules_cross_ranges(spark):
     assert got == {i: "h150.example.com/p" if i == 150 else "com/" for i in range(300)}
 
 
+def test_a_host_of_many_path_rules(spark):
+    rng = random.Random(3)
+    made = [("site.org", "/" + "/".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) + rng.choice(["", "/"]), rng.choice(["allow", "block"])) for _ in range(600)]
+    rules = list({r[:2]: r for r in [*made, ("x.site.org", "/a", "block"), ("org", "/b/b", "block"), ("site.org", "", "allow")]}.values())
+    urls_ = [f"http://{rng.choice(['', 'x.', 'y.x.'])}site.org/" + "/".join(rng.choice("abcd") for _ in range(rng.randint(0, 8))) for _ in range(500)] + ["http://org/b/bb", "http://other.org/a"]
+    pages = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string").repartition(5)
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.match_rules(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    assert got == {i: plain_verdict(u, rules)[2:] for i, u in enumerate(urls_)}
+
+
 # --- nearest neighbours --------------------------------------------------------------------------
 
 
@@ -215,5 +227,27 @@ def test_copies_and_odd_vectors(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in few] == [(0, 1, 201)]
 
 
+def test_lengths_are_spaces_of_their_own(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(3).tolist()) for i in range(100)] + [(1000, [1.0, 2.0, 3.0, 4.0]), (1050, [1.0, 0.0, 0.0, 1.0])]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert {q: len(v) for q, v in got.items()} == {0: 5, 50: 5, 1000: 1, 1050: 1} and got[1000] == [1050]
+
+
+def test_blocks_of_queries_and_the_share_verified(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((200, 32)) * 3
+    rows = [(i, (centres[i % 200] + 0.02 * rng.standard_normal(32)).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, ann.nearest(df).collect()))
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 32 * 8 * 25)
+    assert sorted(map(tuple, ann.nearest(df).collect())) == whole
+    m, q = np.array([v for _, v in rows]), np.arange(0, 4000, 50)
+    found, verified = ann.search(m, [[i] for i in range(4000)], m[q], q, 5, 8, 0.95, 7)
+    assert len(found) == 5 * len(q) and verified < 0.5 * len(m) * len(q)  # in tight clusters the test stops early
+
+
 def test_chi_square_points():
     assert abs(ann.chi_square_point(8, 0.95) - 15.507) < 0.01 and abs(ann.chi_square_point(2, 0.5) - 1.386) < 0.01
