@@ -1,11 +1,11 @@
-"""Connected components of an edge list as Spark joins, with a checkpoint each round."""
+"""Connected components of an edge list as Spark joins, with a table written each round."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept
+from .shared import kept, new_table, removed, written
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -34,13 +34,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Edges with a null end and loops are ignored; no edges give no rows. A node of very many edges is
     only ever one side of an equi-join, which adaptive execution splits.
     """
-    now = kept(edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct())
-    before = None
+    spark, label = edges.sparkSession, "components"
+    before, path = None, new_table(spark, label)
+    now = written(edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct(), label, path)
     while True:
-        now = kept(_small_star(_large_star(now)))
+        next_path = new_table(spark, label)
+        now = written(_small_star(_large_star(now)), label, next_path)
+        removed(spark, path)
+        path = next_path
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
     roots = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-    return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    found = kept(roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+    removed(spark, path)
+    return found

@@ -1,38 +1,51 @@
 """Near copies: five-word shingles with a Jaccard similarity of 0.8 or more, all of them.
 
-First round, SimHash: each text gets `PRINTS` SimHash fingerprints of its distinct words, and a pair is
-a candidate if any of these are within the radius, by the buckets and the bit-sliced comparison of
-`simhash`. In buckets of more than `SMALL` fingerprints, where thousands of copies of one text meet, a
-fingerprint gives only its link to the neighbour that has most neighbours itself (`HUBS`). Verified on
-the exact shingle sets, this joins most copies to groups at little cost, but misses pairs.
-
-The rest is exact. Shingles have one order, rare ones first; of two sets with a Jaccard similarity of
-`least`, each has a common shingle among its first |s| - ceil(least |s|) + 1 (its prefix). Texts that
-share a shingle in their prefixes and are not yet in one group are tested: each with one hub of the
-shingle, then, against the groups as they are by then, every pair that is left.
+Equal texts are one class. Classes become candidate pairs in three ways:
+
+1. SimHash: one fingerprint of the distinct words of each text, compared bit-sliced within the buckets
+   of `simhash`; a bucket links each text to the least of its group.
+2. Hubs: shingles have one order, rare ones first; of two sets with a Jaccard similarity of `least`, each
+   has a common shingle among its first |s| - ceil(least |s|) + 1 (its prefix). Every text is paired with
+   one text of each shingle of its prefix.
+3. The rest: pairs of 1 and 2 are verified on the exact shingles and joined to groups. Then all pairs
+   that share a shingle in their prefixes and are in two groups by then are verified. At least one text of
+   such a pair is outside the largest group of the shingle, so a family of copies that is joined already
+   costs nothing, however large.
+
+So no near pair is lost: it is verified, or its ends are chained by verified pairs.
+
+Most shingles of a prefix occur in one text only. They are sieved out before rows are made of them: each
+batch sends 32 bits of each shingle to its range of a bitmap of fixed size, and only shingles whose bit is
+set, since two batches or two texts of one batch have it, go on. The sieve lets some others pass, never
+fewer; the exact grouping comes after it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+import zstandard
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
 from .components import connected_components
-from .shared import kept
-from .simhash import AT_ONCE, TILE, fold, planes_of, within
+from .shared import kept, new_table, removed, small_enough, written
+from .simhash import fold, near_stars
 
-PRINTS, RADIUS, SMALL, HUBS = 6, 3, 8, 1
+RADIUS = 2
 #: Texts sampled to order shingles by how common they are, and shingles ranked; any order is exact.
 SAMPLE, RANKED = 8_000, 50_000
 #: Texts of one shingle that a task takes from the one side, with all of the other.
 PART = 1024
+#: The sieve has 2 to this power bits: 32 MB.
+BITS = 28
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -54,221 +67,282 @@ def _distinct(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.bincount(own[new], minlength=len(at) - 1)
 
 
-def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, copy long, fps array<long>): copy is a hash of the text."""
-    source = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("copy"), F.col(text).alias("__text"))
-    schema = T.StructType([source.schema["key"], *T.StructType.fromDDL("copy long, fps array<long>").fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        K.alone("near")
-        for batch in K.portions(batches, "__text", 4 << 20):
-            h, counts = _distinct(*_words(K.column(batch, "__text")))
-            fps = np.stack([fold(K.mix(h ^ np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64)), counts) for i in range(PRINTS)], axis=1)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * PRINTS), pa.array(fps.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([K.column(batch, "key"), K.column(batch, "copy"), lists], names=["key", "copy", "fps"])
+def _shingles(h: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of `width` words in a row, of all words if there are fewer; and how many each text has."""
+    size = np.diff(at)
+    n = np.where(size >= width, size - width + 1, np.minimum(size, 1))
+    first = K.ragged(at[:-1], n).astype(np.int64)
+    last = np.repeat(at[1:], n)
+    s = np.zeros(len(first), np.uint64)
+    for i in range(width):
+        there = first + i < last
+        s[there] = K.mix(s[there] ^ h[first[there] + i])
+    return _distinct(s, K.bounds(n))
 
-    return source.mapInArrow(run, schema)
 
+def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(K.bounds(counts).astype(np.int32)), pa.array(flat.view(np.int64)))
 
-def links(fps: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places (a < b) of near fingerprints in the same bucket; in a large bucket each
-    fingerprint's pairs with its greatest hubs."""
-    blocks = -(-sizes // 64)
-    block_at, at = K.bounds(blocks), K.bounds(sizes)
-    slot = 64 * np.repeat(block_at[:-1], sizes) + np.arange(len(fps)) - np.repeat(at[:-1], sizes)
-    padded, member = np.zeros(64 * block_at[-1], np.uint64), np.full(64 * block_at[-1], -1, np.int64)
-    padded[slot], member[slot] = fps, np.arange(len(fps))
-    planes = planes_of(padded)
-    who = np.repeat(np.arange(len(fps)), np.repeat(blocks, sizes))
-    block = K.ragged(np.repeat(block_at[:-1], sizes), np.repeat(blocks, sizes)).astype(np.int64)
-    found = []
-    for begin in range(0, len(who), AT_ONCE):
-        own, at_block = who[begin : begin + AT_ONCE], block[begin : begin + AT_ONCE]
-        live, near = within(planes, fps[own], at_block, radius)
-        row, bit = np.nonzero(np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-        a, b = own[live[row]], member[64 * at_block[live[row]] + bit]
-        found.append(np.stack([a, b])[:, a < b])
-    a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-    large = np.repeat(sizes, sizes)[a] > SMALL
-    few = ~large
-    degree = np.bincount(a[large], minlength=len(fps)) + np.bincount(b[large], minlength=len(fps))
-    x, y = np.concatenate([a[large], b[large]]), np.concatenate([b[large], a[large]])
-    order = np.lexsort((y, -degree[y], x))
-    x, y = x[order], y[order]
-    first = np.searchsorted(x, x)
-    top = np.arange(len(x)) - first < HUBS
-    return np.concatenate([a[few], np.minimum(x[top], y[top])]), np.concatenate([b[few], np.maximum(x[top], y[top])])
-
-
-def candidates(reps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Distinct pairs u < v of `reps(key, fps)` that are near in some fingerprint."""
-    return _bucket_pairs(reps, radius, tile).distinct()
-
-
-def _bucket_pairs(reps: DataFrame, radius: int, tile: int) -> DataFrame:
-    cuts = [round(64 * i / (radius + 3)) for i in range(radius + 4)]
-    masks = [sum(((1 << cuts[b + 1]) - 1) ^ ((1 << cuts[b]) - 1) for b in three) for three in combinations(range(radius + 3), 3)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    each = reps.select("key", F.posexplode("fps").alias("print", "fp"))
-    keyed = each.select("key", "fp", F.explode(F.array(*[F.xxhash64(F.col("print"), F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])).alias("part"))
-    shared = keyed.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    dealt = keyed.join(shared, "part").withColumn("own", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    buckets = dealt.groupBy("part", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.collect_list("fp").alias("fps"), F.collect_list("key").alias("keys"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        K.alone("near")
-        for batch in batches:
-            sizes = batch.column(0).value_lengths().to_numpy().astype(np.int64)
-            fps = batch.column(0).flatten().to_numpy().astype(np.int64).view(np.uint64)
-            keys = batch.column(1).flatten().to_numpy()
-            ends, begin = np.cumsum(sizes), 0
-            while begin < len(sizes):
-                done = int(ends[begin - 1]) if begin else 0
-                end = max(begin + 1, int(np.searchsorted(ends, done + 2 * tile, side="right")))
-                a, b = links(fps[done : ends[end - 1]], sizes[begin:end], radius)
-                own = keys[done : ends[end - 1]]
-                pairs = np.unique(np.stack([np.minimum(own[a], own[b]), np.maximum(own[a], own[b])]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
-                begin = end
-
-    return buckets.where(F.size("keys") > 1).select("fps", "keys").mapInArrow(run, "u long, v long")
-
-
-def shingle_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, shingles array<long>): distinct hashes of `width` words in a row; of all words if fewer."""
-    source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("__text"))
+def common_shingles(docs: DataFrame, key: str, text: str, width: int) -> np.ndarray:
+    """Hashes of shingles that occur often in a sample of the documents, the most common last."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    some = docs.where(F.xxhash64(key).cast("double") / 2.0**64 + 0.5 <= share).select(F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.alone("near")
-        for batch in K.portions(batches, "__text", 4 << 20):
-            h, at = _words(K.column(batch, "__text"))
-            size = np.diff(at)
-            n = np.where(size >= width, size - width + 1, np.minimum(size, 1))
-            first = K.ragged(at[:-1], n).astype(np.int64)
-            last = np.repeat(at[1:], n)
-            s = np.zeros(len(first), np.uint64)
-            for i in range(width):
-                there = first + i < last
-                s[there] = K.mix(s[there] ^ h[first[there] + i])
-            flat, counts = _distinct(s, K.bounds(n))
-            lists = pa.ListArray.from_arrays(pa.array(K.bounds(counts).astype(np.int32)), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([K.column(batch, "key"), lists], names=["key", "shingles"])
-
-    return source.mapInArrow(run, "key long, shingles array<long>")
-
+        for batch in K.portions(batches, "__text", 2 << 20):
+            flat, _ = _shingles(*_words(K.column(batch, "__text")), width)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["s"])
 
-def common_shingles(docs: DataFrame, key: str, text: str, width: int) -> np.ndarray:
-    """Hashes of shingles that occur often in a sample of the documents, the most common last."""
-    share = min(1.0, SAMPLE / max(1, docs.count()))
-    some = docs.where(F.xxhash64(key).cast("double") / 2.0**64 + 0.5 <= share)
-    often = shingle_sets(some, key, text, width).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    often = some.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n"))
     return often.where("n > 2").orderBy(F.desc("n"), "s").limit(RANKED).select("s").toArrow()["s"].to_numpy().view(np.uint64)[::-1]
 
 
-def prefixes(sets: DataFrame, common: np.ndarray, least: float) -> DataFrame:
-    """(key, size, prefix array<long>): the size of each set and the shingles of its prefix in the order,
-    in which `common` stand last."""
+def heads(docs: DataFrame, key: str, text: str, width: int, least: float, common: np.ndarray) -> DataFrame:
+    """(key, copy, fp, size, prefix): copy is a hash of the text, fp its SimHash, size how many distinct
+    shingles it has, and prefix those of its prefix in the order in which `common` stand last. Of equal texts
+    that come together, one has the prefix."""
+    source = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("copy"), F.col(text).alias("__text"))
+    schema = T.StructType([source.schema["key"], *T.StructType.fromDDL("copy long, fp long, size int, prefix array<long>").fields])
     ranked = np.argsort(common)
-    shared = sets.sparkSession.sparkContext.broadcast((common[ranked], ranked))
+    shared = docs.sparkSession.sparkContext.broadcast((common[ranked], ranked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.alone("near")
         known, rank = shared.value
-        for batch in batches:
-            lists = K.column(batch, "shingles")
-            size = lists.value_lengths().to_numpy().astype(np.int64)
-            h = lists.flatten().to_numpy().view(np.uint64)
-            own = np.repeat(np.arange(len(size)), size)
+        for batch in K.portions(batches, "__text", 2 << 20):
+            _, one, which = np.unique(K.column(batch, "copy").to_numpy(), return_index=True, return_inverse=True)
+            words, at = _words(K.column(batch, "__text").take(pa.array(one)))
+            fp = fold(*_distinct(words, at))
+            h, size = _shingles(words, at, width)
             order = np.zeros(len(h), np.int64)
             if len(known):
                 place = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 order = np.where(known[place] == h, 1 + rank[place], 0)
-            h = h[np.lexsort((h, order, own))]
+            h = h[np.lexsort((h, order, np.repeat(np.arange(len(size)), size)))]
             n = np.where(size > 0, size - np.ceil(least * size - 1e-9).astype(np.int64) + 1, 0)
-            first = h[K.ragged(K.bounds(size)[:-1], n)].view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(K.bounds(n).astype(np.int32)), pa.array(first))
-            yield pa.RecordBatch.from_arrays([K.column(batch, "key"), pa.array(size.astype(np.int32)), lists], names=["key", "size", "prefix"])
-
-    return sets.select("key", "shingles").mapInArrow(run, "key long, size int, prefix array<long>")
-
-
-def _open(shared: DataFrame, edges: DataFrame) -> DataFrame:
-    """`shared(key, s, size, pos)` with root, of the shingles whose texts are not all in one group."""
-    roots = connected_components(edges).withColumnRenamed("node", "key")
-    named = shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    ends = named.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("s", "n")
-    return kept(named.join(ends, "s"))
+            own = np.zeros(len(batch), np.int64)
+            own[one] = n
+            start = np.zeros(len(batch), np.int64)
+            start[one] = K.bounds(size)[:-1]
+            prefix = _lists(h[K.ragged(start, own)], own)
+            yield pa.RecordBatch.from_arrays(
+                [K.column(batch, "key"), K.column(batch, "copy"), pa.array(fp.view(np.int64)[which]), pa.array(size[which].astype(np.int32)), prefix], names=["key", "copy", "fp", "size", "prefix"]
+            )
 
-
-def _may_be_near(least: float) -> Column:
-    """For rows a and b of one shingle: other groups, and sizes and places that allow `least` if it is
-    the first shingle that both prefixes hold, as one is of every near pair."""
-    a, b = F.col("a.size"), F.col("b.size")
-    most = F.least(a - F.col("a.pos"), b - F.col("b.pos"))
-    return (F.col("a.root") != F.col("b.root")) & (most >= (a + b) * (least / (1 + least)) - 1e-6)
+    return source.mapInArrow(run, schema)
 
 
-def hub_pairs(live: DataFrame, least: float) -> DataFrame:
-    """Pairs u < v of each text of a shingle with the one of median size."""
-    place = F.row_number().over(Window.partitionBy("s").orderBy("size", "key"))
-    hubs = live.withColumn("place", place).where(F.col("place") == F.floor((F.col("n") + 1) / 2))
-    both = live.alias("a").join(hubs.alias("b"), (F.col("a.s") == F.col("b.s")) & _may_be_near(least))
-    return both.select(F.least("a.key", "b.key").alias("u"), F.greatest("a.key", "b.key").alias("v")).distinct()
+def sieve(tops: DataFrame, size: int) -> Broadcast:
+    """A bitmap with the bit of every shingle that two texts of `tops(copy, prefix)` have in their prefixes;
+    `size` is about how many shingles there are."""
+    k = min(20, max(8, math.ceil(math.log2(max(1, size) / (1 << 20) + 1))))  # 2 ** k ranges of the bitmap
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.alone("near")
+        for batch in batches:
+            lists = K.column(batch, "prefix")
+            s, n = np.unique(lists.flatten().to_numpy().view(np.uint64), return_counts=True)
+            at = np.searchsorted(s >> np.uint64(64 - k), np.arange((1 << k) + 1, dtype=np.uint64))
+            short = (s >> np.uint64(32 - k)).astype(np.uint32)
+            some = np.flatnonzero(np.diff(at))
+            parts = [(short[a:b], n[a:b] > 1) for a, b in zip(at[some], at[some + 1], strict=True)]
+            columns = [pa.array(some.astype(np.int32)), pa.array([x[~m].tobytes() for x, m in parts], pa.binary()), pa.array([x[m].tobytes() for x, m in parts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "once", "more"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def bits() -> pa.RecordBatch:
+            once, more = (np.frombuffer(b"".join(x[i] for x in held), np.uint32) for i in (0, 1))
+            once = np.sort(once)
+            places = np.concatenate([once[1:][once[1:] == once[:-1]], more, np.intersect1d(once, more)]) >> np.uint32(k + 32 - BITS)
+            out = np.zeros(1 << (BITS - k), bool)
+            out[places] = True
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
 
-def rest_pairs(live: DataFrame, least: float) -> DataFrame:
-    """All pairs u < v of texts of a shingle; a common shingle is dealt to parts."""
-    parts = F.ceil(F.col("n") / PART).cast("int")
-    a = live.withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int"))
-    b = live.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    same = (F.col("a.s") == F.col("b.s")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.key") < F.col("b.key"))
-    return a.alias("a").join(b.alias("b"), same & _may_be_near(least)).select(F.col("a.key").alias("u"), F.col("b.key").alias("v")).distinct()
+        for batch in batches:
+            for part, once, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now and held:
+                    yield bits()
+                    held = []
+                now = part
+                held.append((once, more))
+        if held:
+            yield bits()
+
+    session = tops.sparkSession
+    sent = tops.select("prefix").mapInArrow(send, "part int, once binary, more binary")
+    together = sent.repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), (1 << k) >> 4), "part").sortWithinPartitions("part")
+    found = together.mapInArrow(meet, "part int, bits binary").toArrow()
+    whole = np.zeros((1 << k, 1 << (BITS - k - 3)), np.uint8)
+    for part, bits in zip(found["part"].to_pylist(), found["bits"], strict=True):
+        whole[part] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return session.sparkContext.broadcast(whole.reshape(-1))
+
+
+def entries(tops: DataFrame, bitmap: Broadcast) -> DataFrame:
+    """(s, copy, size, pos): the shingles that the sieve lets pass, and where they stand in their prefix."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.alone("near")
+        bits = bitmap.value
+        for batch in batches:
+            lists = K.column(batch, "prefix")
+            n = lists.value_lengths().to_numpy().astype(np.int64)
+            s = lists.flatten().to_numpy().view(np.uint64)
+            place = s >> np.uint64(64 - BITS)
+            hit = np.flatnonzero(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+            row = np.repeat(np.arange(len(n)), n)[hit]
+            pos = hit - K.bounds(n)[row]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(s[hit].view(np.int64)), K.column(batch, "copy").take(pa.array(row)), K.column(batch, "size").take(pa.array(row)), pa.array(pos.astype(np.int32))], names=["s", "copy", "size", "pos"]
+            )
+
+    return tops.select("copy", "size", "prefix").mapInArrow(run, "s long, copy long, size int, pos int")
+
+
+def _pair(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+
+
+def simhash_pairs(tops: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs u < v of texts linked by near fingerprints."""
+    classes = tops.where("size > 0").select("copy", "fp").distinct()
+    firsts = classes.groupBy("fp").agg(F.min("copy").alias("first"))
+    same = classes.join(firsts, "fp").where("copy <> first").select(*_pair(F.col("copy"), F.col("first")))
+    links = near_stars(firsts.select("fp"), radius)
+    for end in ("u", "v"):
+        links = links.join(firsts.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_")), end)
+    return same.unionByName(links.select(*_pair(F.col("u_"), F.col("v_"))))
+
+
+def _may_be_near(a: str, b: str, least: float) -> Column:
+    """For two texts with a shingle: whether sizes and places allow `least` if it is the first shingle
+    that both prefixes hold, as one is of every near pair."""
+    size, other = F.col(f"{a}.size"), F.col(f"{b}.size")
+    most = F.least(size - F.col(f"{a}.pos"), other - F.col(f"{b}.pos"))
+    return most >= (size + other) * (least / (1 + least)) - 1e-6
+
+
+def met(live: DataFrame) -> DataFrame:
+    """`live(s, copy, size, pos)` with hub: one text of the shingle; only shingles of two texts or more."""
+    hubs = live.groupBy("s").agg(F.min(F.struct("copy", "size", "pos")).alias("hub"), F.max("copy").alias("last"))
+    return live.join(hubs.where("hub.copy < last").drop("last"), "s")
+
+
+def hub_pairs(shared: DataFrame, least: float) -> DataFrame:
+    """Pairs u < v of each text of a shingle with the shingle's hub."""
+    own = F.struct("copy", "size", "pos")
+    both = shared.select(own.alias("own"), "hub").where((F.col("own.copy") != F.col("hub.copy")) & _may_be_near("own", "hub", least))
+    return both.select(*_pair(F.col("own.copy"), F.col("hub.copy")))
+
+
+def rest_pairs(shared: DataFrame, edges: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs u < v of texts of a shingle that `edges` leave in two groups; a common shingle is
+    dealt to parts. One end of each pair is outside the largest group of the shingle."""
+    roots = connected_components(edges).withColumnRenamed("node", "copy")
+    named = shared.select("s", "copy", "size", "pos").join(roots, "copy", "left").withColumn("root", F.coalesce("root", "copy"))
+    groups = named.groupBy("s", "root").agg(F.count("*").alias("n")).groupBy("s")
+    open_ones = groups.agg(F.max(F.struct("n", "root"))["root"].alias("top"), F.sum("n").alias("all"), F.count("*").alias("groups")).where("groups > 1")
+    path = new_table(shared.sparkSession, "open-shingles")
+    live = written(named.join(open_ones.select("s", "top", F.ceil(F.col("all") / PART).cast("int").alias("parts")), "s").dropDuplicates(["s", "copy"]), "open-shingles", path)
+    a = live.where("root <> top").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    b = live.withColumn("part", F.pmod(F.xxhash64("copy"), F.col("parts")).cast("int"))
+    once = (F.col("b.root") == F.col("b.top")) | (F.col("a.copy") < F.col("b.copy"))
+    same = (F.col("a.s") == F.col("b.s")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.root") != F.col("b.root")) & once
+    pairs = a.alias("a").join(b.alias("b"), same & _may_be_near("a", "b", least)).select(*_pair(F.col("a.copy"), F.col("b.copy")))
+    found = kept(pairs.distinct())
+    removed(shared.sparkSession, path)
+    return found
+
+
+def _packed(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(node, packed): the texts of the classes `wanted`, compressed."""
+    source = docs.select(F.xxhash64(text).alias("node"), F.col(text).alias("__text")).join(small_enough(wanted), "node", "left_semi")
 
-def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, least: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.alone("near")
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in K.portions(batches, "__text"):
+            node, one = np.unique(K.column(batch, "node").to_numpy(), return_index=True)
+            raw = K.column(batch, "__text").take(pa.array(one)).cast(pa.large_binary())
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([pack.compress(t.as_buffer()) for t in raw], pa.binary())], names=["node", "packed"])
+
+    return source.mapInArrow(run, "node long, packed binary").dropDuplicates(["node"])
+
+
+def _near(batches: Iterator[pa.RecordBatch], width: int, least: float) -> Iterator[pa.RecordBatch]:
+    """The pairs (u, v) whose texts `a` and `b` are near."""
+    K.alone("near")
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for part in K.portions(K.portions(iter([batch]), "a", 256 << 10), "b", 256 << 10):  # a few times as much when unpacked
+            pairs = []
+            for c in ("a", "b"):
+                texts = pa.array([unpack.decompress(p.as_buffer()) for p in K.column(part, c)], pa.large_binary())
+                pairs.append(_shingles(*_words(texts.cast(pa.large_string())), width))
+            flat, counts = zip(*pairs, strict=True)
+            row = np.concatenate([np.repeat(np.arange(len(part)), n) for n in counts])
+            s = np.concatenate(flat)
+            order = np.lexsort((s, row))
+            s, row = s[order], row[order]
+            common = np.bincount(row[1:][(s[1:] == s[:-1]) & (row[1:] == row[:-1])], minlength=len(part))
+            near = np.flatnonzero(common >= least * (counts[0] + counts[1] - common) - 1e-9)
+            yield part.select(["u", "v"]).take(pa.array(near))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, text: str, width: int, least: float) -> DataFrame:
     """The pairs whose texts have shingles of a Jaccard similarity of `least` or more."""
-    wanted = pairs.select(F.col("u").alias("w")).unionByName(pairs.select(F.col("v").alias("w"))).distinct()
-    texts = docs.join(wanted.hint("shuffle_hash"), F.col(key).cast("long") == F.col("w"), "left_semi")
-    sets = kept(shingle_sets(texts, key, text, width).dropDuplicates(["key"]))
-    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("shingles").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.where(common >= least * (F.size("a") + F.size("b") - common)).select("u", "v")
-
-
-def near_edges(reps: DataFrame, docs: DataFrame, key: str, text: str, width: int, least: float) -> DataFrame:
-    """Edges u, v that connect exactly the groups of `reps(key, fps)` chained by near pairs."""
-    tested = kept(candidates(reps.where(F.exists("fps", lambda f: f != 0)).select("key", "fps")))
-    edges = kept(verified(tested, docs, key, text, width, least))
-    heads = prefixes(shingle_sets(docs, key, text, width), common_shingles(docs, key, text, width), least)
-    heads = heads.join(reps.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    met = F.count("*").over(Window.partitionBy("s"))
-    shared = kept(heads.select("key", "size", F.posexplode("prefix").alias("pos", "s")).withColumn("n", met).where("n > 1").drop("n"))
-    for pairs in (hub_pairs, rest_pairs):
-        new = kept(pairs(_open(shared, edges), least).join(tested, ["u", "v"], "left_anti"))
-        if not new.isEmpty():
-            edges = kept(edges.unionByName(verified(new, docs, key, text, width, least)))
-            tested = tested.unionByName(new)
+    spark, path = docs.sparkSession, new_table(docs.sparkSession, "packed-texts")
+    wanted = kept(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct())
+    texts = written(_packed(docs, text, wanted), "packed-texts", path)
+    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("packed").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("packed").alias("b")), "v")
+    edges = kept(both.mapInArrow(lambda batches: _near(batches, width, least), "u long, v long"))
+    removed(spark, path)
     return edges
 
 
+def near_edges(tops: DataFrame, docs: DataFrame, text: str, width: int, least: float, size: int) -> DataFrame:
+    """Edges u, v of classes of `tops(copy, fp, size, prefix)` that connect exactly the groups chained by near pairs."""
+    bitmap = sieve(tops, size)
+    shared = kept(met(entries(tops, bitmap)))
+    bitmap.destroy()
+    tested = kept(simhash_pairs(tops).unionByName(hub_pairs(shared, least)).distinct())
+    edges = verified(tested, docs, text, width, least)
+    rest = rest_pairs(shared, edges, least).join(tested, ["u", "v"], "left_anti")
+    return edges.unionByName(verified(kept(rest), docs, text, width, least))
+
+
 def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
     """(key, component_id) per row: the least key of the documents joined by verified links.
 
-    Equal texts are one class, without comparison; null is a text of its own class. Texts without
-    words are never near another text. Keys are integers; rows with a null key have a null
-    component_id, and stand for no class. Repeated rows give repeated rows. Other columns are not read.
+    Equal texts (told by a 64-bit hash) are one class, without comparison; null is a text of its own
+    class. Texts without words are never near another text. Words are split at the six white-space bytes
+    and compared with A-Z in lower case. Keys are integers; rows with a null key have a null component_id,
+    and stand for no class. Repeated rows give repeated rows. Other columns are not read.
     """
-    prints = kept(fingerprints(docs, key, text))
-    reps = prints.where("key is not null").groupBy("copy", "fps").agg(F.min(F.col("key").cast("long")).alias("key"))
-    roots = connected_components(near_edges(reps, docs, key, text, width, least))
-    named = reps.join(roots.withColumnRenamed("node", "key"), "key", "left").select("copy", "fps", F.coalesce("root", "key").alias("component_id"))
-    out = prints.join(named, ["copy", "fps"], "left")
-    return out.select(F.col("key").alias(key), F.when(F.col("key").isNotNull(), F.col("component_id")).alias("component_id"))
+    spark, path = docs.sparkSession, new_table(docs.sparkSession, "near-heads")
+    keyed = docs.where(F.col(key).isNotNull())
+    tops = written(heads(keyed, key, text, width, least, common_shingles(keyed, key, text, width)), "near-heads", path)
+    size = tops.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    roots = connected_components(near_edges(tops, keyed, text, width, least, size))
+    classes = tops.groupBy("copy").agg(F.min(F.col("key").cast("long")).alias("first"))
+    named = classes.join(roots.withColumnRenamed("node", "copy"), "copy", "left").withColumn("root", F.coalesce("root", "copy"))
+    whole = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    out = kept(tops.select("key", "copy").join(named.select("copy", "root").join(whole, "root").drop("root"), "copy", "left"))
+    removed(spark, path)
+    without = docs.where(F.col(key).isNull()).select(F.col(key), F.lit(None).cast("long").alias("component_id"))
+    return out.select(F.col("key").alias(key), "component_id").unionByName(without)
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """`docs` with one row for each group of near copies, that of the least key; rows with a null key stay."""
-    groups = near_copy_groups(docs, key, text, **options)
-    first = groups.where(F.col("component_id") == F.col(key).cast("long")).select(key).distinct()
-    return docs.join(first, key, "left_semi").dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
+    """`docs` with one row for each group of near copies, that of the least key (of rows that repeat
+    the key, one); rows with a null key stay. Only rows of keys that lose a row are looked up."""
+    groups = near_copy_groups(docs, key, text, **options).where(F.col(key).isNotNull())
+    by_key = groups.groupBy(key).agg(F.count("*").alias("__rows"), F.max(F.col("component_id") == F.col(key).cast("long")).alias("__stays"))
+    judged = kept(by_key.where((F.col("__rows") > 1) | ~F.col("__stays")).select(key, "__stays"))
+    lost = small_enough(judged.select(key))
+    several = docs.join(small_enough(judged.where("__stays").select(key)), key, "left_semi").dropDuplicates([key])
+    return docs.join(lost, key, "left_anti").unionByName(several)
