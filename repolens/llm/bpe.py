@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -78,23 +79,24 @@ class Ranks:
         self.ids = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb") if line.strip())}
         self.size = max(self.ids.values()) + 1
         self.byte = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
-        pairs = [
-            (left * self.size + right, i)
-            for token, i in self.ids.items()
-            for k in range(1, len(token))
-            if (left := self.ids.get(token[:k])) is not None and (right := self.ids.get(token[k:])) is not None
-        ]
-        pairs.sort()
-        self.keys = np.array([k for k, _ in pairs] + [2**62], np.int64)
-        self.made = np.array([i for _, i in pairs] + [NONE], np.int32)
-        self.pair = dict(pairs)
+        keys, made = array("q"), array("i")
+        for token, i in self.ids.items():
+            for k in range(1, len(token)):
+                left, right = self.ids.get(token[:k]), self.ids.get(token[k:])
+                if left is not None and right is not None:
+                    keys.append(left * self.size + right)
+                    made.append(i)
+        order = np.argsort(np.frombuffer(keys, np.int64))
+        self.keys = np.append(np.frombuffer(keys, np.int64)[order], 2**62)
+        self.made = np.append(np.frombuffer(made, np.int32)[order], NONE)
+        self.pair = dict(zip(keys, made, strict=True))
         of = [b""] * self.size
         for token, i in self.ids.items():
             of[i] = token
         self.token_bytes = np.frombuffer(b"".join(of), np.uint8)
         self.token_at = K.bounds(np.array([len(t) for t in of], np.int64))
         self.bits = 1
-        while 1 << self.bits < 4 * len(pairs):
+        while 1 << self.bits < 4 * len(keys):
             self.bits += 1
         self._slots()
 
@@ -328,12 +330,12 @@ class Encoder:
 class Memo:
     """Ids of the units that this worker has met, at most about `most`; then it begins anew."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_600_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000) -> None:
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.seen, self.ids, self.ends = K.Seen(), K.Growing(np.int32), K.Growing(np.int64)
+        self.seen, self.ids, self.ends = K.Seen(20), K.Growing(np.int32), K.Growing(np.int64)
 
     def learn(self, data: np.ndarray, at: np.ndarray) -> None:
         """Encodes the new distinct units data[at[i]:at[i+1]]."""
@@ -352,12 +354,12 @@ class Memo:
         return self.ids.now[K.ragged(start, size)], K.bounds(size)
 
 
-def encoded(memo: Memo, batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encoded(memo: Memo, batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of rows with the ids of their texts one after another, and where those of each begin.
 
     Units new to the memo are encoded together for several runs at a time.
     """
-    for group in K.portions(batches, text, 4 * most):
+    for group in K.portions(batches, text, 2 * most):
         if len(memo.seen) > memo.most:
             memo.clear()
         runs, fresh, sizes = [], [], []
