@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, langid, licenses, secret_scan, simhash, substrings, token_files, urls
+from . import ann, bpe, collocations, decontam, langid, licenses, packing, periodic, secret_scan, simhash, substrings, token_files, urls
 
 #: Rules of op5: host, path, verdict.
 URL_RULES = [
@@ -76,8 +76,43 @@ def _of(rank: int):
     return lambda f: f["rank"] == rank
 
 
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents, told by a hash of the key, the words from some place on
+    repeat with a period. A null key is in no tenth."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    picked = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    split = picked.withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    n = F.size("words")
+    begin = split.withColumn("a", F.when(n > 0, F.col("g") % n))
+    period = begin.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    repeated = F.array_join(F.transform("words", lambda _, i: F.get("words", place(i))), " ")
+    return period.select("doc_id", F.when(F.col("p").isNotNull(), repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(_with_periods(_table(spark, sf_dir, "documents")))
+    more = lambda best, run: run["length"] * best["period"] > best["length"] * run["period"]
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda best, run: F.when(more(best, run), run).otherwise(best))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    ranked = found.withColumn("best", best)
+    return ranked.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_licences, op3_substring_dedup, op4_decontamination, op5_url_rules, op6_nearest, op7_language_id, op8_bpe, op9_token_files, op10_secrets)}
+    return {f.__name__: f for f in (op1_simhash, op2_licences, op3_substring_dedup, op4_decontamination, op5_url_rules, op6_nearest, op7_language_id, op8_bpe, op9_token_files, op10_secrets, op11_periodic_runs, op12_packing, op13_collocations)}
 
 
 def _pattern(parts: list) -> str:
@@ -181,5 +216,24 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 """
 
 
+_OP13 = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM t),
+total AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM w GROUP BY lang),
+f AS (SELECT lang, m, phrase, count(*)::HUGEINT AS f FROM (
+        SELECT lang, m, array_to_string(ws[i:i+m-1], ' ') AS phrase FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (VALUES (1), (2), (3), (4), (5)) AS sizes(m)))
+      GROUP BY lang, m, phrase),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m >= 2 AND f >= 100),
+cut AS (SELECT lang, m, phrase, a, k, array_to_string(ws[1:k], ' ') AS p, array_to_string(ws[k+1:], ' ') AS q FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (SELECT cut.lang, cut.m, cut.phrase, a, k, x.f AS l, y.f AS r, n, (1000 * a * n) // (x.f * y.f) AS score
+      FROM cut JOIN f AS x ON x.lang = cut.lang AND x.phrase = p JOIN f AS y ON y.lang = cut.lang AND y.phrase = q JOIN total ON total.lang = cut.lang),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT DISTINCT lang, array_to_string(ws[i:i+m2-1], ' ') AS phrase, a FROM (SELECT lang, ws, a, m, m2, unnest(range(1, m - m2 + 2)) AS i FROM c, (VALUES (2), (3), (4)) AS sizes(m2) WHERE m2 < m)),
+gone AS (SELECT DISTINCT best.lang, best.phrase FROM best JOIN inner_ AS i ON i.lang = best.lang AND i.phrase = best.phrase AND 100 * i.a >= 100 * best.a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best ANTI JOIN gone USING (lang, phrase))
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM r WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licences": _op2(), "op3_substring_dedup": _OP3, "op4_decontamination": _OP4, "op5_url_rules": _OP5, "op10_secrets": _op10()}
+    return {"op13_collocations": _OP13, "op2_licences": _op2(), "op3_substring_dedup": _OP3, "op4_decontamination": _OP4, "op5_url_rules": _OP5, "op10_secrets": _op10()}
