@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -989,29 +990,73 @@ def x13_agent_progress(spark, d):
 # --- streams -------------------------------------------------------------------------------------
 
 
-@query(_chunks(1600, 4000, 3) + "SELECT run_id, count(*) AS chunks, count(DISTINCT file_id) AS files FROM ck GROUP BY run_id", "files", "symbols")
+#: Arrivals of t1: two thirds of the files; then the others, and each fifth file changed; then each seventh file
+#: deleted, and each second of the others again as it was.
+_CHANGED = "concat('// changed', chr(10), content, chr(10), 'tail')"
+_T1_VERSIONS = f"""
+, files_of AS (SELECT * FROM files), symbols_of AS (SELECT * FROM symbols),
+v AS (SELECT f.*, 1 AS rev FROM files_of AS f UNION ALL SELECT f.* REPLACE ({_CHANGED} AS content), 2 AS rev FROM files_of AS f WHERE id % 5 = 0 AND id % 3 <> 2),
+"""
+
+
+def _revised(sql: str) -> str:
+    """The chunk SQL over both revisions of each file: the revision is part of the run."""
+    sql = re.sub(r"\bfiles\b", "rev_files", sql)
+    return re.sub(r"\bsymbols\b", "rev_symbols", sql).lstrip().removeprefix(",")
+
+
+@query(_T1_VERSIONS + """
+rev_files AS (SELECT rev || '|' || run_id AS run_id, file_id, path, language, content, id FROM v),
+rev_symbols AS (SELECT s.* REPLACE (rev || '|' || s.run_id AS run_id) FROM symbols_of AS s JOIN v ON v.run_id = s.run_id AND v.file_id = s.file_id),
+""" + _revised(_chunks(1600, 4000, 3)) + """
+, c AS (SELECT split_part(run_id, '|', 2) AS run_id, split_part(run_id, '|', 1)::INT AS rev, file_id, file_id::BIGINT AS id, i, sha256(path || '::' || i || '::' || piece) AS h FROM ck),
+old AS (SELECT * FROM c WHERE rev = 1), new AS (SELECT * FROM c WHERE rev = 2),
+live AS (SELECT * FROM new UNION ALL SELECT * FROM old WHERE NOT (id % 5 = 0 AND id % 3 <> 2)),
+d AS (SELECT 0 AS batch, run_id, 'embed' AS action FROM old WHERE id % 3 <> 2
+  UNION ALL SELECT 1, run_id, 'embed' FROM old WHERE id % 3 = 2
+  UNION ALL SELECT 1, coalesce(n.run_id, o.run_id), CASE WHEN n.h IS NULL THEN 'delete' WHEN n.h = o.h THEN 'reuse' ELSE 'embed' END
+    FROM new AS n FULL JOIN (SELECT * FROM old WHERE id % 5 = 0 AND id % 3 <> 2) AS o ON n.run_id = o.run_id AND n.file_id = o.file_id AND n.i = o.i
+  UNION ALL SELECT 2, run_id, CASE WHEN id % 7 = 0 THEN 'delete' ELSE 'reuse' END FROM live WHERE id % 7 = 0 OR id % 2 = 0),
+n AS (SELECT run_id, count(*) AS chunks, count(DISTINCT file_id) AS files FROM live WHERE id % 7 <> 0 GROUP BY run_id)
+SELECT batch::BIGINT AS batch, d.run_id, count(*) FILTER (action <> 'delete') AS discovered, count(*) FILTER (action = 'reuse') AS reused, count(*) FILTER (action = 'embed') AS embedded,
+       count(*) FILTER (action = 'delete') AS deleted, coalesce(any_value(chunks), 0) AS chunks, coalesce(any_value(files), 0) AS files
+FROM d LEFT JOIN n ON n.run_id = d.run_id GROUP BY batch, d.run_id
+""", "files", "symbols")
 def t1_incremental_index(spark, d):
+    """Three arrivals, each a run of the stream: what each batch did per run, beside the table after all."""
     base = shared_folder(spark, "index")
-    view(spark, d, "files").select("run_id", "file_id", "path", "language", "content").write.parquet(f"{base}/arrivals")
+    files = view(spark, d, "files").selectExpr("run_id", "file_id", "path", "language", "content", "id", "cast(null as string) AS action", "cast(null as bigint) AS version")
+    changed = files.where("id % 5 = 0 AND id % 3 <> 2").withColumn("content", F.expr(_CHANGED))
+    now = files.where("NOT (id % 5 = 0 AND id % 3 <> 2)").unionByName(changed)
+    arrivals = [
+        files.where("id % 3 <> 2"), files.where("id % 3 = 2").unionByName(changed),
+        now.where("id % 7 = 0").withColumn("action", F.lit("delete")).unionByName(now.where("id % 7 <> 0 AND id % 2 = 0")),
+    ]
     given = view(spark, d, "symbols")
     embed = lambda rows: index.embed_pseudo(rows, 8)
-    jobs.index_incrementally(spark, f"{base}/arrivals", lambda files: given, f"{base}/table", f"{base}/state", embed).awaitTermination()
-    return jobs.latest_table(spark, f"{base}/table").groupBy("run_id").agg(F.count("*").alias("chunks"), F.countDistinct("file_id").alias("files"))
+    own = lambda files: given.join(files, ["run_id", "file_id"], "left_semi")
+    for arrival in arrivals:
+        arrival.drop("id").coalesce(8).write.mode("append").parquet(f"{base}/arrivals")
+        jobs.index_incrementally(spark, f"{base}/arrivals", own, f"{base}/table", f"{base}/state", embed, layout=jobs.Layout(8, 4, 3)).awaitTermination()
+    table = jobs.ChunkTable(spark, f"{base}/table")
+    left = table.chunks().groupBy("run_id").agg(F.count("*").alias("chunks"), F.countDistinct("file_id").alias("files"))
+    rows = table.statistics().withColumnRenamed("version", "batch").join(left, "run_id", "left")
+    return rows.select(F.col("batch").cast("long").alias("batch"), "run_id", "discovered", "reused", "embedded", "deleted", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("files", F.lit(0)).alias("files"))
 
 
-@query("SELECT source AS run_id, count(*) AS chunks_embedded FROM documents GROUP BY source")
+@query("""
+WITH n AS (SELECT source AS run_id, doc_id % 4 AS batch, count(*) AS n FROM documents GROUP BY ALL)
+SELECT run_id, batch::INT AS batch, sum(n) OVER (PARTITION BY run_id ORDER BY batch)::BIGINT AS chunks_embedded FROM n
+""")
 def t2_embedding_progress(spark, d):
-    schema = spark.read.parquet(f"{d}/documents.parquet").schema
-    arrivals = spark.readStream.schema(schema).parquet(f"{d}/documents.parquet*").withColumnRenamed("source", "run_id")
+    """Four arrivals, the stream stopped after each: the runs that each batch touched, with all embedded so far."""
     base = shared_folder(spark, "progress")
-    out: list[str] = []
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/batch={number}")
-        out.append(f"{base}/batch={number}")
-
-    jobs.embedded_so_far(arrivals).writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out[-1])
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("source").alias("run_id"), "doc_id")
+    for i in range(4):
+        docs.where(F.col("doc_id") % 4 == i).write.mode("append").parquet(f"{base}/chunks")
+        chunks = spark.readStream.schema(docs.schema).parquet(f"{base}/chunks")
+        jobs.report_progress(chunks, f"{base}/table", f"{base}/state").awaitTermination()
+    return jobs.progress(spark, f"{base}/table")
 
 
 # --- the flagship --------------------------------------------------------------------------------
