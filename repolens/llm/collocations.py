@@ -23,16 +23,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import new_table, removed, written
+from .shared import written
 
 #: Words of the longest phrase, and how often a phrase must occur.
 WORDS, LEAST = 5, 100
 #: A bitmap of survivors has 2 to this power bits: 8 MB.
 BITS = 26
 #: Counters that a task holds before it sends them, and that a partition should hold.
-RUN = 1 << 20
+RUN = 1 << 19
 #: Bytes of text that are worked on at once.
-PORTION = 4 << 20
+PORTION = 2 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _STOP = K.table(b".,;:!?\n\x0b\x0c\r")
@@ -141,7 +141,7 @@ def _source(docs: DataFrame, lang: str, text: str) -> DataFrame:
 
 def runs(source: DataFrame, levels: list[Broadcast], parts: int, lengths: list[int]) -> DataFrame:
     """(part, mass, h, n): counts of the candidates of `lengths` words, in runs of distinct hashes for each of
-    the `parts` (a power of two) ranges of hashes, packed."""
+    the `parts` (a power of two) ranges of hashes, packed; and before them in order, a row with the mass of each."""
     shift, most = np.uint64(64 - int(math.log2(parts))), max(lengths)
 
     def packed(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -149,7 +149,11 @@ def runs(source: DataFrame, levels: list[Broadcast], parts: int, lengths: list[i
         some = np.flatnonzero(np.diff(at))
         cuts = list(zip(at[some].tolist(), at[some + 1].tolist(), strict=True))
         mass = np.add.reduceat(n, at[some]) if len(some) else n
-        columns = [pa.array(some.astype(np.int32)), pa.array(mass), pa.array([h[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([n[a:b].astype("<i8").tobytes() for a, b in cuts], pa.binary())]
+        none = [None] * len(some)
+        columns = [
+            pa.array(np.tile(some.astype(np.int32), 2)), pa.array([*mass.tolist(), *none], pa.int64()),
+            pa.array([*none, *(h[a:b].tobytes() for a, b in cuts)], pa.binary()), pa.array([*none, *(n[a:b].astype("<i8").tobytes() for a, b in cuts)], pa.binary()),
+        ]
         return pa.RecordBatch.from_arrays(columns, names=["part", "mass", "h", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,15 +182,13 @@ def runs(source: DataFrame, levels: list[Broadcast], parts: int, lengths: list[i
 
 
 def survivors(sent: DataFrame, parts: int, least: int, bits: int = BITS) -> Broadcast:
-    """A bitmap with the bit of every hash that occurs `least` times in the written `runs`."""
+    """A bitmap with the bit of every hash that occurs `least` times in `runs`. The masses of a partition come
+    before its counters, so its capacity is known when the first is merged."""
     session, shift = sent.sparkSession, int(math.log2(parts))
-    masses = sent.groupBy("part").agg(F.sum("mass").alias("mass"))
-    by_part = dict(masses.toArrow().to_pandas().itertuples(index=False, name=None))  # one number for each of the `parts`
-    shared = session.sparkContext.broadcast(by_part)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.alone("collocations")
-        now, summary, h, n, held = None, None, [], [], 0
+        now, mass, summary, h, n, held = None, 0, None, [], [], 0
 
         def marked() -> pa.RecordBatch:
             summary.merge(h, n)
@@ -196,12 +198,15 @@ def survivors(sent: DataFrame, parts: int, least: int, bits: int = BITS) -> Broa
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
 
         for batch in batches:
-            for part, one, count in zip(*(K.column(batch, c) for c in ("part", "h", "n")), strict=True):
+            for part, more, one, count in zip(*(K.column(batch, c) for c in ("part", "mass", "h", "n")), strict=True):
                 if part.as_py() != now:
                     if now is not None:
                         yield marked()
-                    now, h, n, held = part.as_py(), [], [], 0
-                    summary = Summary(shared.value[now] // least + 1)
+                    now, mass, summary, h, n, held = part.as_py(), 0, None, [], [], 0
+                if more.is_valid:
+                    mass += more.as_py()
+                    continue
+                summary = summary or Summary(mass // least + 1)
                 h.append(np.frombuffer(one.as_buffer(), np.uint64))
                 n.append(np.frombuffer(count.as_buffer(), np.int64))
                 held += len(h[-1])
@@ -211,7 +216,7 @@ def survivors(sent: DataFrame, parts: int, least: int, bits: int = BITS) -> Broa
         if now is not None:
             yield marked()
 
-    together = sent.select("part", "h", "n").repartition(parts, "part").sortWithinPartitions("part")
+    together = sent.repartition(parts, "part").sortWithinPartitions("part", F.desc_nulls_last("mass"))
     found = together.mapInArrow(meet, "part int, bits binary").toArrow()  # 2 ** bits in all
     whole = np.zeros((parts, 1 << (bits - shift - 3)), np.uint8)
     for part, own in zip(found["part"].to_pylist(), found["bits"], strict=True):
@@ -230,20 +235,33 @@ def _ids(tokens: Tokens, n: int, shorter: np.ndarray, words: np.ndarray, at: np.
 
 def exact_counts(source: DataFrame, levels: list[Broadcast], least: int, words: int = WORDS) -> DataFrame:
     """(lang, words, phrase, f) of the phrases that occur `least` times or more, and for each language how many
-    words it has, as the count of the phrase of no words."""
+    words it has, as the count of the phrase of no words. A task adds up its own batches first."""
+
+    def together(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        added = pa.Table.from_batches(rows).group_by(["lang", "words", "phrase"]).aggregate([("f", "sum")])
+        return added.rename_columns({"f_sum": "f"}).select(["lang", "words", "phrase", "f"]).combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.alone("collocations")
-        bits = [b.value for b in levels]
+        bits, rows, held = [b.value for b in levels], [], 0
         for batch in K.portions(batches, "__text", PORTION):
-            tokens = Tokens(batch)
+            tokens, known = Tokens(batch), len(rows)
             number, ids = tokens.numbers(), None
             own = np.flatnonzero(tokens.per_lang)
-            yield _rows(tokens.langs.take(pa.array(own)), 0, pa.array([""] * len(own), pa.string()), tokens.per_lang[own])
+            rows.append(_rows(tokens.langs.take(pa.array(own)), 0, pa.array([""] * len(own), pa.string()), tokens.per_lang[own]))
             for n, _, good in _frequent(tokens, bits, words):
                 ids, first, count = _ids(tokens, n, ids, number, np.flatnonzero(good))
                 if len(first):
-                    yield _rows(tokens.langs.take(pa.array(tokens.lang[first])), n, tokens.named(first, n), count)
+                    rows.append(_rows(tokens.langs.take(pa.array(tokens.lang[first])), n, tokens.named(first, n), count))
+            held += sum(map(len, rows[known:]))
+            if held > RUN:
+                rows = [together(rows)]
+                held = len(rows[0])
+                if held > RUN // 2:
+                    yield rows[0]
+                    rows, held = [], 0
+        if rows:
+            yield together(rows)
 
     counted = source.mapInArrow(run, "lang string, words int, phrase string, f long").groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
     return counted.where((F.col("f") >= least) | (F.col("words") == 0))
@@ -270,10 +288,7 @@ def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", le
     levels: list[Broadcast] = []
     for lengths in ([1], [2], list(range(3, words + 1))):
         if lengths:
-            path = new_table(spark, "phrase-runs")
-            sent = written(runs(source, levels, parts, lengths), "phrase-runs", path)
-            levels.append(survivors(sent, parts, least, bits))
-            removed(spark, path)
+            levels.append(survivors(runs(source, levels, parts, lengths), parts, least, bits))
     found = written(exact_counts(source, levels, least, words), "phrases")
     for level in levels:
         level.destroy()
