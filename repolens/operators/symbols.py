@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import trim_all
-from ..schemas import SYMBOL
+from ..functions.text import lines_of, trim_all
+from .blocks import BLOCK, CALL, INTERFACE, SCOPE, SHUT, scopes
 from .lines import HEURISTIC, numbered_lines
 
 # Line patterns of imports and symbols, by language.
@@ -71,125 +66,87 @@ def extract_imports(files: DataFrame) -> DataFrame:
     return of_lines.unionByName(of_go).where("source is not null")
 
 
-class _Braces:
-    """Where brace blocks end, from one scan of a file's lines."""
-
-    def __init__(self, lines: list[str]) -> None:
-        opened = np.array([x.count("{") for x in lines], np.int64)
-        closed = np.array([x.count("}") for x in lines], np.int64)
-        self.depth = np.concatenate([[0], np.cumsum(opened - closed)])
-        self.open_lines = np.flatnonzero(opened)
-        self.n = len(lines)
-
-    def end(self, i: int) -> int:
-        """The first line from i on with an opening brace before its end and no more open than at i."""
-        at = np.searchsorted(self.open_lines, i)
-        if at == len(self.open_lines):
-            return self.n - 1
-        k = int(self.open_lines[at])
-        shut = np.flatnonzero(self.depth[k + 1 :] <= self.depth[i])
-        return k + int(shut[0]) if len(shut) else self.n - 1
-
-
-class _Indents:
-    """Where indented blocks end."""
-
-    def __init__(self, lines: list[str]) -> None:
-        self.filled = np.array([i for i, x in enumerate(lines) if x.strip()], np.int64)
-        self.indent = np.array([len(lines[i]) - len(lines[i].lstrip()) for i in self.filled], np.int64)
-
-    def end(self, i: int, base: int) -> int:
-        at = int(np.searchsorted(self.filled, i, side="right"))
-        shut = np.flatnonzero(self.indent[at:] <= base)
-        upto = at + int(shut[0]) if len(shut) else len(self.filled)
-        return int(self.filled[upto - 1]) if upto > at else i
-
-
-def _count(line: str) -> int | None:
-    m = re.search(r"\(([^)]*)\)", line)
-    return None if m is None else sum(1 for p in m[1].split(",") if p.strip())
-
-
-def _python(lines: list[str]) -> Iterator[tuple]:
-    blocks, open_classes = _Indents(lines), []
-    for i, line in enumerate(lines):
-        m = re.match(PYTHON_CLASS, line) or re.match(PYTHON_DEF, line)
-        if not m:
-            continue
-        indent, name = len(m[1]), m[2]
-        while open_classes and open_classes[-1][0] >= indent:
-            open_classes.pop()
-        parent = open_classes[-1][1] if open_classes else None
-        end = blocks.end(i, indent) + 1
-        if m.lastindex == 2:
-            yield name, "CLASS", i + 1, end, True, parent, f"class {name}", None
-            open_classes.append((indent, name))
-            continue
-        n = _count(line)
-        n = max(0, n - 1) if parent and n is not None else n
-        yield name, "METHOD" if parent else "FUNCTION", i + 1, end, not name.startswith("_"), parent, f"def {name}({m[3].strip()})", n
-
-
-def _braced(lines: list[str], language: str) -> Iterator[tuple]:
-    blocks, scopes, importing = _Braces(lines), [], False
-    for i, raw in enumerate(lines):
-        line = raw.strip() if language == "Go" else raw
-        if language == "Go":
-            if importing:
-                importing = line != ")"
-                continue
-            if re.match(GO_BLOCK, line):
-                importing = True
-                continue
-        while scopes and scopes[-1][1] < i:
-            scopes.pop()
-        parent = scopes[-1][0] if scopes else None
-        if language == "Java":
-            face = re.match(JAVA_INTERFACE, line)
-            holder = None if re.match(JAVA_IMPORT, line) else face or re.match(JAVA_CLASS, line)
-            word, kind = ("interface", "INTERFACE") if face else ("class", "CLASS")
-            call, of_call = re.match(JAVA_METHOD, line) if parent else None, "METHOD"
-            shown = "private" not in line
-        elif language == "Go":
-            holder, call, of_call, kind = re.match(GO_STRUCT, line), re.match(GO_FUNC, line), "FUNCTION", "CLASS"
-        else:
-            included = re.match(CPP_INCLUDE, line)
-            holder = None if included else re.match(CPP_CLASS, line)
-            call = None if included else re.match(CPP_FUNCTION, line)
-            word, kind, of_call, shown = "class", "CLASS", "METHOD" if parent else "FUNCTION", True
-        if holder:
-            name, end = holder[1], blocks.end(i)
-            head = f"type {name} struct" if language == "Go" else f"{word} {name}"
-            yield name, kind, i + 1, end + 1, name[0].isascii() and name[0].isupper() if language == "Go" else True, parent, head, None
-            scopes.append((name, end))
-        elif call and (language == "Go" or call[1] not in CONTROL):
-            name = call[1]
-            head = f"{'func ' if language == 'Go' else ''}{name}({call[2].strip()})"
-            yield name, of_call, i + 1, blocks.end(i) + 1, name[0].isascii() and name[0].isupper() if language == "Go" else shown, parent, head, _count(line)
-
-
-def symbols_of(content: str, language: str) -> list[tuple]:
-    lines = re.split(r"\r\n|\r|\n", content)
-    return list(_python(lines) if language == "Python" else _braced(lines, language))
+def _java(pattern: str) -> str:
+    """A pattern of the list above for Java: no bracket opens a set within a set, and a run of modifiers and spaces
+    repeats by modifier, so that a long indent is no deep recursion."""
+    return pattern.replace("[\\w<>[\\],.]", "[\\w<>\\[\\],.]").replace(r"|\s)*", r")\s*)*").replace(r"^\s*(?:p", r"^\s*(?:(?:p")
+
+
+def _head(i: Column, kind: int, text: Column, pattern: str, name: int = 1, args: int | None = None) -> Column:
+    inner = F.lit(None).cast("string") if args is None else trim_all(F.regexp_extract(text, pattern, args))
+    return F.struct(i.alias("line"), F.lit(kind).alias("kind"), F.regexp_extract(text, pattern, name).alias("name"), inner.alias("args"), text.alias("text"))
+
+
+def _heads(language: str, x: Column, i: Column) -> Column:
+    """The head that a line holds, or null."""
+    if language == "Python":
+        return F.when(x.rlike(PYTHON_CLASS), _head(i, SCOPE, x, PYTHON_CLASS, 2)).when(x.rlike(PYTHON_DEF), _head(i, CALL, x, PYTHON_DEF, 2, 3))
+    if language == "Go":
+        x = trim_all(x)
+        plain = F.when(x.rlike(GO_BLOCK), _head(i, BLOCK, x, GO_BLOCK, 0)).when(x == ")", _head(i, SHUT, x, r"\)", 0))
+        return plain.when(x.rlike(GO_STRUCT), _head(i, SCOPE, x, GO_STRUCT)).when(x.rlike(GO_FUNC), _head(i, CALL, x, GO_FUNC, 1, 2))
+    if language == "Java":
+        face, holder, call = (_java(p) for p in (JAVA_INTERFACE, JAVA_CLASS, JAVA_METHOD))
+        named = F.when(x.rlike(face), _head(i, INTERFACE, x, face)).when(x.rlike(holder), _head(i, SCOPE, x, holder))
+        return F.when(~x.rlike(JAVA_IMPORT), named.when(_no_control(x, call), _head(i, CALL, x, call, 1, 2)))
+    return F.when(~x.rlike(CPP_INCLUDE), F.when(x.rlike(CPP_CLASS), _head(i, SCOPE, x, CPP_CLASS)).when(_no_control(x, CPP_FUNCTION), _head(i, CALL, x, CPP_FUNCTION, 1, 2)))
+
+
+def _no_control(x: Column, pattern: str) -> Column:
+    return x.rlike(pattern) & ~F.regexp_extract(x, pattern, 1).isin(CONTROL)
+
+
+def _of_language(make) -> Column:
+    """`make(language)` for the language of the row."""
+    out = F.when(F.col("language") == "Python", make("Python")).when(F.col("language") == "Go", make("Go"))
+    return out.when(F.col("language") == "Java", make("Java")).otherwise(make("C"))
+
+
+#: What a line must hold at least to begin something: no pattern is tried on others.
+_HINT = {"Python": "class|def", "Go": r"import|\)|type|func", "Java": r"class|interface|\{", "C": r"class|\{"}
+
+
+def _marked(files: DataFrame) -> DataFrame:
+    """Files with the heads of their lines, and what ends blocks: lines with braces (how many more open than close,
+    and whether any opens) or, of Python, lines that are not blank (their indent)."""
+    lines = files.select("run_id", "file_id", "language", lines_of(F.col("content")).alias("lines"))
+    head = lambda language: F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(_HINT[language]), _heads(language, x, i))), lambda h: h.isNotNull())
+    count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c)))
+    mark = lambda i, value, opens: F.struct(i.alias("line"), value.cast("int").alias("value"), opens.alias("opens"))
+    brace = lambda x, i: F.when(x.contains("{") | x.contains("}"), mark(i, count(x, "{") - count(x, "}"), x.contains("{")))
+    indent = lambda x, i: F.when(trim_all(x) != "", mark(i, F.length(x) - F.length(F.regexp_replace(x, r"(?U)^\s+", "")), F.lit(False)))
+    marks = F.when(F.col("language") == "Python", F.transform("lines", indent)).otherwise(F.transform("lines", brace))
+    return lines.select("run_id", "file_id", "language", F.size("lines").alias("n_lines"), _of_language(head).alias("heads"), F.filter(marks, lambda m: m.isNotNull()).alias("marks"))
 
 
 def extract_symbols(files: DataFrame) -> DataFrame:
-    """Symbols of files in languages without a syntax tree; complexity is null. No shuffle: a file is
-    read by one task, in Arrow batches. Null content has none."""
-    some = files.where(F.col("language").isin(HEURISTIC) & F.col("content").isNotNull()).select("run_id", "file_id", "language", "content")
-    names = [x.split()[0] for x in SYMBOL.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (run_id, file_id, ordinal, *found)
-                for run_id, file_id, language, content in batch.itertuples(index=False)
-                for ordinal, found in enumerate(symbols_of(content, language))
-            ]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"ordinal": "int32", "start_line": "int32", "end_line": "int32", "parameter_count": "Int32"})
-
-    return some.mapInPandas(run, SYMBOL)
+    """Symbols of files in languages without a syntax tree; complexity is null. No shuffle, and no loop over
+    lines: built-in functions find the lines that begin something, and `blocks.scopes` finds where all blocks of
+    a batch of files end and what encloses them, from line numbers alone. Null content has none."""
+    some = _marked(files.where(F.col("language").isin(HEURISTIC) & F.col("content").isNotNull()).select("run_id", "file_id", "language", "content"))
+    part = lambda field: F.transform("heads", lambda h: h[field])
+    own = lambda field: F.transform("marks", lambda m: m[field])
+    found = scopes(F.col("language"), F.col("n_lines"), part("line"), part("kind"), own("line"), own("value"), own("opens"))
+    with_ends = some.where(F.size("heads") > 0).withColumn("found", found)
+    named = with_ends.withColumn("of", F.transform("found", lambda x: F.get("heads", x["parent"])["name"]))
+    rows = named.select("run_id", "file_id", "language", F.posexplode(F.filter(F.arrays_zip("heads", "found", "of"), lambda p: p["found"]["kept"])).alias("ordinal", "p"))
+    rows = rows.select("run_id", "file_id", "language", "ordinal", "p.heads.*", F.col("p.of").alias("parent_name"), F.col("p.found.end").alias("end"))
+    language, name, is_call = F.col("language"), F.col("name"), F.col("kind") == CALL
+    method = (language == "Java") | ((language != "Go") & F.col("parent_name").isNotNull())
+    kind = F.when(F.col("kind") == INTERFACE, "INTERFACE").when(~is_call, "CLASS").when(method, "METHOD").otherwise("FUNCTION")
+    exported = (
+        F.when(language == "Go", name.rlike("^[A-Z]")).when(~is_call | language.isin("C", "C++"), True)
+        .when(language == "Java", ~F.col("text").contains("private")).otherwise(~name.startswith("_"))
+    )
+    word = F.when(language == "Go", "type ").when(F.col("kind") == INTERFACE, "interface ").otherwise("class ")
+    holder = F.concat(word, name, F.when(language == "Go", " struct").otherwise(""))
+    call = F.concat(F.when(language == "Python", "def ").when(language == "Go", "func ").otherwise(""), name, F.lit("("), "args", F.lit(")"))
+    n = parameter_count(F.col("text"))
+    given = F.when((language == "Python") & F.col("parent_name").isNotNull(), F.greatest(n - 1, F.lit(0))).otherwise(n)
+    return rows.select(
+        "run_id", "file_id", "ordinal", "name", kind.alias("kind"), (F.col("line") + 1).alias("start_line"), (F.col("end") + 1).alias("end_line"), exported.alias("exported"),
+        "parent_name", F.when(is_call, call).otherwise(holder).alias("signature"), F.when(is_call, given).alias("parameter_count"),
+    )
 
 
 def with_parent_ids(symbols: DataFrame) -> DataFrame:
