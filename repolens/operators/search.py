@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shared import stored
+from ..sources.shared import small_enough, stored
 
 SEMANTIC, LEXICAL = 0.75, 0.25
 POOL_FACTOR, POOL_MOST = 4, 100
-#: Queries of a block that is sent to every task.
-BLOCK_QUERIES = 2_000
+#: Rows of a block of chunks and of a block of queries.
+CHUNK_BLOCK, QUERY_BLOCK = 2_048, 512
 
 
 def query_tokens(query: Column) -> Column:
@@ -40,61 +38,72 @@ def _best(scored: DataFrame, pool: int) -> DataFrame:
     return scored.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= pool).drop("__n")
 
 
-def _scored(asked: pa.Table, chunks: DataFrame, pool: int) -> DataFrame:
-    """(query_id, chunk_id, semantic_score): every query against the chunks of its repository, batch by
-    batch as one matrix product; a batch gives at most `pool` rows for each query, and those that tie."""
-    schema = T.StructType([T.StructField("query_id", T.StringType()), chunks.schema["chunk_id"], T.StructField("semantic_score", T.DoubleType())])
-    by_repository: dict = {}
-    for query_id, repository, vector in zip(*[asked[c].to_pylist() for c in ("query_id", "repository_id", "vector")], strict=True):
-        if vector is not None and None not in vector:
-            by_repository.setdefault(repository, []).append((query_id, np.array(vector, np.float64)))
-    shared = chunks.sparkSession.sparkContext.broadcast(by_repository)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            repositories = np.array(batch.column("repository_id").to_pylist(), object)
-            vectors = batch.column("embedding").to_pylist()
-            for repository in set(repositories.tolist()):
-                own = np.flatnonzero(repositories == repository)
-                for width in {len(q[1]) for q in shared.value.get(repository, ())}:
-                    rows = np.array([i for i in own if len(vectors[i]) == width and None not in vectors[i]], np.int64)
-                    wanted = [q for q in shared.value[repository] if len(q[1]) == width]
-                    if not len(rows):
-                        continue
-                    left = np.array([vectors[i] for i in rows], np.float64)
-                    right = np.array([q[1] for q in wanted])
-                    sizes = np.sqrt((left * left).sum(axis=1))[:, None] * np.sqrt((right * right).sum(axis=1))[None, :]
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        scores = np.where(sizes > 0, left @ right.T / sizes, np.nan)
-                    for (query_id, _), score in zip(wanted, scores.T, strict=True):
-                        known = np.flatnonzero(~np.isnan(score))
-                        if len(known) > pool:  # all that tie with the last one stay
-                            least = np.partition(score[known], len(known) - pool)[len(known) - pool]
-                            known = known[score[known] >= least]
-                        if len(known):
-                            yield pa.RecordBatch.from_arrays([pa.array([query_id] * len(known), pa.string()), batch.column("chunk_id").take(pa.array(rows[known])), pa.array(score[known])], names=schema.names)
-
-    return chunks.select("repository_id", "chunk_id", "embedding").mapInArrow(run, schema)
-
-
-def candidates(queries: DataFrame, chunks: DataFrame, limit: int = 10, most: int = BLOCK_QUERIES) -> DataFrame:
+def _vectors(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length of the vectors: rows with a vector without nulls, and these as a matrix."""
+    lists = column.combine_chunks().cast(pa.list_(pa.float64()))
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+    values = lists.flatten()
+    hole = np.zeros(len(size) + 1, np.int64)
+    np.add.at(hole, np.repeat(np.arange(len(size)), size), pc.is_null(values).to_numpy(zero_copy_only=False))
+    flat, at = values.to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)])
+    out = {}
+    for width in np.unique(size[size > 0]).tolist():
+        rows = np.flatnonzero((size == width) & (hole[:-1] == 0))
+        out[width] = rows, flat[at[rows][:, None] + np.arange(width)].astype(np.float64)
+    return out
+
+
+def _block_scores(pool: int):
+    """Of a block of chunks and a block of queries: each query's `pool` nearest chunks, and those that tie."""
+
+    def run(chunks: pa.Table, asked: pa.Table) -> pa.Table:
+        found = []
+        left, right = _vectors(chunks["embedding"]), _vectors(asked["vector"])
+        for width in left.keys() & right.keys():
+            (rows, a), (wanted, b) = left[width], right[width]
+            sizes = np.sqrt((b * b).sum(axis=1))[:, None] * np.sqrt((a * a).sum(axis=1))[None, :]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                scores = np.where(sizes > 0, b @ a.T / sizes, np.nan)
+            known = ~np.isnan(scores)
+            low = np.where(known, scores, -np.inf)
+            if len(rows) > pool:
+                least = np.partition(low, len(rows) - pool, axis=1)[:, len(rows) - pool]
+                known &= low >= least[:, None]
+            i, j = np.nonzero(known)
+            found.append((wanted[i], rows[j], scores[i, j]))
+        i, j, score = (np.concatenate([x[k] for x in found]) if found else np.empty(0) for k in range(3))
+        take = lambda table, c, at: table[c].combine_chunks().take(pa.array(at.astype(np.int64)))
+        return pa.table({"query_id": take(asked, "query_id", i), "chunk_id": take(chunks, "chunk_id", j), "semantic_score": pa.array(score.astype(np.float64))})
+
+    return run
+
+
+def candidates(queries: DataFrame, chunks: DataFrame, limit: int = 10, chunk_block: int = CHUNK_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The pool of each query: its repository's chunks nearest by cosine, min(4 * limit, 100) of them,
     exactly; ties to the smaller chunk_id. What is ranked is ids and scores; the chunks of the pools,
     and the queries, are joined to them after it.
 
     queries(query_id, repository_id, query, vector); chunks(chunk_id, repository_id, content,
     symbol_name, embedding, ...), each with ids of its own. Chunks without a vector, and pairs without a
-    cosine, take no part. Queries are sent to all tasks in blocks of about `most`; of several blocks each
-    is scored and written before the next.
+    cosine, take no part. A repository's chunks and queries are dealt to blocks of about `chunk_block` and
+    `query_block` rows; each pair of blocks is one matrix product in a group of its own, so a repository that has
+    most chunks is spread over tasks, and no task holds more than two blocks. Chunks of repositories without
+    a query are not shuffled.
     """
     pool = min(POOL_FACTOR * limit, POOL_MOST)
     asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "repository_id", "query", "vector")
     there = chunks.where("embedding is not null")
-    blocks = max(1, -(-asked.count() // most))
-    block = lambda b: asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "repository_id", "vector").toArrow()
-    parts = [_scored(block(0), there, pool)] if blocks == 1 else [stored(_best(_scored(block(b), there, pool), pool), "pools") for b in range(blocks)]
-    best = _best(functools.reduce(DataFrame.unionByName, parts), pool)
-    return best.join(asked.select("query_id", "query"), "query_id").join(there.drop("embedding"), "chunk_id")
+    parts = there.groupBy("repository_id").agg(F.ceil(F.count("*") / chunk_block).cast("int").alias("parts"))
+    blocks = asked.groupBy("repository_id").agg(F.ceil(F.count("*") / query_block).cast("int").alias("blocks"))
+    dealt = small_enough(stored(parts.join(blocks, "repository_id"), "blocks"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one_of = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    left = there.select("repository_id", "chunk_id", "embedding").join(dealt, "repository_id").withColumn("part", one_of("chunk_id", "parts")).withColumn("block", each("blocks")).drop("parts", "blocks")
+    right = asked.select("repository_id", "query_id", "vector").join(dealt, "repository_id").withColumn("block", one_of("query_id", "blocks")).withColumn("part", each("parts")).drop("parts", "blocks")
+    schema = T.StructType([T.StructField("query_id", T.StringType()), chunks.schema["chunk_id"], T.StructField("semantic_score", T.DoubleType())])
+    key = ["repository_id", "part", "block"]
+    scored = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_block_scores(pool), schema)
+    return _best(scored, pool).join(asked.select("query_id", "query"), "query_id").join(there.drop("embedding"), "chunk_id")
 
 
 def hybrid_rank(pool: DataFrame, limit: int = 10) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -26,6 +27,11 @@ def stored(rows: DataFrame, label: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def small_enough(rows: DataFrame, most: int = 200_000) -> DataFrame:
+    """Narrow rows for a join: broadcast if they are counted to be `most` or fewer, else as they are."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def removed(rows: DataFrame) -> None:
     """Removes the table of `stored` rows that nothing reads any more."""
     spark = rows.sparkSession

@@ -32,8 +32,8 @@ def test_both_ways_of_scoring_agree(spark):
     rows = [(f"c{i:03}", f"r{i % 3}", "p", None, 1, 1, "x", vector(3 if i % 17 == 0 else 4) if i % 13 else None) for i in range(200)]
     chunks = spark.createDataFrame(rows, "chunk_id string, repository_id string, file_path string, symbol_name string, start_line int, end_line int, content string, embedding array<double>").repartition(5)
     asked = spark.createDataFrame([(f"q{i}", f"r{i % 4}", "x", vector() if i else None) for i in range(8)], "query_id string, repository_id string, query string, vector array<double>")
-    pools = [{(r["query_id"], r["chunk_id"], round(r["semantic_score"], 9)) for r in search.candidates(asked, chunks, 5, most).collect()} for most in (100, 1)]
-    assert pools[0] == pools[1] and len(pools[0]) > 60
+    pools = [{(r["query_id"], r["chunk_id"], round(r["semantic_score"], 9)) for r in search.candidates(asked, chunks, 5, *most).collect()} for most in ((100, 100), (7, 1), (1000, 3))]
+    assert pools[0] == pools[1] == pools[2] and len(pools[0]) > 60
 
 
 def results(spark, sizes):
