@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,15 +14,38 @@ from ..functions.text import file_name
 METADATA = "id long, owner struct<login:string>, name string, full_name string, default_branch string, private boolean, html_url string, description string, updated_at timestamp, user_id string"
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
     """(path, name, size, content) of every file under a folder; path is relative to it, content is
-    decoded as UTF-8. Spark's file listing does not follow into hidden temporary files."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/").split("://")[-1] + "/")
-    path = F.element_at(F.split(F.col("path"), base, 2), 2)
+    decoded as UTF-8. Hidden temporary files and symbolic links are not read, nor are files of more than
+    `max_bytes`: sizes are known from the listing. A root is a name, whatever characters it has.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = fs.makeQualified(folder).toString()
+    named = re.sub(r"([\\*?\[\]{}])", r"\\\1", whole)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(named)
+    if max_bytes is not None:
+        raw = raw.where(F.col("length") <= max_bytes)
+    if fs.getScheme() == "file":
+        raw = raw.where(~_through_link(len(whole))(F.col("path")))
+    path = F.substring(F.col("path"), F.lit(len(whole.rstrip("/")) + 2), F.length("path"))
     return raw.select(path.alias("path"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content")).withColumn("name", file_name(F.col("path"))).select("path", "name", "size", "content")
 
 
+def _through_link(skipped: int):
+    """Whether a local path passes a symbolic link after its first `skipped` characters."""
+
+    @F.pandas_udf("boolean")
+    def passes(paths: pd.Series) -> pd.Series:
+        def one(path: str) -> bool:
+            ends = [i for i, c in enumerate(path) if c == "/" and i > skipped] + [len(path)]
+            return any(os.path.islink(path[:i].removeprefix("file:")) for i in ends)
+
+        return paths.map(one).astype(bool)
+
+    return passes
+
+
 def normalise_metadata(raw: DataFrame, most: int = 500) -> DataFrame:
     """Repositories from listed metadata (schema METADATA); the `most` latest updated of each user."""
     order = Window.partitionBy("user_id").orderBy(F.desc("updated_at"), "id")

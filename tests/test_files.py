@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from repolens.functions import text as X
@@ -116,3 +117,32 @@ def test_upsert_keeps_ids(spark):
     assert got == {("k1", "id1", "a"), ("k2", "id2", "b"), ("k3", "id3", None)}
     cleared = spark.createDataFrame([("k1", "y", None)], "k string, id string, v string")
     assert ("k1", "id1", None) in {tuple(r) for r in tables.upsert(old, cleared, ["k"], ["id"]).collect()}
+
+
+def test_a_large_archive_is_spread_over_tasks(spark):
+    """Stretches of any length give the status that one running total gives, null keys included."""
+    n = 200_000
+    entries = spark.range(n + 50).selectExpr(
+        f"CASE WHEN id >= {n} THEN null WHEN id % 10 = 0 THEN 'small' ELSE 'hot' END AS repository_id", "cast(id AS int) AS ordinal",
+        "concat('top/', CASE WHEN id % 1000 = 7 THEN '../../../x' ELSE 'f' END, id) AS entry_path", "CASE WHEN id % 7 = 0 THEN 'Directory' ELSE 'File' END AS entry_type", "CASE WHEN id % 3 <> 0 THEN id % 101 END AS size",
+    )
+    limits = archive.Limits(max_repository_bytes=3_000_000, max_file_bytes=98, max_files=120_000)
+    found = [archive.admit(entries, limits, stretch).select("repository_id", "ordinal", "status") for stretch in (1 << 30, 5_000)]
+    assert found[0].exceptAll(found[1]).count() == 0 and found[0].count() == n + 50
+    counts = {(r[0], r[1]): r[2] for r in found[1].groupBy("repository_id", "status").count().collect()}
+    assert counts["hot", "repository_too_large"] == 1 and counts["hot", "stopped"] > 50_000 and counts[None, "accepted"] > 0
+
+
+@pytest.mark.parametrize("name", ["c++ (x).d", "a[b]{c}*?", "plain"])
+def test_roots_are_names(spark, tmp_path, name):
+    root = tmp_path / name
+    (root / "sub").mkdir(parents=True)
+    (tmp_path / "other").mkdir()
+    (root / "one.txt").write_text("eins")
+    (root / "sub" / "two (2).txt").write_text("zwei" * 100)
+    (tmp_path / "other" / "secret.txt").write_text("outside")
+    (root / "link.txt").symlink_to(root / "one.txt")
+    (root / "linked").symlink_to(tmp_path / "other")
+    found = {r.path: (r.name, r.size, r.content) for r in tree.read_tree(spark, str(root)).collect()}
+    assert found == {"one.txt": ("one.txt", 4, "eins"), "sub/two (2).txt": ("two (2).txt", 400, "zwei" * 100)}
+    assert [r.path for r in tree.read_tree(spark, f"{root}/", max_bytes=100).collect()] == ["one.txt"]
