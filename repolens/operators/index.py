@@ -33,23 +33,62 @@ def diff_statistics(diff: DataFrame) -> DataFrame:
 Provider = Callable[[list[str]], "np.ndarray | list[list[float]]"]
 
 
+def _in_batches(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """The rows again, in frames of `size` rows; only the last may have fewer."""
+    held: list[pd.DataFrame] = []
+    n = 0
+    for frame in frames:
+        held.append(frame)
+        n += len(frame)
+        if n >= size:
+            every = pd.concat(held, ignore_index=True) if len(held) > 1 else frame
+            whole = n - n % size
+            yield from (every.iloc[i : i + size] for i in range(0, whole, size))
+            held, n = [every.iloc[whole:]], n - whole
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
 def embed_batches(rows: DataFrame, provider: Callable[[], Provider], text: str = "content", batch: int = 96) -> DataFrame:
-    """`rows` with `embedding` (array<float>) from a provider, in batches of up to `batch` texts and in
-    order. `provider` is called once per task and returns a function of texts to vectors."""
+    """`rows` with `embedding` (array<float>) from a provider, in order. `provider` is called once per task and
+    returns a function of texts to vectors. Of the calls of a task all but the last get `batch` texts, however
+    the rows come in. A provider that returns another number of vectors is an error."""
     schema = T.StructType([*rows.drop("embedding").schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         embed = provider()
-        for frame in batches:
-            vectors: list = []
-            for i in range(0, len(frame), batch):
-                own = embed(frame[text].iloc[i : i + batch].tolist())
-                vectors += [np.asarray(v, np.float32) for v in own]
+        for frame in _in_batches(batches, batch):
+            vectors = [np.asarray(v, np.float32) for v in embed(frame[text].tolist())]
+            if len(vectors) != len(frame):
+                raise ValueError(f"the provider returned {len(vectors)} vectors for {len(frame)} texts")
             yield frame.assign(embedding=vectors)
 
     return rows.drop("embedding").mapInPandas(run, schema)
 
 
+def embed_once(rows: DataFrame, provider: Callable[[], Provider], known: str, text: str = "content", batch: int = 96, waves: int = 8) -> DataFrame:
+    """`rows` with `embedding`, each distinct text embedded once, whatever run it comes in.
+
+    `known` is a folder of Parquet with the vectors so far by SHA-256 of the text. What it lacks is embedded in
+    `waves`, each written there when it is done: a job that fails or is stopped loses the wave it was in, and the
+    next one embeds only what is open. Null texts have a null embedding.
+    """
+    spark = rows.sparkSession
+    schema = "digest string, embedding array<float>"
+    path = spark._jvm.org.apache.hadoop.fs.Path(known)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    keyed = rows.drop("embedding").withColumn("__digest", F.sha2(F.col(text).cast("binary"), 256))
+    wanted = keyed.where(F.col(text).isNotNull()).select(F.col("__digest").alias("digest"), F.col(text).alias("__text"))
+    for wave in range(waves):
+        own = wanted.where(F.pmod(F.xxhash64("digest"), F.lit(waves)) == wave).dropDuplicates(["digest"])
+        if there:
+            own = own.join(spark.read.schema(schema).parquet(known).select("digest"), "digest", "left_anti")
+        embed_batches(own, provider, "__text", batch).select("digest", "embedding").write.mode("append").parquet(known)
+        there = True
+    vectors = spark.read.schema(schema).parquet(known).dropDuplicates(["digest"])
+    return keyed.join(vectors, keyed["__digest"] == vectors["digest"], "left").drop("__digest", "digest")
+
+
 def embed_pseudo(rows: DataFrame, dimensions: int, text: str = "content") -> DataFrame:
     """`rows` with the repeatable pseudo-embedding of their text; no Python in the tasks."""
     return rows.withColumn("embedding", pseudo_embedding(F.col(text), dimensions).cast("array<float>"))

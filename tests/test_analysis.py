@@ -1,19 +1,27 @@
 from __future__ import annotations
 
+import os
+import posixpath
 import random
 
 import pytest
 
-from repolens.operators import chunks, index, rules, symbols
+from repolens.operators import chunks, graph, index, rules, symbols
 
 FILES = "run_id string, file_id string, path string, language string, content string"
 
 
-def parse(content, language):
-    return [x[:7] for x in symbols.symbols_of(content, language)], {x[0]: x[7] for x in symbols.symbols_of(content, language)}
+@pytest.fixture
+def parse(spark):
+    def go(content, language):
+        rows = symbols.extract_symbols(spark.createDataFrame([("r", "f", "p", language, content)], FILES)).orderBy("ordinal").collect()
+        assert [r.ordinal for r in rows] == list(range(len(rows)))
+        return [(r.name, r.kind, r.start_line, r.end_line, r.exported, r.parent_name, r.signature) for r in rows], {r.name: r.parameter_count for r in rows}
 
+    return go
 
-def test_python_symbols():
+
+def test_python_symbols(parse):
     src = "import os\nfrom typing import List\n\ndef top_level(a, b):\n    return a\n\nclass Greeter:\n    def greet(self):\n        return 1\n\n    def _hidden(self, x):\n        pass\n"
     found, counts = parse(src, "Python")
     assert [(x[0], x[1], x[2], x[3], x[4], x[5]) for x in found] == [
@@ -23,14 +31,14 @@ def test_python_symbols():
     assert counts["top_level"] == 2 and counts["greet"] == 0
 
 
-def test_java_control_words_are_no_methods():
+def test_java_control_words_are_no_methods(parse):
     src = "public class A {\n  public int f(int a, int b) {\n    if (a > b) {\n      return a;\n    } else if (b > a) {\n      return b;\n    }\n    return 0;\n  }\n  private void g() {\n  }\n}\nint loose() {\n}\n"
     found, counts = parse(src, "Java")
     assert [(x[0], x[1], x[2], x[3], x[4], x[5]) for x in found] == [("A", "CLASS", 1, 12, True, None), ("f", "METHOD", 2, 9, True, "A"), ("g", "METHOD", 10, 11, False, "A")]
     assert counts["f"] == 2
 
 
-def test_cpp_and_go_symbols():
+def test_cpp_and_go_symbols(parse):
     found, counts = parse('#include <vector>\nint add(int a, int b) {\n  return a;\n}\nclass S {\n  int area() {\n  }\n};\n', "C++")
     assert [(x[0], x[1], x[5]) for x in found] == [("add", "FUNCTION", None), ("S", "CLASS", None), ("area", "METHOD", "S")]
     assert counts["add"] == 2
@@ -38,7 +46,7 @@ def test_cpp_and_go_symbols():
     assert [(x[0], x[1], x[4]) for x in found] == [("Config", "CLASS", True), ("Run", "FUNCTION", True), ("helper", "FUNCTION", False)]
 
 
-def test_unclosed_blocks_end_with_the_file():
+def test_unclosed_blocks_end_with_the_file(parse):
     found, _ = parse("class A {\n int f() {\n", "C++")
     assert [(x[2], x[3]) for x in found] == [(1, 3), (2, 3)]
 
@@ -200,3 +208,74 @@ def test_vectors(spark):
     rows = [([1.0, 2.0],), ([float("nan"), 1.0],), ([float("inf"), 1.0],), ([1.0],), (None,), ([None, 1.0],)]
     good, bad = index.check_vectors(spark.createDataFrame(rows, "embedding array<double>"), 2)
     assert good.count() == 1 and bad.count() == 5
+
+
+def test_an_import_is_one_row_of_the_join(spark):
+    files = [(f"r{i % 3}", str(i), f"src/{name}", "TypeScript", "") for i, name in enumerate(["a.ts", "a.tsx", "b/index.js", "c", "c.ts", "d.ts/index.ts", "d.ts.ts", ".ts", "e/.ts", "b.mjs"] * 3)]
+    df = spark.createDataFrame(files, FILES)
+    sources = ["./a", "./b", "./c", "./d.ts", "./", "./e/", "./e", "../src/a.tsx", "lib", "./none"]
+    imports = spark.createDataFrame([(r, f, f"{f}-{k}", s, "IMPORT", k) for r, f, *_ in files for k, s in enumerate(sources)], "run_id string, file_id string, import_id string, source string, kind string, line int")
+    paths = {(r, p): f for r, f, p, *_ in files}
+    found = graph.resolve_imports(imports, df).collect()
+    assert len(found) == len(files) * len(sources)
+    for row in found:
+        folder = row.source_path.rsplit("/", 1)[0]
+        tried = [posixpath.normpath(f"{folder}/{row.source}") + ("/" if row.source.endswith("/") else "") + s for s in graph.SUFFIXES] if row.source.startswith((".")) else []
+        best = next((t for t in tried if (row.run_id, t) in paths), None)
+        assert row.target_path == best and row.target_file_id == (paths[row.run_id, best] if best else None)
+    plan = graph.resolve_imports(imports, df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1  # of the files, not of the imports
+
+
+def test_providers_get_full_batches(spark):
+    sizes = spark.sparkContext.accumulator(0)
+    calls = spark.sparkContext.accumulator(0)
+    short = spark.sparkContext.accumulator(0)
+
+    def provider():
+        def embed(texts):
+            sizes.add(len(texts))
+            calls.add(1)
+            short.add(len(texts) < 96)
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return embed
+
+    rows = spark.range(10_000).selectExpr("cast(id AS string) AS content").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        found = index.embed_batches(rows, provider).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r.content for r in found] == [str(i) for i in range(10_000)] and all(r.embedding == [float(len(r.content)), 1.0] for r in found)
+    assert (sizes.value, calls.value, short.value) == (10_000, 105, 1)
+    with pytest.raises(Exception, match="the provider returned 1 vectors for"):
+        index.embed_batches(rows, lambda: lambda texts: [[1.0]]).collect()
+
+
+def test_a_retry_embeds_only_what_is_open(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+    broken = str(tmp_path / "broken")
+
+    def provider():
+        def embed(texts):
+            if os.path.exists(broken) and "7" in texts:
+                raise RuntimeError("out of quota")
+            asked.add(len(texts))
+            return [[float(t)] for t in texts]
+
+        return embed
+
+    rows = spark.createDataFrame([(str(i % 40),) for i in range(100)] + [(None,)], "content string")
+    open(broken, "w").close()
+    with pytest.raises(Exception, match="out of quota"):
+        index.embed_once(rows, provider, str(tmp_path / "known"), waves=6)
+    before = asked.value
+    os.remove(broken)
+    found = index.embed_once(rows, provider, str(tmp_path / "known"), waves=6).collect()
+    assert sorted(r.embedding[0] for r in found if r.content) == sorted(float(i % 40) for i in range(100)) and [r.embedding for r in found if r.content is None] == [None]
+    done = spark.read.parquet(str(tmp_path / "known")).count()
+    assert done == 40 and asked.value - before < 40
+    again = asked.value
+    index.embed_once(rows, provider, str(tmp_path / "known"), waves=6).collect()
+    assert asked.value == again
