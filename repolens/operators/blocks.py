@@ -55,7 +55,7 @@ class Minima:
         return at
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """The items of all lists, and where those of each list begin (then the end)."""
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     items = column.values.slice(offsets[0], offsets[-1] - offsets[0])
@@ -137,7 +137,7 @@ def enclosing(python: np.ndarray, row: np.ndarray, line: np.ndarray, end: np.nda
 
 
 def _scopes(language: pa.Array, n_lines: pa.Array, lines: pa.Array, kinds: pa.Array, mark: pa.Array, value: pa.Array, opens: pa.Array) -> pa.Array:
-    (line, heads), kind, (marks, at) = _flat(lines), _flat(kinds)[0], _flat(mark)
+    (line, heads), kind, (marks, at) = flat(lines), flat(kinds)[0], flat(mark)
     python, java = (pc.equal(language, x).to_numpy(zero_copy_only=False) for x in ("Python", "Java"))
     row = np.repeat(np.arange(len(language)), np.diff(heads))
     # what the last marker before a head says: within an import block nothing begins
@@ -146,7 +146,7 @@ def _scopes(language: pa.Array, n_lines: pa.Array, lines: pa.Array, kinds: pa.Ar
     inside = (last >= 0) & (last < np.arange(len(kind))) & (row[last] == row) & (kind[last] == BLOCK)
     plain = np.flatnonzero((kind < BLOCK) & ~inside)
     row_, line_, kind_ = row[plain], line[plain].astype(np.int64), kind[plain]
-    end_, depth = block_ends(python, n_lines.to_numpy(), row_, line_, at, marks.astype(np.int64), _flat(value)[0].astype(np.int64), _flat(opens)[0].astype(bool))
+    end_, depth = block_ends(python, n_lines.to_numpy(), row_, line_, at, marks.astype(np.int64), flat(value)[0].astype(np.int64), flat(opens)[0].astype(bool))
     of = enclosing(python, row_, line_, end_, kind_ <= INTERFACE, depth)
     end, kept, parent = np.zeros(len(kind), np.int32), np.zeros(len(kind), bool), np.full(len(kind), -1)
     end[plain] = end_

@@ -3,7 +3,9 @@ from __future__ import annotations
 import os
 import posixpath
 import random
+import time
 
+import numpy as np
 import pytest
 
 from repolens.operators import chunks, graph, index, rules, symbols
@@ -160,6 +162,39 @@ def test_chunks_equal_plain_recursion(spark):
     assert sum(map(len, want.values())) > 100
 
 
+def slow_ranges(lengths, c):
+    out, start, n = [], 0, len(lengths)
+    while start < n:
+        end, size = start + 1, lengths[start] + 1
+        while end < n and size < c.target_chars and size + lengths[end] + 1 <= c.max_chars:
+            size, end = size + lengths[end] + 1, end + 1
+        out.append((start, end))
+        if end >= n:
+            break
+        start = max(end - c.overlap_lines, start + 1)
+    return out
+
+
+def test_all_rows_are_split_as_one_by_one():
+    rng = random.Random(3)
+    for target, most, overlap in ((30, 60, 3), (10, 200, 0), (100, 150, 99), (1, 1, 1)):
+        c = chunks.Chunking(target, most, overlap)
+        rows = [[rng.randrange(40) for _ in range(rng.choice([0, 1, 5, 300]))] for _ in range(60)]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+        row, a, b = chunks.split_many(np.array([x for r in rows for x in r], np.int64), at, c)
+        assert [list(zip(a[row == i].tolist(), b[row == i].tolist())) for i in range(len(rows))] == [slow_ranges(x, c) for x in rows]
+
+
+def test_a_file_of_many_symbols(spark):
+    content = "\n".join(f"line {i} " + "x" * 30 for i in range(40_000))
+    rows = [("r", "f", f"s{i}", i, f"n{i}", 1 + 8 * i, 8 + 8 * i if i % 2 else 16 + 8 * i, f"s{i - 1}" if i % 2 else None) for i in range(5_000)]
+    given = spark.createDataFrame(rows, "run_id string, file_id string, symbol_id string, ordinal int, name string, start_line int, end_line int, parent_id string")
+    file = spark.createDataFrame([("r", "f", "p", "Java", content)], FILES)
+    begin = time.time()
+    found = chunks.chunk_files(file, given, chunks.Chunking(100, 400, 1)).collect()
+    assert time.time() - begin < 60 and {r.symbol_id for r in found} == {r[2] for r in rows}
+
+
 def test_split_ranges_advance_and_cover():
     c = chunks.Chunking(target_chars=100, max_chars=150, overlap_lines=1)
     found = chunks.split_ranges([20] * 50, c)
