@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import AI_SEVERITIES, SEVERITIES, rank
+from ..sources.shared import removed, shared_folder
 
 
 def severity_counts(findings: DataFrame, by: str = "run_id", levels: list[str] = SEVERITIES) -> DataFrame:
@@ -19,19 +21,79 @@ def latest(runs: DataFrame, by: str, n: int = 1, tie: str = "id") -> DataFrame:
     return runs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+#: The order of findings is total: severity rank, created_at, run, path, line, rule, message.
+_ORDER = ["created_at", "run_id", "path", "line", "rule_id", "message"]
+#: Rows up to the end of a page that one task may hold; of a page beyond that, only its own partitions are read.
+SHALLOW = 10_000
+
+
+def _finding_order() -> list[Column]:
+    return [rank(F.col("severity"), SEVERITIES), *map(F.col, _ORDER)]
+
+
+def _selected(findings: DataFrame, **wanted: str | None) -> DataFrame:
+    for column, value in wanted.items():
+        findings = findings if value is None else findings.where(F.col(column) == value)
+    return findings
+
+
+def _with_paths(findings: DataFrame, files: DataFrame) -> DataFrame:
+    return findings.join(files.select("run_id", "file_id", "path"), ["run_id", "file_id"], "left")
+
+
+class OrderedRows:
+    """Rows in a total order, written once in ranges of it, from which any page is read.
+
+    The ranges and how many rows each has are made by Spark's range partitioning; a page reads the ranges that it
+    lies in, so page 10,000 costs what page 1 does. What the driver holds is a count for each range.
+    """
+
+    def __init__(self, rows: DataFrame, order: list[Column], ranges: int | None = None) -> None:
+        self.order, spark = order, rows.sparkSession
+        n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = shared_folder(spark, "ordered")
+        rows.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()).write.partitionBy("__range").parquet(self.path)
+        schema = T.StructType([*rows.schema.fields, T.StructField("__range", T.IntegerType())])
+        self.rows = spark.read.schema(schema).parquet(self.path)
+        counts = {r[0]: r[1] for r in self.rows.groupBy("__range").count().collect()}
+        self.counts = [counts.get(i, 0) for i in range(max(counts, default=-1) + 1)]
+        self.total = sum(self.counts)
+
+    def page(self, number: int, size: int) -> DataFrame:
+        """Rows (number - 1) * size + 1 and on, `size` at most, in order."""
+        first, at, within = (number - 1) * size, 0, []
+        skipped = 0
+        for i, n in enumerate(self.counts):
+            if at < first + size and at + n > first:
+                skipped = skipped if within else first - at
+                within.append(i)
+            at += n
+        own = self.rows.where(F.col("__range").isin(within)).drop("__range") if within else self.rows.drop("__range").limit(0)
+        return own.orderBy(*self.order).offset(max(skipped, 0)).limit(size)
+
+    def remove(self) -> None:
+        removed(self.rows)
+
+
+def ordered_findings(findings: DataFrame, files: DataFrame, run_id: str | None = None, severity: str | None = None, rule_id: str | None = None, file_id: str | None = None, ranges: int | None = None) -> OrderedRows:
+    """All findings that a filter leaves, with file paths, for many pages or deep ones: see `findings_page`."""
+    rows = _selected(findings, run_id=run_id, severity=severity, rule_id=rule_id, file_id=file_id)
+    return OrderedRows(_with_paths(rows, files), _finding_order(), ranges)
+
+
 def findings_page(findings: DataFrame, files: DataFrame, run_id: str | None = None, severity: str | None = None, rule_id: str | None = None, file_id: str | None = None, page: int = 1, page_size: int = 50) -> tuple[DataFrame, DataFrame]:
     """A page of findings with file paths, INFO first, and the total (one row, `total`).
 
-    The order is total: severity rank, created_at, run, path, line, rule, message.
+    The order is total: severity rank, created_at, run, path, line, rule, message. A page that ends within
+    the first `SHALLOW` rows is the least rows of each task, merged; one beyond is read from `ordered_findings`.
     """
     if not 1 <= page_size <= 200 or page < 1:
         raise ValueError("page is from 1, page_size from 1 to 200")
-    rows = findings
-    for column, value in (("run_id", run_id), ("severity", severity), ("rule_id", rule_id), ("file_id", file_id)):
-        rows = rows if value is None else rows.where(F.col(column) == value)
-    named = rows.join(files.select("run_id", "file_id", "path"), ["run_id", "file_id"], "left")
-    ordered = named.orderBy(rank(F.col("severity"), SEVERITIES), "created_at", "run_id", "path", "line", "rule_id", "message")
-    return ordered.offset((page - 1) * page_size).limit(page_size), rows.agg(F.count("*").alias("total"))
+    rows = _selected(findings, run_id=run_id, severity=severity, rule_id=rule_id, file_id=file_id)
+    named, total = _with_paths(rows, files), rows.agg(F.count("*").alias("total"))
+    if page * page_size > SHALLOW:
+        return OrderedRows(named, _finding_order()).page(page, page_size), total
+    return named.orderBy(*_finding_order()).offset((page - 1) * page_size).limit(page_size), total
 
 
 def file_explorer(metrics: DataFrame, symbols: DataFrame, imports: DataFrame, findings: DataFrame) -> DataFrame:

@@ -512,6 +512,17 @@ def p2_findings_page(spark, d):
     return reports.findings_page(_findings(spark, d), view(spark, d, "files"), page=2)[0].select(*_OUT, "path")
 
 
+@query(_ALL + f"""
+, o AS (SELECT fi.run_id, fi.file_id, rule_id, severity, message, line, path, row_number() OVER (ORDER BY {_SEV}, fi.run_id, path NULLS FIRST, line NULLS FIRST, rule_id, message) AS n, count(*) OVER () AS total
+  FROM fi LEFT JOIN files AS f ON f.run_id = fi.run_id AND f.file_id = fi.file_id)
+SELECT run_id, file_id, rule_id, severity, message, line, path FROM o WHERE (n - 1) // 50 = (total - 1) // 50
+""", *_NEED)
+def p2_last_page(spark, d):
+    """The last page of all findings, from the ranges that hold it."""
+    ordered = reports.ordered_findings(_findings(spark, d), view(spark, d, "files"))
+    return ordered.page(max(1, -(-ordered.total // 50)), 50).select(*_OUT, "path")
+
+
 @query(_ALL + f"SELECT fi.run_id, fi.file_id, rule_id, severity, message, line, path FROM fi LEFT JOIN files AS f ON f.run_id = fi.run_id AND f.file_id = fi.file_id WHERE fi.run_id = 'src3' AND rule_id = 'TOO_MANY_PARAMETERS' ORDER BY {_SEV}, path NULLS FIRST, line NULLS FIRST, message LIMIT 20", *_NEED)
 def p2_findings_of_a_rule(spark, d):
     return reports.findings_page(_findings(spark, d), view(spark, d, "files"), run_id="src3", rule_id="TOO_MANY_PARAMETERS", page_size=20)[0].select(*_OUT, "path")

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import json
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from repolens.operators import evidence, reports, runs, search
+from repolens.schemas import SEVERITIES
 from repolens.streaming import jobs
 
 
@@ -98,6 +100,30 @@ def test_pages_and_orders(spark):
     assert (counts["INFO"], counts["MEDIUM"], counts["HIGH"]) == (1, 1, 0)
 
 
+def test_deep_pages_read_their_ranges(spark):
+    rows = [(f"r{i % 3}", str(i % 7), "A", SEVERITIES[i % 5], f"m{i:05}", i % 11, None, None, None) for i in range(5_000)]
+    found = spark.createDataFrame(rows, "run_id string, file_id string, rule_id string, severity string, message string, line int, column int, metadata map<string,string>, created_at timestamp").repartition(5)
+    files = spark.createDataFrame([(f"r{i}", str(f), f"p{f}") for i in range(3) for f in range(5)], "run_id string, file_id string, path string")
+    ordered = reports.ordered_findings(found, files, ranges=20)
+    path = lambda r: f"p{r[1]}" if int(r[1]) < 5 else ""
+    want = [r[4] for r in sorted(rows, key=lambda r: (SEVERITIES.index(r[3]), r[0], path(r), r[5], r[2], r[4]))]
+    assert ordered.total == 5_000
+    for number in (1, 2, 37, 71, 72, 73):
+        page = ordered.page(number, 70)
+        assert [r.message for r in page.collect()] == want[(number - 1) * 70 : number * 70]
+        plan = page._jdf.queryExecution().executedPlan().toString()
+        pruned = re.search(r"PartitionFilters: \[([^]]*__range[^]]*)\]", plan)
+        assert pruned and len(set(re.findall(r"\b\d+\b", pruned[1].split("__range", 1)[1].split(" ", 1)[1]))) <= 4 or "LocalTableScan" in plan  # of 20 ranges
+    assert [r.message for r in reports.findings_page(found, files, severity="LOW", page=1, page_size=9)[0].collect()] == [m for m in want if rows[int(m[1:])][3] == "LOW"][:9]
+    before, reports.SHALLOW = reports.SHALLOW, 100
+    try:
+        page, total = reports.findings_page(found, files, page=40, page_size=70)
+        assert [r.message for r in page.collect()] == want[39 * 70 : 40 * 70] and total.first()[0] == 5_000
+    finally:
+        reports.SHALLOW = before
+    assert [r.message for r in reports.findings_page(found, files, run_id="none")[0].collect()] == [] and reports.ordered_findings(found.limit(0), files).page(1, 5).count() == 0
+
+
 def test_incremental_stream(spark, tmp_path):
     files = lambda rows: spark.createDataFrame([("r", f, f"{f}.ts", "TypeScript", c) for f, c in rows], jobs.FILES)
     none = spark.createDataFrame([], "run_id string, file_id string, symbol_id string, ordinal int, name string, start_line int, end_line int, parent_id string")
