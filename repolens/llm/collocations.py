@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -233,42 +234,80 @@ def _ids(tokens: Tokens, n: int, shorter: np.ndarray, words: np.ndarray, at: np.
     return out, at[first], count
 
 
-def exact_counts(source: DataFrame, levels: list[Broadcast], least: int, words: int = WORDS) -> DataFrame:
-    """(lang, words, phrase, f) of the phrases that occur `least` times or more, and for each language how many
-    words it has, as the count of the phrase of no words. A task adds up its own batches first."""
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    """One row for each phrase of the tables (h, lang, words, phrase, f)."""
+    every = pa.concat_tables(tables).group_by(["h", "lang", "words", "phrase"]).aggregate([("f", "sum")])
+    return every.rename_columns({"f_sum": "f"}).combine_chunks()
 
-    def together(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        added = pa.Table.from_batches(rows).group_by(["lang", "words", "phrase"]).aggregate([("f", "sum")])
-        return added.rename_columns({"f_sum": "f"}).select(["lang", "words", "phrase", "f"]).combine_chunks().to_batches()[0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def exact_counts(source: DataFrame, levels: list[Broadcast], parts: int, least: int, words: int = WORDS) -> DataFrame:
+    """(lang, words, phrase, f) of the phrases that occur `least` times or more, and for each language how many
+    words it has, as the count of the phrase of no words. A task adds up its own phrases and sends them, packed,
+    to their hash partitions; these add up what comes in, by the words and not by the hash."""
+    shift = np.uint64(64 - int(math.log2(parts)))
+
+    def by_part(table: pa.Table) -> pa.RecordBatch:
+        h = table["h"].combine_chunks().to_numpy()
+        part = h >> shift if parts > 1 else np.zeros(len(h), np.uint64)
+        order = np.argsort(part, kind="stable")
+        at = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+        some = np.flatnonzero(np.diff(at))
+        ordered = table.take(pa.array(order))
+        packed = [_packed(ordered.slice(at[i], at[i + 1] - at[i]).combine_chunks()) for i in some.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(packed, pa.binary())], names=["part", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.alone("collocations")
-        bits, rows, held = [b.value for b in levels], [], 0
+        bits, rows = [b.value for b in levels], []
         for batch in K.portions(batches, "__text", PORTION):
-            tokens, known = Tokens(batch), len(rows)
+            tokens = Tokens(batch)
             number, ids = tokens.numbers(), None
             own = np.flatnonzero(tokens.per_lang)
-            rows.append(_rows(tokens.langs.take(pa.array(own)), 0, pa.array([""] * len(own), pa.string()), tokens.per_lang[own]))
-            for n, _, good in _frequent(tokens, bits, words):
-                ids, first, count = _ids(tokens, n, ids, number, np.flatnonzero(good))
+            rows.append(_rows(np.zeros(len(own), np.uint64), tokens.langs.take(pa.array(own)), 0, pa.array([""] * len(own), pa.string()), tokens.per_lang[own]))
+            for n, h, good in _frequent(tokens, bits, words):
+                ids, first, f = _ids(tokens, n, ids, number, np.flatnonzero(good))
                 if len(first):
-                    rows.append(_rows(tokens.langs.take(pa.array(tokens.lang[first])), n, tokens.named(first, n), count))
-            held += sum(map(len, rows[known:]))
-            if held > RUN:
-                rows = [together(rows)]
-                held = len(rows[0])
-                if held > RUN // 2:
-                    yield rows[0]
-                    rows, held = [], 0
+                    rows.append(_rows(h[first], tokens.langs.take(pa.array(tokens.lang[first])), n, tokens.named(first, n), f))
+            if sum(map(len, rows)) > RUN:
+                rows = [_summed(rows)]
+                if len(rows[0]) > RUN // 2:
+                    yield by_part(rows.pop())
         if rows:
-            yield together(rows)
+            yield by_part(_summed(rows))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tables = None, []
+
+        def frequent() -> list[pa.RecordBatch]:
+            table = _summed(tables)
+            table = table.filter((pc.field("f") >= least) | (pc.field("words") == 0))
+            return table.select(["lang", "words", "phrase", "f"]).to_batches()
+
+        for batch in batches:
+            for part, counts in zip(K.column(batch, "part").to_pylist(), K.column(batch, "counts"), strict=True):
+                if part != now and tables:
+                    yield from frequent()
+                    tables = []
+                now = part
+                tables.append(pa.ipc.open_stream(counts.as_buffer()).read_all())
+                if sum(map(len, tables[1:])) > max(RUN, len(tables[0])):
+                    tables = [_summed(tables)]
+        if tables:
+            yield from frequent()
 
-    counted = source.mapInArrow(run, "lang string, words int, phrase string, f long").groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
-    return counted.where((F.col("f") >= least) | (F.col("words") == 0))
+    sent = source.mapInArrow(count, "part int, counts binary")
+    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(add, "lang string, words int, phrase string, f long")
 
 
-def _rows(langs: pa.Array, n: int, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([langs.cast(pa.string()), pa.array(np.full(len(counts), n, np.int32)), phrases, pa.array(counts.astype(np.int64))], names=["lang", "words", "phrase", "f"])
+def _rows(h: np.ndarray, langs: pa.Array, n: int, phrases: pa.Array, counts: np.ndarray) -> pa.Table:
+    return pa.table({"h": h, "lang": langs.cast(pa.string()), "words": np.full(len(counts), n, np.int32), "phrase": phrases, "f": counts.astype(np.int64)})
 
 
 def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, words: int = WORDS, bits: int = BITS) -> DataFrame:
@@ -289,7 +328,7 @@ def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", le
     for lengths in ([1], [2], list(range(3, words + 1))):
         if lengths:
             levels.append(survivors(runs(source, levels, parts, lengths), parts, least, bits))
-    found = written(exact_counts(source, levels, least, words), "phrases")
+    found = written(exact_counts(source, levels, parts, least, words), "phrases")
     for level in levels:
         level.destroy()
     return found
