@@ -257,6 +257,15 @@ def ranks(path: str) -> Ranks:
     return Ranks(path)
 
 
+def ends_a_word(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the byte before each place is known to end a character that is no white space."""
+    one = data[at - 1]
+    two = data[np.maximum(at - 2, 0)]
+    three = data[np.maximum(at - 3, 0)]
+    wide = (one >= 0x80) & (((two >= 0xC3) & (two < 0xE0)) | ((two >= 0x80) & (two < 0xC0) & (three >= 0xE4) & (three < 0xF0)))
+    return _SAFE[one] | wide
+
+
 def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each unit starts (then the end), and the number of the first unit of each text.
 
@@ -268,12 +277,8 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return np.zeros(1, np.int64), np.zeros(len(offsets), np.int64)
     space = np.flatnonzero(K.IS_SPACE[data])
     space = space[space > 0]
-    one = data[space - 1]
-    two = data[np.maximum(space - 2, 0)]
-    three = data[np.maximum(space - 3, 0)]
-    wide = (one >= 0x80) & (((two >= 0xC3) & (two < 0xE0)) | ((two >= 0x80) & (two < 0xC0) & (three >= 0xE4) & (three < 0xF0)))
     cut = np.zeros(n + 1, bool)
-    cut[space[_SAFE[one] | wide]] = True
+    cut[space[ends_a_word(data, space)]] = True
     cut[offsets] = True
     starts = np.flatnonzero(cut)
     return starts, np.searchsorted(starts, offsets)
@@ -339,8 +344,12 @@ class Memo:
 
     def learn(self, data: np.ndarray, at: np.ndarray) -> None:
         """Encodes the new distinct units data[at[i]:at[i+1]]."""
-        raw, where = data.tobytes(), at.tolist()
-        ids, made = self.encode([raw[a:b].decode() for a, b in zip(where, where[1:])])
+        spans = getattr(self.encode, "spans", None)
+        if spans:
+            ids, made = spans(data, at)
+        else:
+            raw, where = data.tobytes(), at.tolist()
+            ids, made = self.encode([raw[a:b].decode() for a, b in zip(where, where[1:])])
         self.seen.add(data, at[:-1], at[1:])
         base = self.ids.n
         self.ids.append(ids)

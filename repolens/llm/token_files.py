@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .bpe import Memo, encoded
+from .bpe import Memo, encoded, ends_a_word
 from .shared import new_table, removed, written
 
 #: Bits of the longest code, ids of a block, ids of a segment.
@@ -130,9 +130,6 @@ class Library:
     """Encodes units with the tokenizers library as it is: the strings of its added tokens in a text are
     those tokens. Units are cut before white space, so an added token must not hold or strip any."""
 
-    #: White space before which units are cut.
-    GAPS = frozenset(" \t\n\x0b\x0c\r")
-
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -152,27 +149,33 @@ class Library:
         return np.concatenate([np.empty(0, np.int32), *found]), np.fromiter(map(len, found), np.int64, len(found))
 
     def __call__(self, unit: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the units one after another, and how many each has.
+        """Ids of the units one after another, and how many each has."""
+        return self._ids(unit)
+
+    def spans(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of the units data[at[i]:at[i + 1]].
 
-        Units that begin with white space and end without are encoded a thousand at a time: no token spans
-        two of them, and the bytes of the tokens tell where one ends. Where they do not, and all others, one by one.
+        Units that begin with white space and end without are encoded many at a time: no token spans two of
+        them, and the bytes of the tokens tell where one ends. Where they do not, and all others, one by one.
         """
-        many = [i for i, u in enumerate(unit) if u[:1] in self.GAPS and not u[-1:].isspace() and len(u) <= 4096]
-        flat, _ = self._ids(["".join([unit[i] for i in many[a : a + 1000]]) for a in range(0, len(many), 1000)])
+        size = np.diff(at)
+        joined = K.IS_SPACE[data[at[:-1]]] & ends_a_word(data, at[1:]) & (size <= 4096)
+        many, rest = np.flatnonzero(joined), np.flatnonzero(~joined)
+        text, upto = data[K.ragged(at[:-1][many], size[many])].tobytes(), np.cumsum(size[many])
+        cuts = np.append(np.flatnonzero(np.diff(upto // 8192)), len(many) - 1) if len(many) else many
+        ends_at = upto[cuts].tolist()
+        flat, _ = self._ids([text[a:b].decode() for a, b in zip([0, *ends_at], ends_at)])
         ends = np.cumsum(self.bytes[flat])
-        upto = np.cumsum(np.fromiter((len(unit[i].encode()) for i in many), np.int64, len(many)))
         last = np.searchsorted(ends, upto)
         if len(many) and not (ends[-1] == upto[-1] and np.array_equal(ends[last], upto)):
-            return self._ids(unit)
-        made = np.zeros(len(unit), np.int64)
-        made[many] = np.diff(last, prepend=-1)
-        single = np.ones(len(unit), bool)
-        single[many] = False
-        rest = np.flatnonzero(single)
-        more, made[rest] = self._ids([unit[i] for i in rest.tolist()])
-        begin = np.zeros(len(unit), np.int64)
-        begin[many] = K.bounds(made[many])[:-1]
-        begin[rest] = len(flat) + K.bounds(made[rest])[:-1]
+            many, rest = many[:0], np.arange(len(size))
+            flat, last = flat[:0], last[:0]
+        raw, where = data.tobytes(), at.tolist()
+        more, made_rest = self._ids([raw[where[i] : where[i + 1]].decode() for i in rest.tolist()])
+        made = np.zeros(len(size), np.int64)
+        made[many], made[rest] = np.diff(last, prepend=-1), made_rest
+        begin = np.zeros(len(size), np.int64)
+        begin[many], begin[rest] = K.bounds(made[many])[:-1], len(flat) + K.bounds(made_rest)[:-1]
         return np.concatenate([flat, more])[K.ragged(begin, made)], made
 
 
