@@ -40,8 +40,8 @@ from .shared import kept, new_table, removed, small_enough, written
 from .simhash import fold, near_stars
 
 RADIUS = 2
-#: Texts sampled to order shingles by how common they are, and shingles ranked; any order is exact.
-SAMPLE, RANKED = 8_000, 50_000
+#: Shingles are ordered by how common they are by 2 to this power counters (4 MB); any order is exact.
+SKETCH = 22
 #: Texts of one shingle that a task takes from the one side, with all of the other.
 PART = 1024
 #: The sieve has 2 to this power bits: 32 MB.
@@ -84,42 +84,57 @@ def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(K.bounds(counts).astype(np.int32)), pa.array(flat.view(np.int64)))
 
 
-def common_shingles(docs: DataFrame, key: str, text: str, width: int) -> np.ndarray:
-    """Hashes of shingles that occur often in a sample of the documents, the most common last."""
-    share = min(1.0, SAMPLE / max(1, docs.count()))
-    some = docs.where(F.xxhash64(key).cast("double") / 2.0**64 + 0.5 <= share).select(F.col(text).alias("__text"))
+def commonness(docs: DataFrame, text: str, width: int) -> np.ndarray:
+    """A count-min sketch of all shingles of all texts in one row of 2 ** SKETCH counters, as the logarithms of the
+    counts: the counter of a shingle is that of the first SKETCH bits of its hash. Each task adds up its own
+    counters, and ranges of them are added up over the tasks; what passes through the driver has a fixed size."""
+    some, ranges = docs.select(F.col(text).alias("__text")), 16
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.alone("near")
+        total = np.zeros(1 << SKETCH, np.uint32)
         for batch in K.portions(batches, "__text", 2 << 20):
             flat, _ = _shingles(*_words(K.column(batch, "__text")), width)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["s"])
+            place, n = np.unique((flat >> np.uint64(64 - SKETCH)).astype(np.int64), return_counts=True)
+            total[place] += n.astype(np.uint32)
+        pack = zstandard.ZstdCompressor(level=1)
+        parts = [pack.compress(x.tobytes()) for x in total.reshape(ranges, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(ranges, dtype=np.int32)), pa.array(parts, pa.binary())], names=["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, sums = zstandard.ZstdDecompressor(), {}
+        for batch in batches:
+            for part, own in zip(K.column(batch, "part").to_pylist(), K.column(batch, "counts"), strict=True):
+                counts = np.frombuffer(unpack.decompress(own.as_buffer()), np.uint32)
+                sums[part] = sums[part] + counts if part in sums else counts.astype(np.int64)
+        for part, counts in sums.items():
+            level = np.minimum(np.round(8 * np.log2(counts + 1.0)), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["part", "levels"])
 
-    often = some.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n"))
-    return often.where("n > 2").orderBy(F.desc("n"), "s").limit(RANKED).select("s").toArrow()["s"].to_numpy().view(np.uint64)[::-1]
+    sent = some.mapInArrow(count, "part int, counts binary").repartition(ranges, "part")
+    whole = np.zeros((ranges, (1 << SKETCH) // ranges), np.uint8)
+    for part, levels in sent.mapInArrow(add, "part int, levels binary").toLocalIterator():
+        whole[part] = np.frombuffer(levels, np.uint8)
+    return whole.reshape(-1)
 
 
 def heads(docs: DataFrame, key: str, text: str, width: int, least: float, common: np.ndarray) -> DataFrame:
     """(key, copy, fp, size, prefix): copy is a hash of the text, fp its SimHash, size how many distinct
-    shingles it has, and prefix those of its prefix in the order in which `common` stand last. Of equal texts
+    shingles it has, and prefix those of its prefix in the order of `common`, the rarest first. Of equal texts
     that come together, one has the prefix."""
     source = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("copy"), F.col(text).alias("__text"))
     schema = T.StructType([source.schema["key"], *T.StructType.fromDDL("copy long, fp long, size int, prefix array<long>").fields])
-    ranked = np.argsort(common)
-    shared = docs.sparkSession.sparkContext.broadcast((common[ranked], ranked))
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.alone("near")
-        known, rank = shared.value
+        common = shared.value
         for batch in K.portions(batches, "__text", 2 << 20):
             _, one, which = np.unique(K.column(batch, "copy").to_numpy(), return_index=True, return_inverse=True)
             words, at = _words(K.column(batch, "__text").take(pa.array(one)))
             fp = fold(*_distinct(words, at))
             h, size = _shingles(words, at, width)
-            order = np.zeros(len(h), np.int64)
-            if len(known):
-                place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                order = np.where(known[place] == h, 1 + rank[place], 0)
+            order = common[h >> np.uint64(64 - SKETCH)]
             h = h[np.lexsort((h, order, np.repeat(np.arange(len(size)), size)))]
             n = np.where(size > 0, size - np.ceil(least * size - 1e-9).astype(np.int64) + 1, 0)
             own = np.zeros(len(batch), np.int64)
@@ -325,7 +340,7 @@ def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     """
     spark, path = docs.sparkSession, new_table(docs.sparkSession, "near-heads")
     keyed = docs.where(F.col(key).isNotNull())
-    tops = written(heads(keyed, key, text, width, least, common_shingles(keyed, key, text, width)), "near-heads", path)
+    tops = written(heads(keyed, key, text, width, least, commonness(keyed, text, width)), "near-heads", path)
     size = tops.agg(F.sum(F.size("prefix"))).first()[0] or 0
     roots = connected_components(near_edges(tops, keyed, text, width, least, size))
     classes = tops.groupBy("copy").agg(F.min(F.col("key").cast("long")).alias("first"))
