@@ -139,9 +139,31 @@ def find_secrets(versions: DataFrame, ledger: DataFrame | None = None, path: str
     whole = new if ledger is None else ledger.select("blob", "kind", "version", "found").unionByName(new)
     own = written(findings(whole, rules), "findings").select(F.col("blob").alias("__blob"), F.col("found").alias("__found"))
     names = keep or [path]
-    rows = versions.select(*names, blob_of(F.col(text)).alias("__blob")).join(own, "__blob", "left")
+    rows = versions.select(*names, blob_of(F.col(text)).alias("__blob"))
     empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    return rows.select(*names, F.coalesce("__found", empty).alias(found))
+    if not keep:
+        return rows.join(own, "__blob", "left").select(*names, F.coalesce("__found", empty).alias(found))
+    maybe = rows.join(F.broadcast(_sieve(own)), how="cross").withColumn("__maybe", F.getbit(F.get("__bits", F.shiftright(_place(), 6)), _place().bitwiseAND(63).cast("int")) == 1)
+    some = maybe.where("__maybe").drop("__bits", "__maybe").join(own, "__blob", "left").select(*names, F.coalesce("__found", empty).alias(found))
+    return some.unionByName(maybe.where("not __maybe").select(*names, empty.alias(found)))
+
+
+#: A sieve of blobs has 2 to this power bits: 512 KB.
+SIEVE = 22
+
+
+def _place() -> Column:
+    return F.shiftrightunsigned(F.xxhash64("__blob"), 64 - SIEVE).cast("int")
+
+
+def _sieve(own: DataFrame) -> DataFrame:
+    """One row of a bitmap of fixed size with a bit for each blob of `own`: texts without it have no findings, and
+    need not be shuffled to learn so. The bitmap lets some others pass, never fewer."""
+    bit = F.expr("shiftleft(1L, place & 63)")
+    words = own.select(_place().alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    every = own.sparkSession.range(1 << (SIEVE - 6)).select(F.col("id").cast("int").alias("word")).join(words, "word", "left")
+    dense = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    return every.agg(dense.alias("w")).select(F.col("w.bits").alias("__bits"))
 
 
 def redacted(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
