@@ -31,7 +31,7 @@ WORDS, LEAST = 5, 100
 #: A bitmap of survivors has 2 to this power bits: 8 MB.
 BITS = 26
 #: Counters that a task holds before it sends them, and that a partition should hold.
-RUN = 1 << 19
+RUN = 1 << 20
 #: Bytes of text that are worked on at once.
 PORTION = 2 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -117,6 +117,17 @@ def added(h: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     return every[new], np.add.reduceat(counts, new) if len(new) else counts
 
 
+def _first_bytes(h: np.ndarray) -> bytes:
+    """The first six of the eight bytes of each hash: enough to tell phrases apart but for a few, which count together."""
+    return np.ascontiguousarray((h >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _from_bytes(packed: pa.Buffer) -> np.ndarray:
+    out = np.zeros((packed.size // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
+
+
 class Summary:
     """A Misra-Gries summary that merges others: at most `capacity` counters stay, and `off`, what has been
     taken off each of them, is at most the mass divided by `capacity` + 1."""
@@ -153,7 +164,7 @@ def runs(source: DataFrame, levels: list[Broadcast], parts: int, lengths: list[i
         none = [None] * len(some)
         columns = [
             pa.array(np.tile(some.astype(np.int32), 2)), pa.array([*mass.tolist(), *none], pa.int64()),
-            pa.array([*none, *(h[a:b].tobytes() for a, b in cuts)], pa.binary()), pa.array([*none, *(n[a:b].astype("<i8").tobytes() for a, b in cuts)], pa.binary()),
+            pa.array([*none, *(_first_bytes(h[a:b]) for a, b in cuts)], pa.binary()), pa.array([*none, *(n[a:b].astype("<i8").tobytes() for a, b in cuts)], pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(columns, names=["part", "mass", "h", "n"])
 
@@ -208,7 +219,7 @@ def survivors(sent: DataFrame, parts: int, least: int, bits: int = BITS) -> Broa
                     mass += more.as_py()
                     continue
                 summary = summary or Summary(mass // least + 1)
-                h.append(np.frombuffer(one.as_buffer(), np.uint64))
+                h.append(_from_bytes(one.as_buffer()))
                 n.append(np.frombuffer(count.as_buffer(), np.int64))
                 held += len(h[-1])
                 if held > RUN:
