@@ -194,7 +194,7 @@ SELECT u.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT
 
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 
-_KEY = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[ \t\r\n]*Proc-Type: 4,ENCRYPTED[ \t\r\n]+DEK-Info: [A-Za-z0-9,-]+)?(?:[ \t\r\n]*[A-Za-z0-9+/=]{24,})*(?:[ \t\r\n]*[A-Za-z0-9+/=]*[ \t\r\n]*-----END [A-Z ]*PRIVATE KEY-----)?"
+_KEY = secret_scan.key_pattern(secret_scan.GAP).replace("'", "''")
 
 
 def _op10() -> str:

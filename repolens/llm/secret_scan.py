@@ -33,8 +33,21 @@ class Rule:
     version: int = 1
 
 
-#: A private key: its header, the lines of 24 or more base64 characters after it, and the shorter last line with the footer.
-_PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[ \t\r\n]*Proc-Type: 4,ENCRYPTED[ \t\r\n]+DEK-Info: [A-Za-z0-9,-]+)?(?:[ \t\r\n]*[A-Za-z0-9+/=]{24,})*+(?:[ \t\r\n]*[A-Za-z0-9+/=]*[ \t\r\n]*-----END [A-Z ]*PRIVATE KEY-----)?"
+#: What may stand between the lines of a key: white space; marks of quotes, comments, tables and lists; line ends
+#: written as escapes, and the operators that join string literals.
+GAP = r"""(?:[ \t\r\n>#*"',;|]|//[ \t]|\+[ \t\r\n]|\\+[nrt]?)*"""
+
+
+def key_pattern(gap: str, lines: str = "*") -> str:
+    """A private key: its header, the lines of 24 or more base64 characters after it, and the shorter last line
+    with the footer. `gap` is what may stand between lines; `lines` repeats them."""
+    begin, end = (f"-----{x} [A-Z ]*PRIVATE KEY-----" for x in ("BEGIN", "END"))
+    locked = f"(?:{gap}Proc-Type: 4,ENCRYPTED{gap}DEK-Info: [A-Za-z0-9,-]+)?"
+    return f"{begin}{locked}(?:{gap}[A-Za-z0-9+/=]{{24,}}){lines}(?:{gap}[A-Za-z0-9+/=]*{gap}{end})?"
+
+
+#: Gaps and lines give nothing back, so a text of many marks is passed once.
+_PEM = key_pattern(GAP + "+", "*+")
 
 #: Base kinds first, in the order that their spans are listed, then what this method adds. A hex or access
 #: match runs to the end of its characters, so one that is too short holds no other that is long enough:
@@ -43,7 +56,7 @@ RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""),
     Rule("access", r"AKIA[A-Z0-9]{14,}", 18),
     Rule("hex", r"[0-9a-f]{16,}", 16),
-    Rule("pem", _PEM, 1, version=2),
+    Rule("pem", _PEM, 1, version=3),
 )
 BASE = 3
 #: Code points of a block that `redacted` cuts pieces from.

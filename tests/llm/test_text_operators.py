@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 import re
 import time
@@ -304,7 +305,7 @@ def test_licences_of_messy_rows(spark, messy, nothing):
 
 # --- secrets -------------------------------------------------------------------------------------
 
-PLAIN = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), 12, 2), ("access", re.compile("AKIA[A-Z0-9]+"), 18, 0), ("hex", re.compile("[0-9a-f]+"), 16, 0), ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[ \t\r\n]*Proc-Type: 4,ENCRYPTED[ \t\r\n]+DEK-Info: [A-Za-z0-9,-]+)?(?:[ \t\r\n]*[A-Za-z0-9+/=]{24,})*(?:[ \t\r\n]*[A-Za-z0-9+/=]*[ \t\r\n]*-----END [A-Z ]*PRIVATE KEY-----)?"), 1, 0)]
+PLAIN = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), 12, 2), ("access", re.compile("AKIA[A-Z0-9]+"), 18, 0), ("hex", re.compile("[0-9a-f]+"), 16, 0), ("pem", re.compile(secret_scan.key_pattern(secret_scan.GAP + "+", "*+")), 1, 0)]
 
 
 def plain_secrets(text):
@@ -352,6 +353,25 @@ def test_a_private_key_is_masked_whole(spark):
     assert got[4].startswith("[SECRET]") and len(got[4]) < 80
 
 
+def test_a_private_key_is_masked_in_any_wrapping(spark):
+    lines = ["-----BEGIN RSA PRIVATE KEY-----", *(f"MIIEpAIBAAKCAQEA{i:04}" + "q7Rz/+x1" * 5 + "n+/t" for i in range(12)), "Ab12==", "-----END RSA PRIVATE KEY-----"]
+    join = lambda before, after, last="": "".join(before + x + after for x in lines) + last
+    wrapped = {
+        "escapes": '"' + "\\n".join(lines) + '"', "json": json.dumps({"key": "\n".join(lines)}), "json in json": json.dumps(json.dumps("\n".join(lines))),
+        "quoted": join("> ", "\n"), "twice quoted": join("> > ", "\r\n"), "hash": join("# ", "\n"), "slashes": join("// ", "\n"), "block comment": join(" * ", "\n"),
+        "literals": join('    "', '\\n"\n'), "joined": join('"', '\\n" +\n'), "list": join("  '", "',\n"), "yaml": "key: |\n" + join("      ", "\n"), "table": join("| ", " |\n"), "continued": join("", "\\n\\\n"),
+    }
+    rows = [(k, f"before {v} after") for k, v in wrapped.items()]
+    rows.append(("marks", "-----BEGIN PRIVATE KEY-----" + "+/ >#" * 100_000))
+    found = secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id string, text string"), keep=["doc_id", "text"], path="doc_id")
+    began = time.time()
+    got = {r[0]: r[1] for r in found.select("doc_id", secret_scan.redacted(found.text, found.found)).collect()}
+    assert time.time() - began < 40 and got.pop("marks").startswith("[SECRET]")
+    for name, text in got.items():
+        assert not any(x in text for x in lines) and "MIIE" not in text and "Ab12==" not in text, (name, text)
+        assert text.startswith("before") and text.endswith("after")
+
+
 def test_many_findings_in_a_long_text_take_seconds(spark):
     rng, word = random.Random(3), "0123456789abcdef"
     text = "".join("".join(rng.choice(word) for _ in range(24)) + rng.choice([" token = abcdefghijklmno ", " é😀 x ", "\n"]) * 2 for _ in range(50_000))
