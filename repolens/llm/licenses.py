@@ -6,7 +6,7 @@ and line ends within a sentence so vanish. From every such mark on, the words ar
 the known licence sentences: the longest that ends at a mark gives its identifier. The identifiers of a
 text, in order, are then matched against ordered rules, each a sequence of identifiers: a rule fits where
 its sequence stands in consecutive known sentences. Rules are tried from the longest to the shortest, and
-a sentence counts for one rule only. SPDX tags name their licences themselves.
+a sentence counts for one rule only. SPDX tags name their licences themselves, by identifiers of a list.
 
 The tables below are fixed values: public licence texts and notices. In a sentence `(a|b)` is a choice,
 `[a]` may be absent, `*` is one to twelve words of the licensor's, and `...` the rest of the sentence.
@@ -37,7 +37,7 @@ class Rule:
 
 _THIS = "[(this|the) (work|software|project|program|file|library|code|document|text|package) is] "
 _UNDER = _THIS + "[(released|licensed|distributed|available|published|provided)] under "
-_CHANGE = "you can redistribute it and or modify it under the terms of the "
+_CHANGE = "you can redistribute it and or modify it under the terms [and conditions] of the "
 SENTENCES = {
     "by-mit": "[" + _UNDER + "] [the] mit license",
     "by-apache-2": "[" + _UNDER + "] [the] apache license [version] 2 0 [the license]",
@@ -50,6 +50,12 @@ SENTENCES = {
     "by-agpl-3": _UNDER + "[the] (gnu affero general public license|gnu agpl|agpl) (version 3|v3|v 3|3) [0] [or later]",
     "by-mpl-2": _UNDER + "[the] (mozilla public license|mpl) [(version|v)] 2 0",
     "by-epl-2": _UNDER + "[the] (eclipse public license|epl) [(version|v)] 2 0",
+    "by-epl-1": _UNDER + "[the] (eclipse public license|epl) [(version|v)] (1 0|v1 0)",
+    "by-ofl-1.1": "[this font software is licensed under] [" + _UNDER + "] [the] sil open font license [(version|v)] 1 1",
+    "by-artistic-2": _UNDER + "[the] artistic license [(version|v)] 2 0",
+    "by-perl": "[this (program|library|module|package|distribution) is free software] [you can redistribute it and or modify it] under the same terms as [the] perl [5] [programming language system] [itself] ...",
+    "by-wtfpl": "[" + _UNDER + "] [the] (do what the fuck you want to public license|wtfpl) [(version|v) 2] ...",
+    "by-cddl": "[the contents of this file are] [subject to] [(use|used|released|licensed|distributed|available) under] the [terms of the] common development and distribution license ...",
     "by-isc": _UNDER + "[the] isc license",
     "by-zlib": _UNDER + "[the] zlib license",
     "by-bsl-1": _UNDER + "[the] boost software license [version 1 0]",
@@ -78,6 +84,13 @@ SENTENCES = {
     "gpl-free": "this (program|software|library|file) is free software",
     "gpl-whole": "this (program|software|library|file) is free software " + _CHANGE + "gnu general public license ...",
     "gpl-change": _CHANGE + "gnu general public license ...",
+    "gpl-only-2": _CHANGE + "gnu general public license [(version|v)] 2 as published by the free software foundation ...",
+    "gpl-only-3": _CHANGE + "gnu general public license [(version|v)] 3 as published by the free software foundation ...",
+    "lgpl-change": _CHANGE + "gnu (lesser|library) general public license ...",
+    "agpl-change": _CHANGE + "gnu affero general public license ...",
+    "either-2": "either version 2 of the license ...",
+    "either-2.1": "either version 2 1 of the license ...",
+    "either-3": "either version 3 of the license ...",
     "gpl-change-2": _CHANGE + "gnu general public license as published by the free software foundation either version 2 of the license ...",
     "gpl-change-3": _CHANGE + "gnu general public license as published by the free software foundation either version 3 of the license ...",
     "lgpl-change-2.1": _CHANGE + "gnu lesser general public license as published by the free software foundation either version 2 1 of the license ...",
@@ -103,6 +116,12 @@ SENTENCES = {
 }
 
 _BSD = ("bsd-grant", "bsd-source", "bsd-binary")
+#: What follows "is free software": with a comma the version is in the same sentence, with a semicolon in the next.
+_GNU = (
+    ("GPL-2.0", ("gpl-change-2",)), ("GPL-2.0", ("gpl-change", "either-2")), ("GPL-2.0", ("gpl-only-2",)), ("GPL-3.0", ("gpl-change-3",)), ("GPL-3.0", ("gpl-change", "either-3")), ("GPL-3.0", ("gpl-only-3",)),
+    ("LGPL-2.1", ("lgpl-change-2.1",)), ("LGPL-2.1", ("lgpl-change", "either-2.1")), ("LGPL-2.0", ("lgpl-change", "either-2")), ("LGPL-3.0", ("lgpl-change-3",)), ("LGPL-3.0", ("lgpl-change", "either-3")),
+    ("AGPL-3.0", ("agpl-change-3",)), ("AGPL-3.0", ("agpl-change", "either-3")), ("GPL", ("gpl-change",)), ("LGPL", ("lgpl-change",)), ("AGPL", ("agpl-change",)),
+)
 RULES = (
     Rule("MIT", ("mit-grant", "mit-keep", "as-is", "no-liability"), "text"),
     Rule("MIT", ("mit-grant", "mit-keep", "as-is"), "text"),
@@ -113,11 +132,8 @@ RULES = (
     Rule("ISC", ("isc-grant", "isc-disclaim"), "text"),
     Rule("Apache-2.0", ("by-apache-2", "apache-use", "apache-copy", "apache-unless", "apache-see"), "header"),
     Rule("Apache-2.0", ("by-apache-2", "apache-use", "apache-copy"), "header"),
-    *[Rule(name, ("gpl-free", change, "gpl-hope", *more), "header")
-      for name, change in (("GPL-2.0", "gpl-change-2"), ("GPL-3.0", "gpl-change-3"), ("LGPL-2.1", "lgpl-change-2.1"), ("LGPL-3.0", "lgpl-change-3"), ("AGPL-3.0", "agpl-change-3"), ("GPL", "gpl-change"))
-      for more in (("gpl-implied", "gpl-details", "gpl-received"), ("gpl-implied", "gpl-details"), ())],
-    *[Rule(name, ("gpl-free", change), "part")
-      for name, change in (("GPL-2.0", "gpl-change-2"), ("GPL-3.0", "gpl-change-3"), ("LGPL-2.1", "lgpl-change-2.1"), ("LGPL-3.0", "lgpl-change-3"), ("AGPL-3.0", "agpl-change-3"), ("GPL", "gpl-change"))],
+    *[Rule(name, ("gpl-free", *change, *more), kind) for name, change in _GNU for kind, more in (
+        ("header", ("gpl-hope", "gpl-implied", "gpl-details", "gpl-received")), ("header", ("gpl-hope", "gpl-implied", "gpl-details")), ("header", ("gpl-hope",)), ("part", ()))],
     Rule("GPL", ("gpl-whole", "gpl-hope"), "header"),
     Rule("GPL", ("gpl-whole",), "part"),
     Rule("GPL-2.0", ("gpl-title-2",), "text"),
@@ -132,7 +148,7 @@ RULES = (
     Rule("MIT", ("mit-grant",), "part"),
     *[Rule(licence, (name,)) for name, licence in (
         ("by-mit", "MIT"), ("by-apache-2", "Apache-2.0"), ("by-bsd-2", "BSD-2-Clause"), ("by-bsd-3", "BSD-3-Clause"), ("by-gpl-3", "GPL-3.0"), ("by-gpl-2", "GPL-2.0"),
-        ("by-lgpl-3", "LGPL-3.0"), ("by-lgpl-2.1", "LGPL-2.1"), ("by-agpl-3", "AGPL-3.0"), ("by-mpl-2", "MPL-2.0"), ("by-epl-2", "EPL-2.0"), ("by-isc", "ISC"), ("by-zlib", "Zlib"),
+        ("by-lgpl-3", "LGPL-3.0"), ("by-lgpl-2.1", "LGPL-2.1"), ("by-agpl-3", "AGPL-3.0"), ("by-mpl-2", "MPL-2.0"), ("by-epl-2", "EPL-2.0"), ("by-epl-1", "EPL-1.0"), ("by-ofl-1.1", "OFL-1.1"), ("by-artistic-2", "Artistic-2.0"), ("by-perl", "Artistic-1.0-Perl"), ("by-wtfpl", "WTFPL"), ("by-cddl", "CDDL-1.0"), ("by-isc", "ISC"), ("by-zlib", "Zlib"),
         ("by-bsl-1", "BSL-1.0"), ("by-unlicense", "Unlicense"), ("by-cc0", "CC0-1.0"), ("by-cc-by-4", "CC-BY-4.0"), ("by-cc-by-sa-4", "CC-BY-SA-4.0"), ("by-cc-by-nc-4", "CC-BY-NC-4.0"),
         ("by-cc-by-nd-4", "CC-BY-ND-4.0"))],
 )
@@ -141,10 +157,26 @@ _TOKEN = re.compile(r"(?P<word>[^\W_]+)|[.!?;:](?=\s|\Z)|(?P<line>\n)")
 _WORD = re.compile(r"[^\W_]+")
 _SPDX = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]+)", re.I)
 _SPDX_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+-]*")
+#: An exception to a licence, which is none itself.
+_EXCEPTION = re.compile(r"\bwith[ \t]+[A-Za-z0-9.+-]+", re.I)
+# Identifiers of licences that an SPDX tag may name, whatever the case and with `+`, `-only` or
+# `-or-later` after them. Other words of a tag name none.
+SPDX = """
+0BSD AFL-3.0 AGPL-1.0 AGPL-3.0 Apache-1.0 Apache-1.1 Apache-2.0 APSL-2.0 Artistic-1.0 Artistic-1.0-Perl Artistic-2.0 BlueOak-1.0.0 BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause
+BSD-3-Clause-Clear BSD-4-Clause BSD-4-Clause-UC BSL-1.0 bzip2-1.0.6 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1
+CECILL-2.1 CPL-1.0 curl ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 FSFAP FTL GFDL-1.1 GFDL-1.2 GFDL-1.3 GPL-1.0 GPL-2.0 GPL-3.0 HPND ICU IJG ISC JSON LGPL-2.0 LGPL-2.1 LGPL-3.0 Libpng libtiff LPPL-1.3c
+MIT MIT-0 MPL-1.0 MPL-1.1 MPL-2.0 MS-PL MS-RL MulanPSL-2.0 NCSA NTP ODbL-1.0 OFL-1.0 OFL-1.1 OLDAP-2.8 OpenSSL OSL-3.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 Ruby SSPL-1.0 TCL Unicode-3.0 Unicode-DFS-2016
+Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1
+""".split()
+_KNOWN = frozenset(x.upper() for x in SPDX)
 #: Marks among the words: a sentence ends; a line ends.
 STOP, LINE = "|", "~"
-#: Words that a licensor's name may have, and words of a sentence's rest.
-SLOT, REST = 12, 400
+#: Words that a licensor's name may have.
+SLOT = 12
+
+
+def is_spdx(name: str) -> bool:
+    return re.sub(r"(\+|-ONLY|-OR-LATER)$", "", name.upper()) in _KNOWN or name.upper().startswith("LICENSEREF-")
 
 
 def tree_of(sentence: str) -> list:
@@ -241,7 +273,7 @@ class Recogniser:
                 at += 1
             if "..." in state and (best is None or own > best[0]):
                 upto = at
-                while upto < min(len(words), at + REST) and words[upto] != STOP:
+                while upto < len(words) and words[upto] != STOP:
                     upto += 1
                 best = (own, upto, state["..."][0][""])
             if at >= len(words) or words[at] == STOP:
@@ -289,10 +321,11 @@ class Recogniser:
                     taken[i : i + n] = True
                     out.append((rule.licence, rule.kind, found[i][1], found[i + n - 1][2]))
         for m in _SPDX.finditer(text):
-            for part in _SPDX_ID.finditer(text, m.start(1), m.end(1)):
-                name = part.group().rstrip(".")
-                if name.upper() not in ("AND", "OR", "WITH"):
-                    out.append((name, "spdx", part.start(), part.start() + len(name)))
+            tag = _EXCEPTION.sub(lambda x: " " * len(x[0]), m[1])
+            for part in _SPDX_ID.finditer(tag):
+                name, at = part.group().rstrip("."), m.start(1) + part.start()
+                if is_spdx(name):
+                    out.append((name, "spdx", at, at + len(name)))
         return [x[0] for x in found], sorted(out, key=lambda m: (m[2], m[0]))
 
 

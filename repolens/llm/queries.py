@@ -139,6 +139,7 @@ def _op2() -> str:
         steps += f",\nr{i} AS (SELECT *, (length(s{i}) - length(replace(s{i}, '{whole}', ''))) // {len(whole)} AS n{i}, replace(s{i}, '{whole}', '#') AS s{i + 1} FROM {f'r{i - 1}' if i else 'd'})"
     found = ", ".join(f"CASE WHEN n{i} > 0 THEN '{r.licence}' END" for i, r in enumerate(rules))
     stop, line = "\ue000", "\ue001"
+    spdx = ", ".join(f"'{x.upper()}'" for x in licenses.SPDX)
     return rf"""
 WITH l AS (SELECT doc_id, replace(regexp_replace(lower(coalesce(text, '')), '[.!?;:]([\s\p{{Z}}\x0B\x1C-\x1F\x85]|$)', ' {stop} \1', 'g'), chr(10), ' {line} ') AS t FROM documents),
 n AS (SELECT doc_id, regexp_replace('{stop} ' || t || ' {stop}', '[^\p{{L}}\p{{N}}{stop}{line}]+', ' ', 'g') AS t FROM l),
@@ -146,8 +147,8 @@ b AS (SELECT doc_id, replace(replace(regexp_replace(t, '[{stop}{line}](?: *[{sto
 f AS (SELECT doc_id, regexp_extract_all(t, '[|~] ({every})[|~]', 1) AS ms FROM b),
 k AS (SELECT doc_id, i, CASE {names} END AS id FROM (SELECT doc_id, unnest(ms) AS m, unnest(range(len(ms))) AS i FROM f)),
 {steps},
-x AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)spdx-license-identifier:[ \t]*([^\r\n]+)', 1)) AS e FROM documents),
-y AS (SELECT doc_id, rtrim(u, '.') AS u FROM (SELECT doc_id, unnest(regexp_extract_all(e, '[A-Za-z0-9][A-Za-z0-9.+-]*')) AS u FROM x) WHERE upper(rtrim(u, '.')) NOT IN ('AND', 'OR', 'WITH')),
+x AS (SELECT doc_id, regexp_replace(e, '(?i)\bwith[ \t]+[A-Za-z0-9.+-]+', ' ', 'g') AS e FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)spdx-license-identifier:[ \t]*([^\r\n]+)', 1)) AS e FROM documents)),
+y AS (SELECT doc_id, rtrim(u, '.') AS u FROM (SELECT doc_id, unnest(regexp_extract_all(e, '[A-Za-z0-9][A-Za-z0-9.+-]*')) AS u FROM x) WHERE regexp_replace(upper(rtrim(u, '.')), '([+]|-ONLY|-OR-LATER)$', '') IN ({spdx}) OR upper(u) LIKE 'LICENSEREF-%'),
 z AS (SELECT doc_id, count(*) AS n, list(u) AS us FROM y GROUP BY doc_id)
 SELECT f.doc_id, len(ms)::BIGINT AS n_sentences, (coalesce({" + ".join(f"n{i}" for i in range(len(rules)))}, 0) + coalesce(z.n, 0))::BIGINT AS n_matches,
        array_to_string(list_sort(list_distinct(list_filter(list_concat([{found}], coalesce(us, [])), lambda v: v IS NOT NULL))), ',') AS licences

@@ -5,11 +5,12 @@ import random
 import re
 import time
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from repolens.llm import decontam, langid, licenses, secret_scan, substrings
+from repolens.llm import decontam, langid, licenses, queries, secret_scan, substrings
 
 # --- repeats -------------------------------------------------------------------------------------
 
@@ -237,6 +238,71 @@ def test_headers_of_licences(mark):
         assert [m[0] for m in licenses.Recogniser()(whole)[1]] == [licence], (licence, licenses.Recogniser()(whole))
 
 
+FSF = """This {what} is free software{mark} you can redistribute it and/or
+modify it under the terms of the GNU {family} Public License as published by
+the Free Software Foundation{mark} either version {version} of the License, or (at
+your option) any later version.
+
+This {what} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+{family} Public License for more details."""
+KERNEL = """This program is free software; you can redistribute it and/or modify
+it under the terms {more}of the GNU General Public License version 2 as
+published by the Free Software Foundation."""
+
+
+@pytest.mark.parametrize("line", ["", "# ", " * ", "// "])
+@pytest.mark.parametrize("mark", [";", ":", ","])
+def test_notices_with_any_stop_keep_their_version(mark, line):
+    read = licenses.Recogniser()
+    cases = {("General", "2"): "GPL-2.0", ("General", "3"): "GPL-3.0", ("Lesser General", "2.1"): "LGPL-2.1", ("Library General", "2"): "LGPL-2.0", ("Lesser General", "3"): "LGPL-3.0", ("Affero General", "3"): "AGPL-3.0"}
+    for (family, version), licence in cases.items():
+        if (mark, family) == (",", "Library General"):
+            continue
+        text = FSF.format(what="library" if "L" in family else "program", mark=mark, family=family, version=version)
+        # a comma after "free software" makes it one sentence: only the one between the halves is tried
+        text = text.replace("free software,", "free software;")
+        whole = "x.\n\n" + "\n".join(line + part for part in text.split("\n")) + "\n"
+        assert [m[0] for m in read(whole)[1]] == [licence], whole
+
+
+def test_more_licences():
+    read = licenses.Recogniser()
+    for more in ("", "and conditions "):
+        assert [m[0] for m in read(KERNEL.format(more=more))[1]] == ["GPL-2.0"]
+    cases = {
+        "This Font Software is licensed under the SIL Open Font License, Version 1.1.": "OFL-1.1", "Released under the Artistic License 2.0.": "Artistic-2.0",
+        "You can redistribute it and/or modify it under the same terms as Perl itself.": "Artistic-1.0-Perl", "Licensed under the Eclipse Public License v1.0": "EPL-1.0", "Licensed under the WTFPL": "WTFPL",
+        "The contents of this file are subject to the terms of the Common Development and Distribution License (the \"License\").\nYou may not use this file except in compliance with the License.": "CDDL-1.0",
+    }
+    for text, licence in cases.items():
+        assert [m[0] for m in read(text)[1]] == [licence], text
+
+
+def test_the_rest_of_a_sentence_has_no_end():
+    for n in (10, 500, 20_000):
+        text = "This software is provided as is " + "word " * n + "\nlicensed under the MIT license\nmore."
+        assert licenses.Recogniser()(text)[0] == ["as-is"]
+
+
+def test_spdx_tags_name_licences_alone(spark):
+    tags = {
+        "see the LICENSE file for details": [], "GPL-2.0-only WITH Linux-syscall-note": ["GPL-2.0-only"], "(MIT OR Apache-2.0) AND lgpl-2.1-or-later": ["MIT", "Apache-2.0", "lgpl-2.1-or-later"],
+        "MIT */": ["MIT"], "GPL-2.0+": ["GPL-2.0+"], "NONE": [], "LicenseRef-Own AND 0BSD": ["LicenseRef-Own", "0BSD"], "BSD-3-Clause.": ["BSD-3-Clause"],
+    }
+    for tag, want in tags.items():
+        text = f"// SPDX-License-Identifier: {tag}\nint x;"
+        found = licenses.Recogniser()(text)[1]
+        assert [m[0] for m in found] == want and all(text[m[2] : m[3]] == m[0] for m in found)
+    rows = [(i, f"# SPDX-License-Identifier: {tag}") for i, tag in enumerate(tags)] + [(100, FSF.format(what="program", mark=";", family="General", version="2")), (101, KERNEL.format(more="")), (102, "This software is provided as is " + "word " * 900 + "\nlicensed under the MIT license")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    duck = duckdb.connect()
+    documents = docs.toPandas()  # noqa: F841
+    theirs = duck.execute(queries.oracle_sql()["op2_licences"]).fetchall()
+    assert sorted(map(tuple, licenses.summarised(licenses.find_licences(docs)).collect())) == sorted(theirs)
+
+
 WRAPPED = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated files, to deal in the Software without
