@@ -162,7 +162,7 @@ class Library:
         joined = K.IS_SPACE[data[at[:-1]]] & ends_a_word(data, at[1:]) & (size <= 4096)
         many, rest = np.flatnonzero(joined), np.flatnonzero(~joined)
         text, upto = data[K.ragged(at[:-1][many], size[many])].tobytes(), np.cumsum(size[many])
-        cuts = np.append(np.flatnonzero(np.diff(upto // 8192)), len(many) - 1) if len(many) else many
+        cuts = np.append(np.flatnonzero(np.diff(upto // 1024)), len(many) - 1) if len(many) else many
         ends_at = upto[cuts].tolist()
         flat, _ = self._ids([text[a:b].decode() for a, b in zip([0, *ends_at], ends_at)])
         ends = np.cumsum(self.bytes[flat])
