@@ -127,7 +127,7 @@ def extract_symbols(files: DataFrame) -> DataFrame:
     part = lambda field: F.transform("heads", lambda h: h[field])
     own = lambda field: F.transform("marks", lambda m: m[field])
     found = scopes(F.col("language"), F.col("n_lines"), part("line"), part("kind"), own("line"), own("value"), own("opens"))
-    with_ends = some.where(F.size("heads") > 0).withColumn("found", found)
+    with_ends = some.withColumn("found", found)  # a filter of heads here would be moved below what makes them, and make them twice
     named = with_ends.withColumn("of", F.transform("found", lambda x: F.get("heads", x["parent"])["name"]))
     rows = named.select("run_id", "file_id", "language", F.posexplode(F.filter(F.arrays_zip("heads", "found", "of"), lambda p: p["found"]["kept"])).alias("ordinal", "p"))
     rows = rows.select("run_id", "file_id", "language", "ordinal", "p.heads.*", F.col("p.of").alias("parent_name"), F.col("p.found.end").alias("end"))

@@ -2,7 +2,7 @@
 
     chunks/version=<n>/bucket=<b>/   what batch n wrote for a bucket: for each file it touched all chunks, and one
                                      row without a chunk index that names the file (`gone`: it has none any more)
-    manifest/version=<n>/            after batch n, the versions of every bucket, oldest first
+    manifest/version=<n>.json        after batch n, the versions of every bucket, oldest first
     statistics/version=<n>/          what batch n discovered, reused, embedded and deleted, per run
 
 A file's chunks are those of the newest version of its bucket that names it. Runs are dealt to `Layout.runs`
@@ -14,6 +14,7 @@ version again, so a batch never meets more of them, however many there were befo
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,7 +60,7 @@ class ChunkTable:
         if not fs.exists(folder):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return sorted(int(n.split("=")[1]) for n in names if n.startswith("version=") and fs.exists(self._folder("manifest", n, "_SUCCESS")))
+        return sorted(int(n[8:-5]) for n in names if n.startswith("version=") and n.endswith(".json"))
 
     def manifest(self, before: int | None = None) -> dict[int, list[int]]:
         """The versions of each bucket after the newest batch, of those before `before`."""
@@ -67,8 +68,22 @@ class ChunkTable:
         return self._manifest(found[-1]) if found else {}
 
     def _manifest(self, version: int) -> dict[int, list[int]]:
-        rows = self.spark.read.schema("bucket int, versions array<long>").parquet(f"{self.path}/manifest/version={version}")
-        return {r["bucket"]: r["versions"] for r in rows.collect()}  # one row for each bucket of the layout
+        """One entry for each bucket of the layout."""
+        stream = self._system().open(self._folder("manifest", f"version={version}.json"))
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return {int(b): v for b, v in json.loads(text).items()}
+
+    def _list(self, version: int, manifest: dict[int, list[int]]) -> None:
+        """Puts a manifest in place whole: readers see the old one or the new one."""
+        fs, whole, part = self._system(), self._folder("manifest", f"version={version}.json"), self._folder("manifest", f"_version={version}")
+        stream = fs.create(part, True)
+        stream.write(bytearray(json.dumps({b: v for b, v in sorted(manifest.items()) if v}).encode()))
+        stream.close()
+        fs.delete(whole, False)
+        fs.rename(part, whole)
 
     # --- reading ---
 
@@ -122,8 +137,7 @@ class ChunkTable:
         for b in touched:
             kept = [] if b in whole else manifest.get(b, [])
             after[b] = [*kept, number] if f"bucket={b}" in there else kept
-        listed = self.spark.createDataFrame([(b, v) for b, v in sorted(after.items()) if v], "bucket int, versions array<long>")
-        listed.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/version={number}")
+        self._list(number, after)
         self._clean(number, after)
 
     def _clean(self, number: int, after: dict[int, list[int]]) -> None:
@@ -138,4 +152,4 @@ class ChunkTable:
                 fs.delete(self._folder("chunks", f"version={v}", f"bucket={b}"), True)
             for v in {v for _, v in gone} - {v for _, v in live}:
                 fs.delete(self._folder("chunks", f"version={v}"), True)
-            fs.delete(self._folder("manifest", f"version={version}"), True)
+            fs.delete(self._folder("manifest", f"version={version}.json"), False)
