@@ -98,11 +98,13 @@ def candidates(queries: DataFrame, chunks: DataFrame, limit: int = 10, chunk_blo
     dealt = small_enough(stored(parts.join(blocks, "repository_id"), "blocks"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one_of = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    # queries may come from the chunks themselves: the keys of the two sides have names of their own
     left = there.select("repository_id", "chunk_id", "embedding").join(dealt, "repository_id").withColumn("part", one_of("chunk_id", "parts")).withColumn("block", each("blocks")).drop("parts", "blocks")
     right = asked.select("repository_id", "query_id", "vector").join(dealt, "repository_id").withColumn("block", one_of("query_id", "blocks")).withColumn("part", each("parts")).drop("parts", "blocks")
     schema = T.StructType([T.StructField("query_id", T.StringType()), chunks.schema["chunk_id"], T.StructField("semantic_score", T.DoubleType())])
     key = ["repository_id", "part", "block"]
-    scored = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_block_scores(pool), schema)
+    own, their = (side.select(*[F.col(k).alias(f"{name}_{k}") for k in key], *rest) for side, name, rest in ((left, "chunks", ("chunk_id", "embedding")), (right, "asked", ("query_id", "vector"))))
+    scored = own.groupBy(*own.columns[:3]).cogroup(their.groupBy(*their.columns[:3])).applyInArrow(_block_scores(pool), schema)
     return _best(scored, pool).join(asked.select("query_id", "query"), "query_id").join(there.drop("embedding"), "chunk_id")
 
 
