@@ -51,8 +51,8 @@ def _repos(spark: SparkSession, d: str) -> DataFrame:
 def a1_read_tree(spark, d):
     """The texts as a tree of one file each, read back."""
     root = shared_folder(spark, "tree")
-    texts = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    texts.write.partitionBy("doc").option("maxRecordsPerFile", 1).text(root)
+    texts = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("doc"), "text")
+    tree.write_tree(texts, root, "doc", F.coalesce("text", F.lit("")))
     found = tree.read_tree(spark, root).where("name like 'part-%'")
     return found.select(X.parent_folder(F.col("path")).alias("folder"), "size", F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
 

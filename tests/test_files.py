@@ -146,3 +146,23 @@ def test_roots_are_names(spark, tmp_path, name):
     found = {r.path: (r.name, r.size, r.content) for r in tree.read_tree(spark, str(root)).collect()}
     assert found == {"one.txt": ("one.txt", 4, "eins"), "sub/two (2).txt": ("two (2).txt", 400, "zwei" * 100)}
     assert [r.path for r in tree.read_tree(spark, f"{root}/", max_bytes=100).collect()] == ["one.txt"]
+
+
+def test_a_tree_is_listed_and_read_by_tasks(spark, tmp_path):
+    """The driver holds no listing of the tree, however many files it has; each row has a file of its own."""
+    rows = spark.range(400).selectExpr("CASE WHEN id > 0 THEN id - id % 3 END AS doc", "CASE WHEN id % 5 > 0 THEN concat('é', id) ELSE '' END AS text")
+    root = tmp_path / "tree"
+    tree.write_tree(rows, str(root), "doc", F.col("text"))
+    (root / "_hidden").mkdir()
+    (root / "_hidden" / "a").write_text("no")
+    (root / "_x=1" / "deep" / "er").mkdir(parents=True)
+    (root / "_x=1" / "deep" / "er" / "f.txt").write_bytes(b"x" * (9 << 20))
+    (root / ".git").write_text("no")
+    (root / "empty").mkdir()
+    found = tree.read_tree(spark, str(root))
+    assert not any(str(root) in f for f in found.inputFiles())
+    got = sorted((r.path.rsplit("/", 1)[0], r.size, r.content) for r in found.collect())
+    want = [(f"doc={'__HIVE_DEFAULT_PARTITION__' if r.doc is None else r.doc}", len(r.text.encode()) + 1, r.text + "\n") for r in rows.collect()]
+    assert got == sorted([*want, ("_x=1/deep/er", 9 << 20, "x" * (9 << 20))])
+    (tmp_path / "none").mkdir()
+    assert tree.read_tree(spark, str(tmp_path / "none")).count() == 0
