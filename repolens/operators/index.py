@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,20 +33,29 @@ def diff_statistics(diff: DataFrame) -> DataFrame:
 Provider = Callable[[list[str]], "np.ndarray | list[list[float]]"]
 
 
-def _in_batches(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """The rows again, in frames of `size` rows; only the last may have fewer."""
-    held: list[pd.DataFrame] = []
+def _in_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches of `size` rows; only the last may have fewer. Of a batch that came in, no more than
+    the rows of the next call are kept once another is asked for."""
+    held: list[pa.RecordBatch] = []
     n = 0
-    for frame in frames:
-        held.append(frame)
-        n += len(frame)
-        if n >= size:
-            every = pd.concat(held, ignore_index=True) if len(held) > 1 else frame
-            whole = n - n % size
-            yield from (every.iloc[i : i + size] for i in range(0, whole, size))
-            held, n = [every.iloc[whole:]], n - whole
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            held.append(batch.slice(at, size - n))
+            at += held[-1].num_rows
+            n += held[-1].num_rows
+            if n == size:
+                yield _one(held)
+                held, n = [], 0
+        if held:
+            held = [_one([held[0].slice(0, 0), *held])]
+        del batch
     if n:
-        yield pd.concat(held, ignore_index=True)
+        yield _one(held)
+
+
+def _one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.concat_batches(held)
 
 
 def embed_batches(rows: DataFrame, provider: Callable[[], Provider], text: str = "content", batch: int = 96) -> DataFrame:
@@ -55,15 +64,17 @@ def embed_batches(rows: DataFrame, provider: Callable[[], Provider], text: str =
     the rows come in. A provider that returns another number of vectors is an error."""
     schema = T.StructType([*rows.drop("embedding").schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = rows.drop("embedding").columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embed = provider()
-        for frame in _in_batches(batches, batch):
-            vectors = [np.asarray(v, np.float32) for v in embed(frame[text].tolist())]
-            if len(vectors) != len(frame):
-                raise ValueError(f"the provider returned {len(vectors)} vectors for {len(frame)} texts")
-            yield frame.assign(embedding=vectors)
+        for part in _in_batches(batches, batch):
+            vectors = [np.asarray(v, np.float32) for v in embed(part.column(names.index(text)).to_pylist())]
+            if len(vectors) != len(part):
+                raise ValueError(f"the provider returned {len(vectors)} vectors for {len(part)} texts")
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*names, "embedding"])
 
-    return rows.drop("embedding").mapInPandas(run, schema)
+    return rows.drop("embedding").mapInArrow(run, schema)
 
 
 def embed_once(rows: DataFrame, provider: Callable[[], Provider], known: str, text: str = "content", batch: int = 96, waves: int = 8) -> DataFrame:

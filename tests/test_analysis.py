@@ -6,6 +6,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from repolens.operators import chunks, graph, index, rules, symbols
@@ -314,3 +315,13 @@ def test_a_retry_embeds_only_what_is_open(spark, tmp_path):
     again = asked.value
     index.embed_once(rows, provider, str(tmp_path / "known"), waves=6).collect()
     assert asked.value == again
+
+
+def test_what_is_held_between_calls_is_as_small_as_a_call():
+    """Rows that wait for the next call do not hold the batch that they came in."""
+    given = (pa.record_batch([pa.array(["x" * 1000] * 1010)], names=["content"]) for _ in range(4))
+    before, sizes, most = pa.total_allocated_bytes(), [], 0
+    for part in index._in_batches(given, 96):
+        sizes.append(len(part))
+        most = max(most, pa.total_allocated_bytes() - before)
+    assert sizes == [96] * 42 + [8] and most < 1.5 * 1010 * 1000
