@@ -6,11 +6,14 @@ Equal texts are one class. Classes become candidate pairs in three ways:
    of `simhash`; a bucket links each text to the least of its group.
 2. Hubs: shingles have one order, rare ones first; of two sets with a Jaccard similarity of `least`, each
    has a common shingle among its first |s| - ceil(least |s|) + 1 (its prefix). Every text is paired with
-   one text of each shingle of its prefix.
-3. The rest: pairs of 1 and 2 are verified on the exact shingles and joined to groups. Then all pairs
-   that share a shingle in their prefixes and are in two groups by then are verified. At least one text of
-   such a pair is outside the largest group of the shingle, so a family of copies that is joined already
-   costs nothing, however large.
+   one text of each shingle of its prefix, one that has it early: few shingles of that text are its own.
+3. Pivots: pairs of 1 and 2 are verified on the exact shingles and joined to groups. Where common shingles are
+   still open, each text outside a shingle's largest group is paired with two texts of that group and one outside it,
+   and what is near is joined; again while that halves the open pairs. Each such round has at most three pairs
+   for each text of a shingle.
+4. The rest: all pairs that share a shingle in their prefixes and are in two groups by then are verified. At
+   least one text of such a pair is outside the largest group of the shingle, so a family of copies that is joined
+   already costs nothing, however large.
 
 So no near pair is lost: it is verified, or its ends are chained by verified pairs.
 
@@ -44,6 +47,8 @@ RADIUS = 2
 SKETCH = 22
 #: Texts of one shingle that a task takes from the one side, with all of the other.
 PART = 1024
+#: Open pairs for each text of an open shingle from which pivots are taken; below it the rest is as small.
+OPEN = 4
 #: The sieve has 2 to this power bits: 32 MB.
 BITS = 28
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -242,9 +247,9 @@ def _may_be_near(a: str, b: str, least: float) -> Column:
 
 
 def met(live: DataFrame) -> DataFrame:
-    """`live(s, copy, size, pos)` with hub: one text of the shingle; only shingles of two texts or more."""
-    hubs = live.groupBy("s").agg(F.min(F.struct("copy", "size", "pos")).alias("hub"), F.max("copy").alias("last"))
-    return live.join(hubs.where("hub.copy < last").drop("last"), "s")
+    """`live(s, copy, size, pos)` with hub: the text of the shingle that has it earliest; only shingles of two texts or more."""
+    hubs = live.groupBy("s").agg(F.min(F.struct("pos", "copy", "size")).alias("hub"), F.min("copy").alias("first"), F.max("copy").alias("last"))
+    return live.join(hubs.where("first < last").drop("first", "last"), "s")
 
 
 def hub_pairs(shared: DataFrame, least: float) -> DataFrame:
@@ -254,23 +259,40 @@ def hub_pairs(shared: DataFrame, least: float) -> DataFrame:
     return both.select(*_pair(F.col("own.copy"), F.col("hub.copy")))
 
 
-def rest_pairs(shared: DataFrame, edges: DataFrame, least: float) -> DataFrame:
-    """Distinct pairs u < v of texts of a shingle that `edges` leave in two groups; a common shingle is
-    dealt to parts. One end of each pair is outside the largest group of the shingle."""
+def open_shingles(shared: DataFrame, edges: DataFrame, path: str) -> tuple[DataFrame, int, int]:
+    """The texts of shingles that `edges` leave in two groups or more, written to `path`: (s, copy, size, pos, root, top,
+    parts), top the largest group of the shingle; how many they are; and how many pairs at most are open."""
     roots = connected_components(edges).withColumnRenamed("node", "copy")
     named = shared.select("s", "copy", "size", "pos").join(roots, "copy", "left").withColumn("root", F.coalesce("root", "copy"))
+    named = named.dropDuplicates(["s", "copy"])
     groups = named.groupBy("s", "root").agg(F.count("*").alias("n")).groupBy("s")
-    open_ones = groups.agg(F.max(F.struct("n", "root"))["root"].alias("top"), F.sum("n").alias("all"), F.count("*").alias("groups")).where("groups > 1")
-    path = new_table(shared.sparkSession, "open-shingles")
-    live = written(named.join(open_ones.select("s", "top", F.ceil(F.col("all") / PART).cast("int").alias("parts")), "s").dropDuplicates(["s", "copy"]), "open-shingles", path)
+    several = groups.agg(F.max(F.struct("n", "root"))["root"].alias("top"), F.sum("n").alias("all"), F.count("*").alias("groups")).where("groups > 1")
+    live = written(named.join(several.select("s", "top", F.ceil(F.col("all") / PART).cast("int").alias("parts"), "all"), "s"), "open-shingles", path)
+    n, pairs = live.agg(F.count("*"), F.sum(F.when(F.col("root") != F.col("top"), F.col("all")))).first()
+    return live.drop("all"), n, pairs or 0
+
+
+def pivot_pairs(live: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs u < v of the texts outside the largest group of an open shingle with two texts of that group,
+    the earliest and any, and with the earliest text outside it."""
+    early, inside = F.struct("pos", "copy", "size", "root"), F.col("root") == F.col("top")
+    any_one = F.struct(F.xxhash64("copy", "s").alias("h"), "pos", "copy", "size", "root")
+    ends = live.groupBy("s").agg(F.min(F.when(inside, early)).alias("p0"), F.min(F.when(inside, any_one)).alias("p1"), F.min(F.when(~inside, early)).alias("p2"))
+    others = [F.struct(*[F.col(f"{p}.{c}").alias(c) for c in ("copy", "size", "pos", "root")]) for p in ("p0", "p1", "p2")]
+    outside = live.where(~inside).select("s", F.struct("copy", "size", "pos", "root").alias("own"))
+    both = outside.join(ends.select("s", F.array(*others).alias("others")), "s").select("own", F.explode("others").alias("other"))
+    near = (F.col("own.root") != F.col("other.root")) & _may_be_near("own", "other", least)
+    return both.where(near).select(*_pair(F.col("own.copy"), F.col("other.copy"))).distinct()
+
+
+def rest_pairs(live: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs u < v of texts of an open shingle in two groups; a common shingle is dealt to parts. One end of
+    each pair is outside the largest group of the shingle."""
     a = live.where("root <> top").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     b = live.withColumn("part", F.pmod(F.xxhash64("copy"), F.col("parts")).cast("int"))
     once = (F.col("b.root") == F.col("b.top")) | (F.col("a.copy") < F.col("b.copy"))
     same = (F.col("a.s") == F.col("b.s")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.root") != F.col("b.root")) & once
-    pairs = a.alias("a").join(b.alias("b"), same & _may_be_near("a", "b", least)).select(*_pair(F.col("a.copy"), F.col("b.copy")))
-    found = kept(pairs.distinct())
-    removed(shared.sparkSession, path)
-    return found
+    return a.alias("a").join(b.alias("b"), same & _may_be_near("a", "b", least)).select(*_pair(F.col("a.copy"), F.col("b.copy"))).distinct()
 
 
 def _packed(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
@@ -326,8 +348,20 @@ def near_edges(tops: DataFrame, docs: DataFrame, text: str, width: int, least: f
     bitmap.destroy()
     tested = kept(simhash_pairs(tops).unionByName(hub_pairs(shared, least)).distinct())
     edges = verified(tested, docs, text, width, least)
-    rest = rest_pairs(shared, edges, least).join(tested, ["u", "v"], "left_anti")
-    return edges.unionByName(verified(kept(rest), docs, text, width, least))
+    spark, before = docs.sparkSession, None
+    while True:
+        path = new_table(spark, "open-shingles")
+        live, n, pairs = open_shingles(shared, edges, path)
+        if pairs <= OPEN * n or before is not None and 2 * pairs > before:
+            break
+        more = kept(pivot_pairs(live, least).join(tested, ["u", "v"], "left_anti"))
+        tested = kept(tested.unionByName(more))
+        edges = kept(edges.unionByName(verified(more, docs, text, width, least)))
+        removed(spark, path)
+        before = pairs
+    rest = kept(rest_pairs(live, least).join(tested, ["u", "v"], "left_anti"))
+    removed(spark, path)
+    return edges.unionByName(verified(rest, docs, text, width, least))
 
 
 def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:

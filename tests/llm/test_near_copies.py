@@ -171,3 +171,22 @@ def test_groups_of_a_skewed_table_equal_brute_force(spark):
     got = {r[0]: r[1] for r in N.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
     want = by_counting(rows)
     assert got == want and Counter(want.values()).most_common(1)[0][1] > 100
+
+
+def test_pairs_of_a_large_family_grow_with_its_texts(spark, monkeypatch):
+    """Copies with a few edits each, half of them too far from most others: groups are whole, and few pairs are verified."""
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(2000)]
+    family = [rng.choice(vocab) for _ in range(140)]
+    rows = []
+    for i in range(500):
+        own = list(family)
+        for _ in range(rng.randint(0, 5)):
+            own[rng.randrange(len(own))] = f"own{rng.randrange(10**9)}"
+        rows.append((i, " ".join(own)))
+    counts, verified = [], N.verified
+    monkeypatch.setattr(N, "verified", lambda pairs, *rest: counts.append(pairs.count()) or verified(pairs, *rest))
+    got = {r[0]: r[1] for r in N.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = by_counting(rows)
+    assert got == want and Counter(want.values()).most_common(1)[0][1] > 300
+    assert sum(counts) < 20 * len(rows), counts
