@@ -1047,7 +1047,7 @@ def t1_incremental_index(spark, d):
     embed = lambda rows: index.embed_pseudo(rows, 8)
     own = lambda files: given.join(files, ["run_id", "file_id"], "left_semi")
     for arrival in arrivals:
-        arrival.drop("id").coalesce(8).write.mode("append").parquet(f"{base}/arrivals")
+        arrival.drop("id").write.mode("append").parquet(f"{base}/arrivals")
         jobs.index_incrementally(spark, f"{base}/arrivals", own, f"{base}/table", f"{base}/state", embed, layout=jobs.Layout(8, 4, 3)).awaitTermination()
     table = jobs.ChunkTable(spark, f"{base}/table")
     left = table.chunks().groupBy("run_id").agg(F.count("*").alias("chunks"), F.countDistinct("file_id").alias("files"))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repolens.operators.index import embed_pseudo
+from repolens.plans import queries
 from repolens.streaming import jobs
 
 SYMBOLS = "run_id string, file_id string, symbol_id string, ordinal int, name string, start_line int, end_line int, parent_id string"
@@ -136,3 +137,15 @@ def test_progress_goes_on_after_a_stop(spark, tmp_path, few_partitions):
         jobs.report_progress(spark.readStream.schema("run_id string").parquet(where[0]), where[1], where[2]).awaitTermination()
     found = {(r.batch, r.run_id): r.chunks_embedded for r in jobs.progress(spark, where[1]).collect()}
     assert found == {(0, "a"): 2, (0, "b"): 1, (1, "b"): 2, (2, "c"): 1, (2, "a"): 3}
+
+
+def test_arrivals_have_as_many_files_as_the_input_asks_for(spark, sf, tmp_path, monkeypatch):
+    """t1 writes its arrivals in tasks of the size of a scan's, not in a fixed number that shares any input."""
+    monkeypatch.setattr(queries, "shared_folder", lambda spark, label: str(tmp_path / label))
+    spark.read.parquet(f"{sf}/documents.parquet").repartition(12).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        queries.t1_incremental_index(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(list((tmp_path / "index" / "arrivals").glob("part-*"))) > 3 * 8
